@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.llm import mixing
 from skein.llm.common import table
 
 
@@ -17,6 +18,12 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_golden_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skein.llm.bpe_count import count_tokens
 
@@ -30,9 +37,10 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_golden_mixing": op4_golden_mixing,
     "op5_token_counts": op5_token_counts,
     "op10_harmonic_packing": op10_harmonic_packing,
 }
 
 #: DuckDB SQL for those that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_golden_mixing": mixing.ORACLE}
