@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import mixing
+from skein.llm import mixing, secrets
 from skein.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file("piece_bpe_32k.model")).drop("text")
 
 
+def op6_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skein.llm.packing import pack
 
@@ -39,8 +43,9 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_golden_mixing": op4_golden_mixing,
     "op5_token_counts": op5_token_counts,
+    "op6_linked_secrets": op6_linked_secrets,
     "op10_harmonic_packing": op10_harmonic_packing,
 }
 
 #: DuckDB SQL for those that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op4_golden_mixing": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op4_golden_mixing": mixing.ORACLE, "op6_linked_secrets": secrets.oracle()}
