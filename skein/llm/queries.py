@@ -18,6 +18,18 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.quality import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")).drop("text")
+
+
+def op8_toxicity_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")).drop("text")
+
+
 def op4_golden_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skein.llm.mixing import mix
 
@@ -41,9 +53,11 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_attention": op1_quality_attention,
     "op4_golden_mixing": op4_golden_mixing,
     "op5_token_counts": op5_token_counts,
     "op6_linked_secrets": op6_linked_secrets,
+    "op8_toxicity_subwords": op8_toxicity_subwords,
     "op10_harmonic_packing": op10_harmonic_packing,
 }
 
