@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import mixing, secrets
+from skein.llm import mixing, near_text, secrets
 from skein.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op8_toxicity_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")).drop("text")
 
 
+def op2_bagminhash_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_text.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_golden_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skein.llm.mixing import mix
 
@@ -54,6 +58,7 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_attention": op1_quality_attention,
+    "op2_bagminhash_near": op2_bagminhash_near,
     "op4_golden_mixing": op4_golden_mixing,
     "op5_token_counts": op5_token_counts,
     "op6_linked_secrets": op6_linked_secrets,
@@ -62,4 +67,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL for those that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op4_golden_mixing": mixing.ORACLE, "op6_linked_secrets": secrets.oracle()}
+ORACLE_SQL: dict[str, str] = {"op2_bagminhash_near": near_text.ORACLE, "op4_golden_mixing": mixing.ORACLE, "op6_linked_secrets": secrets.oracle()}
