@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from skein.llm import mixing, near_text, secrets
+from skein.llm import mixing, near_text, repeated_spans, secrets
 from skein.llm.common import table
 
 
@@ -34,6 +33,10 @@ def op2_bagminhash_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_text.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans.remove_repeated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_golden_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skein.llm.mixing import mix
 
@@ -59,6 +62,7 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_attention": op1_quality_attention,
     "op2_bagminhash_near": op2_bagminhash_near,
+    "op3_sentence_spans": op3_sentence_spans,
     "op4_golden_mixing": op4_golden_mixing,
     "op5_token_counts": op5_token_counts,
     "op6_linked_secrets": op6_linked_secrets,
@@ -67,4 +71,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL for those that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op2_bagminhash_near": near_text.ORACLE, "op4_golden_mixing": mixing.ORACLE, "op6_linked_secrets": secrets.oracle()}
+ORACLE_SQL: dict[str, str] = {"op2_bagminhash_near": near_text.ORACLE, "op3_sentence_spans": repeated_spans.ORACLE, "op4_golden_mixing": mixing.ORACLE, "op6_linked_secrets": secrets.oracle()}
