@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skein.llm import mixing, near_text, repeated_spans, secrets
+from skein.llm import exact_topk, mixing, near_text, near_vectors, repeated_spans, secrets
 from skein.llm.common import table
 
 
@@ -53,6 +54,14 @@ def op6_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op7_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op9_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skein.llm.packing import pack
 
@@ -66,9 +75,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_golden_mixing": op4_golden_mixing,
     "op5_token_counts": op5_token_counts,
     "op6_linked_secrets": op6_linked_secrets,
+    "op7_norm_buckets": op7_norm_buckets,
     "op8_toxicity_subwords": op8_toxicity_subwords,
+    "op9_epsilon_grid": op9_epsilon_grid,
     "op10_harmonic_packing": op10_harmonic_packing,
 }
 
 #: DuckDB SQL for those that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op2_bagminhash_near": near_text.ORACLE, "op3_sentence_spans": repeated_spans.ORACLE, "op4_golden_mixing": mixing.ORACLE, "op6_linked_secrets": secrets.oracle()}
+ORACLE_SQL: dict[str, str] = {"op2_bagminhash_near": near_text.ORACLE, "op3_sentence_spans": repeated_spans.ORACLE, "op4_golden_mixing": mixing.ORACLE, "op6_linked_secrets": secrets.oracle(), "op7_norm_buckets": exact_topk.ORACLE, "op9_epsilon_grid": near_vectors.ORACLE}
