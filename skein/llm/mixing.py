@@ -39,7 +39,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: floa
     shared = levels.withColumn("target", F.least("cap", F.col("weight") * F.max("level").over(everything)))
     upto = by_name.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     total = F.sum("target").over(everything)
-    return shared.select("source", "source_size", "target", ((F.sum("target").over(upto) - F.col("target")) / total).alias("lo"), (F.sum("target").over(upto) / total).alias("hi"))
+    return shared.select("source", "source_size", "target", F.try_divide(F.sum("target").over(upto) - F.col("target"), total).alias("lo"), F.try_divide(F.sum("target").over(upto), total).alias("hi"))
 
 
 def block_words(total: int, least_target: float, most: int = 4096) -> int:
