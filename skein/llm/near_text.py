@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skein.llm.blocks import arrow_rows, chunks
 from skein.llm.bpe_count import Memo
 from skein.llm.common import WORD, bound_batches, materialize, text_key
 from skein.llm.components import components
@@ -130,6 +131,12 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(both) - common) if len(both) else 0.0
 
 
+#: Documents of a block; two blocks and their sets are what a task holds.
+BLOCK = 256
+#: Agreeing components, of 96, from which a pair is compared exactly; a pair at 0.8 falls below with probability 5e-7.
+AGREE = 58
+
+
 def _bands_udf():
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def bands(texts: pd.Series) -> pd.Series:
@@ -139,27 +146,121 @@ def _bands_udf():
     return bands
 
 
-def _similarity_udf():
-    @F.pandas_udf(T.DoubleType())
-    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for lo in range(0, len(a), 200):
-            x, y = list(a[lo : lo + 200]), list(b[lo : lo + 200])
-            names = list(dict.fromkeys(x + y))
-            sets = dict(zip(names, elements(names), strict=True))
-            out += [similarity(sets[p], sets[q]) for p, q in zip(x, y, strict=True)]
-        return pd.Series(out, dtype="float64")
+def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Numbers of equal components of all rows of a with all rows of b."""
+    out = np.zeros((len(a), len(b)), dtype=np.uint8)
+    for i in range(a.shape[1]):
+        out += a[:, i, None] == b[None, :, i]
+    return out
+
+
+def link_labels(nodes: np.ndarray, pairs: np.ndarray, sets: list[np.ndarray], threshold: float) -> dict[int, int]:
+    """Root of each position that verified pairs connect, by union and find; a pair already connected is not compared."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i, j in pairs:
+        x, y = find(i), find(j)
+        if x != y and similarity(sets[i], sets[j]) >= threshold:
+            x, y = (x, y) if nodes[x] <= nodes[y] else (y, x)
+            root[y] = x
+    return {x: r for x in list(root) if (r := find(x)) != x}
+
+
+class _Block:
+    """Documents of one block: nodes, clusters, signatures, element sets; packed for the comparison with other blocks."""
+
+    def __init__(self, frame: pd.DataFrame):
+        texts = list(frame["text"])
+        self.nodes, self.clusters = frame["node"].to_numpy(np.int64), frame["cluster"].to_numpy(np.int64)
+        doc, h, weight = bags(texts)
+        self.sig = (mix(signatures(doc, h, weight, len(texts)).view(U)) >> U(32)).astype(np.uint32)
+        self.sets = elements(texts)
+
+    def links(self, threshold: float) -> pd.DataFrame:
+        close = np.triu((agreeing(self.sig, self.sig) >= AGREE) & (self.clusters[:, None] == self.clusters[None, :]), 1)
+        found = link_labels(self.nodes, np.argwhere(close), self.sets, threshold)
+        return pd.DataFrame({"a": self.nodes[list(found)], "b": self.nodes[list(found.values())]})
 
-    return similar
+    def packed(self, cluster: int, seq: int) -> dict:
+        at = np.flatnonzero(self.clusters == cluster)
+        sizes = np.array([len(self.sets[i]) for i in at], dtype=np.int64)
+        return {"cluster": cluster, "seq": seq, "nodes": self.nodes[at].tobytes(), "sig": self.sig[at].tobytes(), "sizes": sizes.tobytes(), "sets": b"".join(self.sets[i].tobytes() for i in at)}
+
+
+def _unpacked(nodes: bytes, sig: bytes, sizes: bytes, sets: bytes) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    ends = np.cumsum(np.frombuffer(sizes, np.int64))
+    return np.frombuffer(nodes, np.int64), np.frombuffer(sig, np.uint32).reshape(-1, M), np.split(np.frombuffer(sets, U), ends[:-1])
+
+
+PACKED = "cluster long, seq long, nodes binary, sig binary, sizes binary, sets binary"
+
+
+def _blocks_of(frames):
+    """Frames of at most BLOCK rows, cut between clusters where that is possible; rows come sorted by cluster."""
+    for frame in chunks(frames, 4 * BLOCK):
+        starts = np.flatnonzero(np.diff(frame["cluster"].to_numpy(), prepend=-1, append=-1) != 0)
+        lo = 0
+        while lo < len(frame):
+            fitting = starts[(starts > lo) & (starts <= lo + BLOCK)]
+            hi = int(fitting[-1]) if len(fitting) else min(lo + BLOCK, len(frame))
+            yield frame.iloc[lo:hi]
+            lo = hi
+
+
+def links_in_clusters(texts: DataFrame, threshold: float) -> DataFrame:
+    """a, b: links of similarity >= threshold that connect what the pairs of a cluster connect; texts (node, cluster,
+    size, text). A block returns a forest of its links, one row per document at most.
+
+    Documents sorted by cluster are cut into blocks. A block compares its own pairs; the part of a cluster that reaches
+    beyond it is written, and parts of one cluster meet in pairs of blocks.
+    """
+    spark = texts.sparkSession
+
+    def inside(frames):
+        from pyspark import TaskContext
+
+        base = TaskContext.get().partitionId() << 32
+        for at, frame in enumerate(_blocks_of(frames)):
+            block = _Block(frame)
+            links = block.links(threshold)
+            yield links.assign(cluster=None, seq=None, nodes=None, sig=None, sizes=None, sets=None)
+            whole = frame.groupby("cluster")["size"].agg(["first", "count"])
+            for cluster in whole.index[whole["first"] > whole["count"]]:
+                yield pd.DataFrame([{"a": None, "b": None} | block.packed(int(cluster), base + at)])
+
+    ordered = texts.repartitionByRange("cluster", "node").sortWithinPartitions("cluster", "node").select("node", "cluster", "size", "text")
+    out = materialize(ordered.mapInPandas(inside, f"a long, b long, {PACKED}"))
+    parts = out.where("seq is not null").drop("a", "b")
+    left, right = (parts.select(F.col("cluster"), *[F.col(c).alias(f"{c}_{s}") for c in ("seq", "nodes", "sig", "sizes", "sets")]) for s in "xy")
+    pairs = left.join(right, "cluster").where("seq_x < seq_y")
+
+    def across(frames):
+        for frame in frames:
+            for r in frame.itertuples():
+                (na, sa, ea), (nb, sb, eb) = _unpacked(r.nodes_x, r.sig_x, r.sizes_x, r.sets_x), _unpacked(r.nodes_y, r.sig_y, r.sizes_y, r.sets_y)
+                close = np.argwhere(agreeing(sa, sb) >= AGREE) + [0, len(na)]
+                nodes = np.concatenate([na, nb])
+                found = link_labels(nodes, close, ea + eb, threshold)
+                yield pd.DataFrame({"a": nodes[list(found)], "b": nodes[list(found.values())]})
+
+    with arrow_rows(spark, 8):
+        more = materialize(pairs.repartition("cluster", "seq_x", "seq_y").mapInPandas(across, "a long, b long"))
+    return out.where("a is not null").select("a", "b").unionByName(more)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id, n_copies, kept of every row: classes are what links of similarity >= threshold connect.
 
-    Equal texts are one node, named by its least id. A band bucket links its members to a leader, in rounds with other
-    leaders as long as it holds members not yet in one class; once few pairs are left between classes of a bucket, all of
-    them are verified, so a pair that shares a bucket is never passed over. A pair at the threshold shares none of the 24
-    buckets with probability 3e-6. class_id is the least id of the class, n_copies the rows of the same text.
+    Equal texts are one node, named by its least id. Nodes that share a band bucket, directly or through others, form a
+    cluster; inside clusters every pair whose signatures agree in AGREE components is compared exactly, unless verified
+    links connect it already. A pair at the threshold shares none of the 24 buckets with probability 3e-6. class_id is the
+    least id of the class, n_copies the rows of the same text.
 
     Texts without words (empty, null) have no shingle and are classes of their own, row by row, and kept. Rows that share
     an id count as one document. Texts whose ids are all null are named by a hash. Other columns are ignored.
@@ -172,51 +273,16 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     empty, full = hashed.where("bands is null"), hashed.where("bands is not null")
     nodes = materialize(full.groupBy("key").agg(F.coalesce(F.min("doc_id"), F.xxhash64(F.first("key"))).alias("node"), F.count("*").alias("n_copies"), F.first("bands").alias("bands")))
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("bucket")
-    members = materialize(rows.join(shared, "bucket").distinct())
-    wanted = members.select("node").distinct().join(nodes.select("node", "key"), "node")
+    leaders = rows.groupBy("bucket").agg(F.min("node").alias("b"), F.max("node").alias("y")).where("b <> y").drop("y")
+    clusters = components(rows.join(leaders, "bucket").select(F.col("node").alias("a"), "b"))
+    sizes = clusters.groupBy("label").agg(F.count("*").alias("size"))
+    wanted = clusters.join(sizes, "label").select("node", F.col("label").alias("cluster"), "size").join(nodes.select("node", "key"), "node")
     # A node's text comes from one row of its least id; a node of null ids from any.
     own = base.select(F.coalesce("doc_id", F.xxhash64("key")).alias("node"), "key", "text").join(wanted, ["node", "key"])
-    texts = materialize(own.dropDuplicates(["node"]).select("node", "text"))
-
-    labels, tried, turn = None, None, 0
-    state = members.withColumn("label", F.col("node"))
-    while True:
-        # Pairs between classes inside buckets: from counts alone.
-        per = state.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(((F.sum("n") ** 2 - F.sum(F.col("n") ** 2)) / 2).alias("pairs"), F.sum("n").alias("n"), F.count("*").alias("labels"))
-        open_ = per.where("labels > 1")
-        load = open_.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-        if not load[1]:
-            break
-        last = load[0] <= 2 * load[1] or turn >= 6
-        alive = state.join(open_.select("bucket"), "bucket")
-        if last:
-            other = alive.select("bucket", F.col("node").alias("b"), F.col("label").alias("other"))
-            pairs = alive.withColumnRenamed("node", "a").join(other, "bucket").where("a < b and label <> other")
-        else:
-            leader = alive.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("b"), F.col("label").alias("other"))).alias("lead")).select("bucket", "lead.b", "lead.other")
-            pairs = alive.withColumnRenamed("node", "a").join(leader, "bucket").where("label <> other")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        with_texts = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        checked = materialize(with_texts.select("a", "b", _similarity_udf()("text_b", "text_a").alias("similarity")))
-        links = checked.where(F.col("similarity") >= threshold).select("a", "b")
-        done = checked.select("a", "b")
-        tried = done if tried is None else tried.unionByName(done)
-        if labels is not None:
-            links = links.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-        labels = components(links)
-        if last:
-            break
-        turn += 1
-        state = materialize(members.join(labels, "node", "left").select("node", "bucket", F.coalesce("label", "node").alias("label")))
-
-    named = nodes.select("key", "node", "n_copies")
-    if labels is not None:
-        named = named.join(labels, "node", "left").select("key", "node", "n_copies", F.coalesce("label", "node").alias("class_id"))
-    else:
-        named = named.withColumn("class_id", F.col("node"))
+    links = links_in_clusters(own.dropDuplicates(["node"]).select("node", "cluster", "size", "text"), threshold)
+    labels = components(links)
+
+    named = nodes.join(labels, "node", "left").select("key", "n_copies", F.coalesce("label", "node").alias("class_id"))
     out = full.select("doc_id", "key").join(named, "key").select("doc_id", "class_id", "n_copies", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("kept"))
     alone = empty.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(True).alias("kept"))
     return out.unionByName(alone)
