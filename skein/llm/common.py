@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,13 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(maxsize=1)
+def _own_dir() -> str:
+    """A temporary folder of this process, for sessions on one machine."""
+    return tempfile.mkdtemp(prefix="skein-checkpoint-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="skein-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
 
 
 def materialize(df: DataFrame) -> DataFrame:
