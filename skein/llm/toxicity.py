@@ -102,7 +102,8 @@ def fit(texts: list[str], ys: list[int], shift: float = 0.0, buckets: int = 1 <<
     flat = np.array([b for g in grams for b in g] or [0])
     first = np.concatenate([[0], np.cumsum(length)])
     table = rng.normal(0, 0.1, (buckets, dim)).astype(np.float32)
-    out, bias = rng.normal(0, 1, dim).astype(np.float32), 0.0
+    # A passage without telling words is clean; so the usual words need not carry that.
+    out, bias = rng.normal(0, 1, dim).astype(np.float32), -4.0
     table_sq, out_sq, bias_sq = np.full((buckets, 1), 1e-6, np.float32), np.full(dim, 1e-6), 1e-6
     y = np.array(ys, dtype=float)
     full = np.array([i for i, d in enumerate(docs) if len(d)])
