@@ -19,7 +19,7 @@ from skein.llm.blocks import arrow_rows, chunks, pad, usable, widest
 from skein.llm.common import materialize
 from skein.llm.components import components
 
-BLOCK, LEADING, FAN = 1024, 6, 8
+BLOCK, LEADING, FAN = 1024, 6, 16
 
 
 def units(vectors: list[np.ndarray], width: int) -> np.ndarray:
@@ -97,11 +97,16 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_
             yield pd.DataFrame({"part": [int(f["part"].iloc[0])], "at": [at], "low": [p.min(0)], "high": [p.max(0)], "nodes": [f["node"].to_numpy(np.int64).tobytes()], "counts": [f["n"].to_numpy(np.int64).tobytes()], "rows": [x.tobytes()]})
 
     blocks = materialize(order.select("part", "node", "n", "v", "p").mapInPandas(cut, "part int, at int, low array<double>, high array<double>, nodes binary, counts binary, rows binary"))
-    # A block's place in the sequence; intervals of FAN, FAN ** 2, ... places are its parents.
-    blocks = blocks.withColumn("seq", F.col("part").cast("long") * (1 << 20) + F.col("at"))
+    # A block's place in the sequence: after the blocks of earlier partitions, whose counts are as many as partitions.
+    counts, first = blocks.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect(), []
+    for r in counts:
+        first.append((r["part"], first[-1][1] + first[-1][2] if first else 0, r["n"]))
+    before = spark.createDataFrame(first, "part int, before long, n long").drop("n")
+    blocks = blocks.join(F.broadcast(before), "part").withColumn("seq", F.col("before") + F.col("at")).drop("before")
+    # Intervals of FAN, FAN ** 2, ... places are its parents.
     boxes = blocks.select("seq", "low", "high")
     levels = [boxes.withColumnRenamed("seq", "id")]
-    last = boxes.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+    last = first[-1][1] + first[-1][2] - 1 if first else 0
     while last:
         last //= FAN
         up = levels[-1].withColumn("id", (F.col("id") / FAN).cast("long"))
