@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import exact_topk, mixing, near_text, near_vectors, repeated_spans, secrets
+from skein.llm import exact_topk, mixing, near_text, near_vectors, repeated_spans, repeated_words, secrets
 from skein.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans.remove_repeated(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_whole_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_words.remove_repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_golden_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skein.llm.mixing import mix
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_attention": op1_quality_attention,
     "op2_bagminhash_near": op2_bagminhash_near,
     "op3_sentence_spans": op3_sentence_spans,
+    "op3_whole_passages": op3_whole_passages,
     "op4_golden_mixing": op4_golden_mixing,
     "op5_token_counts": op5_token_counts,
     "op6_linked_secrets": op6_linked_secrets,

@@ -24,8 +24,8 @@ def _document(id_col: str, text: Column) -> Column:
     return F.coalesce(F.col(id_col).cast("decimal(20,0)"), (beyond + F.xxhash64(text).cast("decimal(20,0)")).cast("decimal(20,0)"))
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """document, at: the runs that are not the first of their hash, by position in their document."""
+def hashed_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """h, c, document, at: the hashes of all runs, by position in their document."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     cut = docs.select(_document(id_col, text).alias("document"), F.split(text, CUT, -1).alias("u"))
     trimmed = cut.select("document", F.transform("u", lambda x: F.btrim(x, F.lit(BLANK))).alias("u"))
@@ -33,7 +33,12 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     whole = F.col(f"run.u{SPAN - 1}").isNotNull() | (F.col("at") == 0)
     run = zipped.where(whole).select("document", "at", F.concat_ws(" ", *[F.col(f"run.u{k}") for k in range(SPAN)]).alias("run")).where(F.length("run") >= LEAST)
     # 96 bits name a run.
-    runs = run.select(F.xxhash64("run").alias("h"), F.hash("run").alias("c"), "document", "at")
+    return run.select(F.xxhash64("run").alias("h"), F.hash("run").alias("c"), "document", "at")
+
+
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """document, at: the runs that are not the first of their hash, by position in their document."""
+    runs = hashed_runs(docs, id_col, text_col)
     place = (F.col("document") * F.lit(1 << 30).cast("decimal(11,0)") + F.col("at")).cast("decimal(38,0)")
     firsts = runs.groupBy("h", "c").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     return runs.join(firsts, ["h", "c"]).where(place > F.col("first")).select("document", "at")

@@ -1,0 +1,122 @@
+"""Repeated passages by words, beside the sentence spans of repeated_spans.
+
+Every run of WINDOW words gets a hash; of each WINDOW neighbouring runs the one of least hash is taken, so that two equal
+passages of 2 * WINDOW - 1 words have a taken run in common wherever their sentences end, and the taken runs of a longer
+passage leave no gap. Taken runs meet over all documents, in one shuffle with the runs of sentences of repeated_spans;
+the words or sentences of any but the first occurrence go. Less than WINDOW words stay at either end of a passage.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from skein.llm.common import WORD, bound_batches
+from skein.llm.repeated_spans import CUT, SPAN, _document, hashed_runs
+
+WINDOW = 12
+U = np.uint64
+#: Odd multipliers of the two hashes of a run.
+ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+WORDS, CUTS = re.compile(WORD), re.compile(CUT)
+
+
+class _Names(dict):
+    """64 bits for each word, hashed once."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = out = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+        return out
+
+
+def _spread(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> U(30))) * U(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> U(27))) * U(0x94D049BB133111EB)
+    return h ^ (h >> U(31))
+
+
+def taken_runs(words: list[str], names: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the taken runs of a text, and their two hashes."""
+    n = len(words) - WINDOW + 1
+    if n < 1:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
+    w = np.fromiter((names[x] for x in words), U, len(words))
+    runs = []
+    for odd in ODD:
+        h = np.zeros(n, U)
+        for k in range(WINDOW):
+            h = h * U(odd) + w[k : k + n]
+        runs.append(_spread(h))
+    first, second = runs
+    views = np.lib.stride_tricks.sliding_window_view(first, min(WINDOW, n))
+    at = np.unique(np.arange(len(views)) + views.argmin(axis=1))
+    # 96 bits name a run.
+    return at.astype(np.int32), first[at].view(np.int64), (second[at] >> U(32)).astype(np.uint32).view(np.int32)
+
+
+RUNS = T.StructType([T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("h", T.ArrayType(T.LongType())), T.StructField("c", T.ArrayType(T.IntegerType()))])
+
+
+@F.pandas_udf(RUNS)
+def _runs(texts: pd.Series) -> pd.DataFrame:
+    names = _Names()
+    return pd.DataFrame([taken_runs(WORDS.findall(t), names) for t in texts], columns=["at", "h", "c"])
+
+
+LEFT = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
+
+
+def left_of(text: str, starts, units) -> tuple[str, int, int]:
+    """text without the words of the runs at starts and without the units; its words, and how many of them went."""
+    spans = [m.span() for m in WORDS.finditer(text)]
+    keep = np.ones(len(text), bool)
+    for at in starts:
+        if at + WINDOW <= len(spans):
+            # With the white space behind the last word.
+            keep[spans[at][0] : spans[at + WINDOW][0] if at + WINDOW < len(spans) else len(text)] = False
+    ends = [0, *(m.start() for m in CUTS.finditer(text)), len(text)]
+    for i in units:
+        if i + 1 < len(ends):
+            keep[ends[i] : ends[i + 1]] = False
+    edges = np.flatnonzero(np.diff(keep.astype(np.int8), prepend=0, append=0))
+    out = "".join(text[a:b] for a, b in edges.reshape(-1, 2).tolist())
+    return out, len(spans), sum(not keep[a:b].any() for a, b in spans)
+
+
+@F.pandas_udf(LEFT)
+def _left(texts: pd.Series, starts: pd.Series, units: pd.Series) -> pd.DataFrame:
+    rows = []
+    for t, s, u in zip(texts, starts, units, strict=True):
+        if t is None:
+            rows.append((None, 0, 0))
+        elif len(s) or len(u):
+            rows.append(left_of(t, s, u))
+        else:
+            rows.append((t, len(WORDS.findall(t)), 0))
+    return pd.DataFrame(rows, columns=["text", "n_words", "n_removed"])
+
+
+def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the text cleaned, and n_words, n_removed (words) added in place of columns of those names.
+
+    The rules of remove_repeated() for order, repeated ids and null texts hold; words are runs without white space.
+    """
+    bound_batches(docs.sparkSession)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    runs = docs.select(_document(id_col, text).alias("document"), _runs(text).alias("r")).select("document", F.explode(F.arrays_zip("r.at", "r.h", "r.c")).alias("r"))
+    runs = runs.select("r.h", "r.c", "document", "r.at", F.lit(True).alias("word")).unionByName(hashed_runs(docs, id_col, text_col).withColumn("word", F.lit(False)))
+    place = (F.col("document") * F.lit(1 << 30).cast("decimal(11,0)") + F.col("at")).cast("decimal(38,0)")
+    again = runs.withColumn("first", F.min(place).over(Window.partitionBy("h", "c", "word"))).where(place > F.col("first"))
+    covered = F.when(F.col("word"), F.array("at")).otherwise(F.sequence("at", F.col("at") + SPAN - 1))
+    marked = again.select(F.col("document").alias("_document"), "word", F.explode(covered).alias("at"))
+    found = marked.groupBy("_document").agg(F.collect_set(F.when(F.col("word"), F.col("at"))).alias("_starts"), F.collect_set(F.when(~F.col("word"), F.col("at"))).alias("_units"))
+    joined = docs.drop("n_words", "n_removed").withColumn("_document", _document(id_col, text)).join(found, "_document", "left")
+    none = F.array().cast("array<int>")
+    out = joined.withColumn("_left", _left(F.col(text_col), F.coalesce("_starts", none), F.coalesce("_units", none)))
+    return out.withColumns({text_col: F.col("_left.text"), "n_words": F.col("_left.n_words"), "n_removed": F.col("_left.n_removed")}).drop("_document", "_starts", "_units", "_left")

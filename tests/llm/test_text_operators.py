@@ -181,6 +181,49 @@ def test_repeated_spans_go_and_first_ones_stay(spark, docs):
     assert twice.text.startswith(passage) and twice.text.count("far shore") == 1
 
 
+def longest_shared(text, earlier):
+    """Words of the longest run that text shares with earlier ones."""
+    runs, best = {}, 0
+    words = [WORD.findall(t) for t in earlier]
+    for d, ws in enumerate(words):
+        for i, w in enumerate(ws):
+            runs.setdefault(w, []).append((d, i))
+    own = WORD.findall(text)
+    for i, w in enumerate(own):
+        for d, j in runs.get(w, []):
+            n = 0
+            while i + n < len(own) and j + n < len(words[d]) and own[i + n] == words[d][j + n]:
+                n += 1
+            best = max(best, n)
+    return best
+
+
+def test_planted_passages_go_wherever_sentences_end(spark, docs):
+    from skein.llm.repeated_words import WINDOW, remove_repeated_passages
+
+    rng = random.Random(11)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows, plants = [], {}
+    for ends in (0, 1, 2):
+        for n in (51, 55, 60):
+            passage = fresh(n)
+            for k in range(ends):
+                passage[(k + 1) * n // (ends + 1)] += "."
+            at = len(rows)
+            rows += [(at, " ".join(fresh(40) + passage + fresh(40)), "s"), (at + 1, " ".join(fresh(30) + passage + fresh(30)), "s")]
+            plants[at + 1] = passage
+    rows += [(200, None, "s"), (201, "", "s"), (202, "Short copy.", "s"), (203, "Short copy.", "s"), (204, "x " * 400, "s"), (205, rows[0][1], "s"), (205, rows[0][1], "s")]
+    out = {r.doc_id: r for r in remove_repeated_passages(docs(rows)).collect()}
+    given = {i: t for i, t, _ in rows}
+    for i, passage in plants.items():
+        assert out[i - 1].text == given[i - 1] and out[i - 1].n_removed == 0
+        assert longest_shared(out[i].text, [given[i - 1]]) < WINDOW
+        assert [w for w in WORD.findall(given[i]) if w not in passage] == [w for w in WORD.findall(out[i].text) if w not in passage]
+        assert out[i].n_words - out[i].n_removed == len(WORD.findall(out[i].text))
+    assert out[200].text is None and out[201].text == "" and out[203].text == "Short copy."
+    assert len(WORD.findall(out[204].text)) == WINDOW and longest_shared(out[205].text, [given[0]]) < WINDOW
+
+
 def test_mixing_meets_targets_and_agrees_with_itself(spark, docs):
     from skein.llm.mixing import mix
 
