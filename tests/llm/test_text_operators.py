@@ -224,6 +224,16 @@ def test_planted_passages_go_wherever_sentences_end(spark, docs):
     assert len(WORD.findall(out[204].text)) == WINDOW and longest_shared(out[205].text, [given[0]]) < WINDOW
 
 
+def test_repeated_passages_of_short_units_go(spark, docs):
+    from skein.llm.repeated_words import WINDOW, remove_repeated_passages
+
+    # Every run of three units is below 60 characters.
+    shouted = " ".join(f"W{i}!!" for i in range(150))
+    rows = [(1, f"one {shouted} end", "s"), (2, f"two {shouted} other", "s"), (3, f"{shouted} between {shouted}", "s")]
+    out = {r.doc_id: r.text for r in remove_repeated_passages(docs(rows)).collect()}
+    assert out[1] == rows[0][1] and all(longest_shared(out[i], [out[1]]) < WINDOW for i in (2, 3))
+
+
 def test_mixing_meets_targets_and_agrees_with_itself(spark, docs):
     from skein.llm.mixing import mix
 
