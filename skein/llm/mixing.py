@@ -4,6 +4,7 @@ Slot n carries the golden-ratio point frac((n + 1) / phi); the source whose inte
 point gets the slot. The slots of a source are ranked, and rank r takes block r mod nb of the source in epoch r div nb:
 the source's documents in the order of the md5 of their ids, laid end to end and cut into nb blocks of equally many words
 (the last one is shorter). Slots past a source's target take nothing, the one that reaches it is cut there.
+A source that the points give too few slots gets the lacking ones at the end.
 """
 
 from __future__ import annotations
@@ -60,6 +61,17 @@ def schedule(goal: DataFrame, total: int, words: int) -> DataFrame:
     return ranked.select("slot", "source", (F.row_number().over(Window.partitionBy("source", "chunk").orderBy("slot")) - 1 + F.col("before")).alias("rank"))
 
 
+def lacking(slots: DataFrame, per: DataFrame, words: int) -> DataFrame:
+    """source, rank of the slots that a source's target needs beyond those that the points gave it.
+
+    A source much smaller than a block has an interval that few points, or none, may hit. per: g, source_size, goal, blocks.
+    """
+    needed = (F.col("goal") / F.col("source_size")).cast("long") * F.col("blocks") + F.ceil(F.col("goal") % F.col("source_size") / words)
+    had = slots.groupBy(F.col("source").alias("s")).agg(F.count("*").alias("had"))
+    short = per.where("source_size > 0").withColumn("needed", needed).join(had, F.col("g").eqNullSafe(F.col("s")), "left").withColumn("had", F.coalesce("had", F.lit(0))).where("needed > had")
+    return short.select(F.col("g").alias("source"), F.explode(F.sequence("had", F.col("needed") - 1)).alias("rank"))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken (and the columns in keep).
 
@@ -83,7 +95,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3
 
     # What the slots take of each block: whole times, and a part of it for the slot that reaches the target.
     per = goal.select(F.col("source").alias("g"), "source_size", F.round("target").cast("long").alias("goal"), F.ceil(F.col("source_size") / words).alias("blocks"))
-    taken = schedule(goal, seen["total"], words).join(per, F.col("source").eqNullSafe(F.col("g"))).withColumn("block", F.col("rank") % F.col("blocks"))
+    slots = materialize(schedule(goal, seen["total"], words).select("source", "rank"))
+    taken = slots.unionByName(lacking(slots, per, words)).join(per, F.col("source").eqNullSafe(F.col("g"))).withColumn("block", F.col("rank") % F.col("blocks"))
     length = F.least(F.lit(words), F.col("source_size") - F.col("block") * words)
     left = F.col("goal") - (F.col("rank") / F.col("blocks")).cast("long") * F.col("source_size") - F.col("block") * words
     taken = taken.select("source", "block", length.alias("length"), F.greatest(F.lit(0), F.least(length, left)).alias("take"))

@@ -267,6 +267,21 @@ def test_mixing_meets_targets_and_agrees_with_itself(spark, docs):
     assert [(r.taken, r.target) for r in mix(docs([(1, None, None)])).collect()] == [(0, 0.0)]
 
 
+def test_a_small_source_beside_large_blocks_meets_its_target(spark, docs, monkeypatch):
+    from skein.llm import mixing
+
+    # As beside a very large total: blocks of 4768 words, the length that five billion words give.
+    assert mixing.block_words(5 * 10**9, 300.0) == 4768
+    monkeypatch.setattr(mixing, "block_words", lambda total, least: 4768)
+    rows = [(i, "w " * 20000, f"big{i}") for i in range(20)] + [(100, "a b c d e", "small"), (101, "f " * 20, None), (102, None, "void")]
+    taken, target = collections.Counter(), {}
+    for r in mixing.mix(docs(rows)).collect():
+        taken[r.source] += r.taken
+        target[r.source] = round(r.target)
+    assert target["small"] == 15 and target[None] == 60
+    assert {s: taken[s] for s in target} == target
+
+
 ASSIGN = re.compile(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
