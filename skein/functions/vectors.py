@@ -36,8 +36,8 @@ def cosine_plain(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
-def hashing_embedder(dim: int = 64, most: int = 1500):
-    """A deterministic embedder: hashed words of the first `most` characters, signed and scaled to length 1.
+def hashing_embedder(dim: int = 64, most: int | None = None):
+    """A deterministic embedder: hashed words of the text (of its first `most` characters, where given), signed and scaled to length 1.
 
     It stands in for a model; any pandas UDF from string to array<float> fits in its place.
     """

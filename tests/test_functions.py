@@ -64,3 +64,10 @@ def test_embedder_is_deterministic_and_normed(spark):
     df = spark.createDataFrame([("hello world",), ("hello world",), (None,), ("",)], "t string")
     v = [r.x for r in df.select(vectors.hashing_embedder(16)("t").alias("x")).collect()]
     assert v[0] == v[1] and abs(sum(x * x for x in v[0]) - 1) < 1e-6 and set(v[2]) == set(v[3]) == {0.0}
+
+
+def test_embedder_reads_the_whole_text(spark):
+    head = "same " * 400
+    df = spark.createDataFrame([(head + "alpha " * 300,), (head + "omega " * 300,)], "t string")
+    a, b = [r.x for r in df.select(vectors.hashing_embedder(64)("t").alias("x")).collect()]
+    assert a != b
