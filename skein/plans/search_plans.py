@@ -180,7 +180,8 @@ def flt5(spark, d):
 
 @query("flt6_memory_tiers", f"with {SEM}, t as (select key, case when score < 0.3 then null when key % 7 = 0 then 'team_updates' when score >= 0.5 then 'prior_context' else 'related' end as tier from sem) select key, tier from t where tier is not null")
 def flt6(spark, d):
-    s = search.vector_top_k(vectors(spark, d), first_vector(spark, d), 1_000_000)
+    q = F.array(*[F.lit(float(x)) for x in first_vector(spark, d)])
+    s = vectors(spark, d).select("key", cosine_search(F.col("vector"), q).alias("score"))
     return s.select("key", search.memory_tier(F.col("score"), F.col("key") % 7 == 0).alias("tier")).where("tier is not null")
 
 

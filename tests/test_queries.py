@@ -41,3 +41,8 @@ def test_query(spark, duck, name):
         assert got == sort([[r[names.index(c)] for c in columns] for r in result.fetchall()])
     else:
         assert len(got) > 0
+
+
+def test_memory_tiers_label_every_vector(spark):
+    plan = QUERIES["flt6_memory_tiers"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit" not in plan
