@@ -133,7 +133,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 #: Documents of a block; two blocks and their sets are what a task holds.
 BLOCK = 256
-#: Agreeing components, of 96, from which a pair is compared exactly; a pair at 0.8 falls below with probability 5e-7.
+#: Agreeing components, of 96, from which a pair is compared exactly; a pair at 0.8 falls below with probability 3.0e-6.
 AGREE = 58
 
 
