@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skein.llm.common import bound_batches, held_out
-from skein.llm.labelled import platt, sample
+from skein.llm.labelled import fit_in_a_task, platt
 
 PASSAGE = 64
 #: Character classes: ASCII one by one (without letters, digits, controls), then groups.
@@ -154,23 +154,36 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.logits(texts) + self.intercept, -60, 60)))
 
 
-def fit(texts: list[str], ys: list[int], shift: float = 0.0, hidden: int = 24, gate: int = 12, passes: int = 120_000, rate: float = 3e-3, seed: int = 11) -> Model:
+class Sample:
+    """Features of the passages of documents; the texts themselves are not kept."""
+
+    def __init__(self):
+        self.x, self.bags, self.ys = [], [], []
+
+    def add(self, texts: list[str], ys: list[int]) -> None:
+        for lo in range(0, len(texts), 200):
+            x, bags = encode(texts[lo : lo + 200])
+            self.x.append(x)
+            self.bags.append(bags)
+        self.ys += ys
+
+
+def fit(sample: Sample, shift: float = 0.0, hidden: int = 24, gate: int = 12, passes: int = 120_000, rate: float = 3e-3, seed: int = 11) -> Model:
     """Train on documents with Adam; without both classes the model is constant. Deterministic."""
-    rng = np.random.default_rng(seed)
+    rng, ys = np.random.default_rng(seed), sample.ys
     shapes = {"E": (WIDTH, hidden), "e": (hidden,), "V": (hidden, gate), "U": (hidden, gate), "a": (gate,), "c": (hidden,), "b": (1,)}
     w = {k: rng.normal(0, 1 / np.sqrt(s[0]), s) if k not in "eb" else np.zeros(s) for k, s in shapes.items()}
     if len(set(ys)) < 2:
         return Model({k: v * 0 for k, v in w.items()}, np.zeros(WIDTH), np.ones(WIDTH), 1.0, 4.0 * (2 * ys[0] - 1) if ys else 0.0)
-    parts = [encode(texts[lo : lo + 200]) for lo in range(0, len(texts), 200)]
-    x, bags = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    x, bags = np.concatenate(sample.x), np.concatenate(sample.bags)
     mean, scale = x.mean(0), x.std(0) + 0.02
     x = (x - mean) / scale
     first, y = np.cumsum(bags) - bags, np.array(ys, dtype=float)
     model = Model(w, mean, scale)
     m, v = ({k: np.zeros_like(a) for k, a in w.items()} for _ in range(2))
-    step, epochs = 0, int(np.clip(passes / len(texts), 15, 120))
+    step, epochs = 0, int(np.clip(passes / len(ys), 15, 120))
     for epoch in range(epochs):
-        order = rng.permutation(len(texts))
+        order = rng.permutation(len(ys))
         for lo in range(0, len(order), 64):
             batch = order[lo : lo + 64]
             n = bags[batch]
@@ -196,7 +209,7 @@ def fit(texts: list[str], ys: list[int], shift: float = 0.0, hidden: int = 24, g
                 m[k] += 0.1 * (d - m[k])
                 v[k] += 0.001 * (d * d - v[k])
                 w[k] -= pace * m[k] / (np.sqrt(v[k]) + 1e-8)
-    logits = np.concatenate([model.forward(x[first[i] : first[i] + bags[i]], bags[i : i + 1])["logit"] for i in range(len(texts))])
+    logits = np.concatenate([model.forward(x[first[i] : first[i] + bags[i]], bags[i : i + 1])["logit"] for i in range(len(ys))])
     model.slope, model.intercept = platt(logits, y, np.where(y > 0, np.exp(shift), 1.0))
     return model
 
@@ -209,7 +222,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, most: int = 2000, threshol
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    shared = spark.sparkContext.broadcast(fit(*sample(docs, labels, "quality", most, id_col, text_col)))
+    shared = spark.sparkContext.broadcast(fit_in_a_task(docs, labels, "quality", most, Sample, fit, id_col, text_col))
 
     @F.pandas_udf(T.DoubleType())
     def score(texts: pd.Series) -> pd.Series:

@@ -1,15 +1,17 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A word's vector is the mean of the embeddings of its hashed character n-grams and of the word itself, so a misspelling
-that no document showed shares most of its vector. A passage is the mean over its words, and a two-class softmax on it
-gives its logit. A document is as toxic as its most toxic passage; its logit is then calibrated.
+A word's vector is the mean of the embeddings of its hashed character n-grams, its leading parts and the word itself, so
+a misspelling that no document showed shares most of its vector. A passage is the mean over its words, and a two-class
+softmax on it gives its logit. A document is judged by its passages' logits: the highest, the means of the highest two
+and three, the mean of all, and their number, weighed by a logistic unit fitted on the same documents; so one insult in a
+long text counts, and so does a low but steady share of telling words.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from itertools import count, groupby
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -19,11 +21,14 @@ from pyspark.sql import types as T
 
 from skein.llm.bpe_count import Memo
 from skein.llm.common import bound_batches, held_out
-from skein.llm.labelled import platt, sample
+from skein.llm.labelled import fit_in_a_task, logistic
 
 FIND = re.compile(r"\w+").findall
-PASSAGE = 24
-GRAMS = (3, 4, 5)
+PASSAGE = 12
+GRAMS, LEADING = (3, 4, 5), (6, 7, 8)
+BUCKETS = 1 << 21
+#: Buckets that fewer documents of the sample hold have no embedding: they could only be learned by heart.
+LEAST = 5
 #: A passage's mean is scaled by its usual number of words, so that one telling word can decide.
 GAIN = float(PASSAGE)
 
@@ -34,13 +39,13 @@ def words_of(text: str) -> list[str]:
 
 
 def subwords(word: str) -> list[str]:
-    """The word in angle brackets, marked as whole, and its character n-grams."""
+    """The word in angle brackets, marked as whole, its character n-grams and its leading parts."""
     w = f"<{word}>"
-    return ["=" + w] + [w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1)]
+    return ["=" + w] + [w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1)] + [w[:n] for n in LEADING if n <= len(w)]
 
 
-def bucket(gram: str, buckets: int) -> int:
-    return zlib.crc32(gram.encode("utf-8", "surrogatepass")) % buckets
+def bucket(gram: str) -> int:
+    return zlib.crc32(gram.encode("utf-8", "surrogatepass")) % BUCKETS
 
 
 def passage_starts(words: int) -> list[int]:
@@ -48,11 +53,17 @@ def passage_starts(words: int) -> list[int]:
     return list(range(0, max(1, words - PASSAGE // 2), PASSAGE)) if words else [0]
 
 
+def summary(logits: np.ndarray) -> list[float]:
+    """What the last unit sees of a document's passage logits (at least one)."""
+    top = np.sort(logits)[::-1]
+    return [top[0], top[:2].mean(), top[:3].mean(), top.mean(), np.clip(top, -6, 6).mean(), np.log(len(top))]
+
+
 class Model:
-    """Scores texts; holds one number per bucket (its embedding times the softmax weights), the bias and the calibration."""
+    """Scores texts; holds one number per embedded bucket (its embedding times the softmax weights), the bias and the last unit."""
 
-    def __init__(self, weight: np.ndarray, bias: float, slope: float, intercept: float):
-        self.weight, self.bias, self.slope, self.intercept = weight, bias, slope, intercept
+    def __init__(self, at: np.ndarray, weight: np.ndarray, bias: float, unit: tuple | None, constant: float = 0.0):
+        self.at, self.weight, self.bias, self.unit, self.constant = at, weight, bias, unit, constant
 
     def open(self) -> "Scorer":
         return Scorer(self)
@@ -60,56 +71,85 @@ class Model:
 
 class Scorer:
     def __init__(self, model: Model):
-        self.m, weight = model, model.weight.tolist()
+        self.m, weight = model, dict(zip(model.at.tolist(), model.weight.tolist(), strict=True))
         self.words = Memo(self._word, 300_000)
-        self.grams = Memo(lambda gram: weight[bucket(gram, len(weight))], 500_000)
+        self.grams = Memo(lambda gram: weight.get(bucket(gram), 0.0), 500_000)
 
     def _word(self, word: str) -> float:
         grams = subwords(word)
         return sum(map(self.grams.__getitem__, grams)) / len(grams)
 
-    def logit(self, text: str) -> float:
+    def logits(self, text: str) -> np.ndarray:
+        """One logit per passage."""
         words = words_of(text)
         if not words:
-            return self.m.bias
+            return np.array([self.m.bias])
         each = np.fromiter(map(self.words.__getitem__, words), float, len(words))
         at = np.array(passage_starts(len(words)))
-        sizes = np.diff(np.append(at, len(words)))
-        return float((np.add.reduceat(each, at) / sizes).max()) * GAIN + self.m.bias
+        return GAIN * np.add.reduceat(each, at) / np.diff(np.append(at, len(words))) + self.m.bias
 
     def score(self, text: str | None) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.m.slope * self.logit(text or "") + self.m.intercept, -60, 60))))
+        if self.m.unit is None:
+            return float(1 / (1 + np.exp(-self.m.constant)))
+        mean, scale, weights = self.m.unit
+        z = ((np.array(summary(self.logits(text or ""))) - mean) / scale) @ weights[:-1] + weights[-1]
+        return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
+
+
+class Sample:
+    """Documents as numbers of their words, and words as numbers of their buckets; texts themselves are not kept."""
+
+    def __init__(self):
+        self.ids, self.grams, self.length, self.docs, self.ys = {}, [], [], [], []
+
+    def _number(self, word: str) -> int:
+        if (i := self.ids.get(word)) is None:
+            i = self.ids[word] = len(self.ids)
+            own = np.array([bucket(g) for g in subwords(word)], dtype=np.int32)
+            self.grams.append(own)
+            self.length.append(len(own))
+        return i
+
+    def add(self, texts, ys) -> None:
+        for text, y in zip(texts, ys, strict=True):
+            self.docs.append(np.array([self._number(w) for w in words_of(text)], dtype=np.int32))
+            self.ys.append(int(y))
 
 
-def fit(texts: list[str], ys: list[int], shift: float = 0.0, buckets: int = 1 << 17, dim: int = 8, passes: int = 20_000, rate: float = 0.2, seed: int = 7) -> Model:
+def fit(sample: Sample, shift: float = 0.0, dim: int = 8, passes: int = 20_000, rate: float = 0.2, seed: int = 7) -> Model:
     """Train on documents; shift is the log of the class ratio outside over inside the sample.
 
     Without both classes the model is constant. The same documents in the same order give the same model.
     """
+    docs, ys = sample.docs, sample.ys
+    none = np.zeros(0, np.int32)
     if len(set(ys)) < 2:
-        return Model(np.zeros(1), 0.0, 1.0, 4.0 * (2 * ys[0] - 1) if ys else 0.0)
-    rng, ids, grams, docs = np.random.default_rng(seed), {}, [], []
-    number = count()
-    for text in texts:
-        row = []
-        for w in words_of(text):
-            if w not in ids:
-                ids[w] = next(number)
-                grams.append([bucket(g, buckets) for g in subwords(w)])
-            row.append(ids[w])
-        docs.append(np.array(row, dtype=np.int64))
-    length = np.array([len(g) for g in grams] or [1])
-    flat = np.array([b for g in grams for b in g] or [0])
+        return Model(none, none.astype(float), 0.0, None, 4.0 * (2 * ys[0] - 1) if ys else 0.0)
+    rng = np.random.default_rng(seed)
+    length = np.array(sample.length or [1])
+    flat = np.concatenate(sample.grams) if sample.grams else none
     first = np.concatenate([[0], np.cumsum(length)])
-    table = rng.normal(0, 0.1, (buckets, dim)).astype(np.float32)
+    # Documents that hold each bucket.
+    held = np.zeros(BUCKETS, np.int32)
+    for d in docs:
+        if len(d):
+            held[np.unique(np.concatenate([flat[first[w] : first[w + 1]] for w in np.unique(d)]))] += 1
+    least = min(LEAST, max(1, len(docs) // 100))
+    live = np.flatnonzero(held >= least).astype(np.int32)
+    place = np.full(BUCKETS, len(live), np.int32)
+    place[live] = np.arange(len(live))
+    flat = place[flat]
+    del held, place
+    # The last row stands for all buckets without an embedding and stays 0.
+    table = np.vstack([rng.normal(0, 0.1, (len(live), dim)), np.zeros((1, dim))]).astype(np.float32)
     # A passage without telling words is clean; so the usual words need not carry that.
     out, bias = rng.normal(0, 1, dim).astype(np.float32), -4.0
-    table_sq, out_sq, bias_sq = np.full((buckets, 1), 1e-6, np.float32), np.full(dim, 1e-6), 1e-6
+    table_sq, out_sq, bias_sq = np.full((len(live) + 1, 1), 1e-6, np.float32), np.full(dim, 1e-6), 1e-6
     y = np.array(ys, dtype=float)
-    full = np.array([i for i, d in enumerate(docs) if len(d)])
+    full = np.array([i for i, d in enumerate(docs) if len(d)], dtype=int)
     # Few documents are seen more often, so that any sample gives about as many steps.
     epochs = int(np.clip(passes / max(1, len(full)), 5, 20))
-    for epoch in range(epochs):
+    for _ in range(epochs):
         order = rng.permutation(full)
         for lo in range(0, len(order), 48):
             batch = order[lo : lo + 48]
@@ -129,19 +169,18 @@ def fit(texts: list[str], ys: list[int], shift: float = 0.0, buckets: int = 1 <<
             vectors = np.add.reduceat(table[pick], ends - n, axis=0) / n[:, None]
             mean = GAIN * np.add.reduceat(vectors[at], starts, axis=0) / sizes[:, None]
             z = mean @ out + bias
-            # The most toxic passages speak for a document; every passage of a clean one is clean.
+            # The most toxic passages speak for a document.
             head = np.flatnonzero(np.diff(owner, prepend=-1))
-            top = np.exp(z - np.repeat(np.maximum.reduceat(z, head), np.diff(np.append(head, len(z)))))
-            soft = top / np.repeat(np.add.reduceat(top, head), np.diff(np.append(head, len(z))))
-            even = 1 / np.diff(np.append(head, len(z)))[owner]
-            target = y[batch][owner]
-            part = np.where(target > 0, even if epoch == 0 else soft, soft + even * np.minimum(4, 1 / even))
-            g = part * (1 / (1 + np.exp(-z)) - target) / len(batch)
+            many = np.diff(np.append(head, len(z)))
+            soft = np.exp(z - np.repeat(np.maximum.reduceat(z, head), many))
+            soft /= np.repeat(np.add.reduceat(soft, head), many)
+            g = soft * (1 / (1 + np.exp(-z)) - y[batch][owner]) / len(batch)
             g_out, g_bias = mean.T @ g, g.sum()
             g_words = np.repeat(GAIN * g / sizes, sizes)
             sums = np.bincount(at, g_words, len(used)) / n
             # Every embedding moves along the softmax weights, so one number per bucket is its gradient.
-            g_bucket = np.bincount(pick, np.repeat(sums, n), buckets).astype(np.float32)
+            g_bucket = np.bincount(pick, np.repeat(sums, n), len(table)).astype(np.float32)
+            g_bucket[-1] = 0
             hit = np.flatnonzero(g_bucket)
             move = g_bucket[hit, None] * out
             table_sq[hit] += (move**2).mean(1, keepdims=True)
@@ -150,11 +189,13 @@ def fit(texts: list[str], ys: list[int], shift: float = 0.0, buckets: int = 1 <<
             bias_sq += g_bias**2
             out -= (0.1 * g_out / np.sqrt(out_sq)).astype(np.float32)
             bias -= 0.1 * g_bias / np.sqrt(bias_sq)
-    raw = Model((table @ out).astype(np.float64), float(bias), 1.0, 0.0)
-    scorer = raw.open()
-    logits = np.array([scorer.logit(t) for t in texts])
-    slope, intercept = platt(logits, y, np.where(y > 0, np.exp(shift), 1.0))
-    return Model(raw.weight, raw.bias, slope, intercept)
+    weight = (table @ out).astype(np.float64)
+    words = np.add.reduceat(weight[flat], first[:-1]) / length if len(flat) else np.zeros(1)
+    seen = []
+    for d in docs:
+        at = np.array(passage_starts(len(d)))
+        seen.append(summary(GAIN * np.add.reduceat(words[d], at) / np.diff(np.append(at, len(d))) + bias if len(d) else np.array([bias])))
+    return Model(live, weight[:-1], float(bias), logistic(np.array(seen), y, np.where(y > 0, np.exp(shift), 1.0)))
 
 
 def score_column(spark, text: Column, model) -> Column:
@@ -179,6 +220,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = 2000, thresho
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    model = fit(*sample(docs, labels, "toxic", most, id_col, text_col))
+    model = fit_in_a_task(docs, labels, "toxic", most, Sample, fit, id_col, text_col)
     scored = docs.withColumn("score", score_column(spark, F.coalesce(F.col(text_col), F.lit("")), model))
     return scored.withColumns({"held_out": held_out(F.col(id_col)), "predicted": (F.col("score") >= threshold).cast("int")})

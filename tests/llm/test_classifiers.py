@@ -42,7 +42,8 @@ def test_toxicity_on_held_out_documents(spark):
 
     scores, ys, predicted = evaluate(spark, score_toxicity, "toxic")
     predicted, ys = np.array(predicted), np.array(ys)
-    assert auc(scores, ys) > 0.92 and ys[predicted == 1].mean() > 0.95
+    # Some labels have no telling word: 14 of 97 stay below the threshold.
+    assert auc(scores, ys) > 0.94 and ys[predicted == 1].mean() > 0.95 and predicted[ys == 1].mean() > 0.83
 
 
 def test_classifiers_take_any_text(spark):
@@ -67,13 +68,15 @@ def test_classifiers_take_any_text(spark):
 
 
 def test_unseen_misspellings_share_subwords():
-    from skein.llm.toxicity import fit
+    from skein.llm.toxicity import Sample, fit
 
     rng = random.Random(2)
     words = ["harbour", "morning", "window", "garden", "letter", "stone", "river", "table", "cloud", "paper"]
     clean = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(150)]
     toxic = [t + " you worthless thing " + " ".join(rng.choice(words) for _ in range(20)) for t in clean[:70]]
-    scorer = fit(clean + toxic, [0] * len(clean) + [1] * len(toxic)).open()
+    sample = Sample()
+    sample.add(clean + toxic, [0] * len(clean) + [1] * len(toxic))
+    scorer = fit(sample).open()
     assert scorer.score("garden stone worthlesss river table cloud") > 0.5 > scorer.score("garden stone letter river table cloud")
 
 
