@@ -237,8 +237,12 @@ def links_in_clusters(texts: DataFrame, threshold: float) -> DataFrame:
     ordered = texts.repartitionByRange("cluster", "node").sortWithinPartitions("cluster", "node").select("node", "cluster", "size", "text")
     out = materialize(ordered.mapInPandas(inside, f"a long, b long, {PACKED}"))
     parts = out.where("seq is not null").drop("a", "b")
-    left, right = (parts.select(F.col("cluster"), *[F.col(c).alias(f"{c}_{s}") for c in ("seq", "nodes", "sig", "sizes", "sets")]) for s in "xy")
-    pairs = left.join(right, "cluster").where("seq_x < seq_y")
+    # Pairs of blocks by their places first; what they hold is fetched by block, so that no task has a cluster to itself.
+    named = parts.select("cluster", "seq")
+    pairs = named.withColumnRenamed("seq", "seq_x").join(named.withColumnRenamed("seq", "seq_y"), "cluster").where("seq_x < seq_y")
+    held = ("nodes", "sig", "sizes", "sets")
+    for side in "xy":
+        pairs = pairs.join(parts.select("cluster", F.col("seq").alias(f"seq_{side}"), *[F.col(c).alias(f"{c}_{side}") for c in held]), ["cluster", f"seq_{side}"])
 
     def across(frames):
         for frame in frames:
@@ -254,16 +258,22 @@ def links_in_clusters(texts: DataFrame, threshold: float) -> DataFrame:
     return out.where("a is not null").select("a", "b").unionByName(more)
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: Nodes without an id of their own are numbered from here on by a hash of their text; ids lie below.
+UNNAMED = 1 << 62
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", with_key: bool = False) -> DataFrame:
     """doc_id, class_id, n_copies, kept of every row: classes are what links of similarity >= threshold connect.
 
     Equal texts are one node, named by its least id. Nodes that share a band bucket, directly or through others, form a
     cluster; inside clusters every pair whose signatures agree in AGREE components is compared exactly, unless verified
     links connect it already. A pair at the threshold shares none of the 24 buckets with probability 3e-6. class_id is the
-    least id of the class, n_copies the rows of the same text.
+    least id of the class, n_copies the rows of the same text; kept holds for the class's first text under its least id.
 
-    Texts without words (empty, null) have no shingle and are classes of their own, row by row, and kept. Rows that share
-    an id count as one document. Texts whose ids are all null are named by a hash. Other columns are ignored.
+    Texts without words (empty, null) have no shingle and are classes of their own, row by row, and kept. Rows of one id
+    with different texts are nodes of their own: the text of least md5 has the id as its name, the others, and texts whose
+    ids are all null, are named by a hash from UNNAMED on, which is the class_id of a class without an id of its
+    own. with_key adds the text's key. Other columns are ignored.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -271,20 +281,31 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), text_key(F.col(text_col)).alias("key"))
     hashed = materialize(base.select("doc_id", "key", _bands_udf()("text").alias("bands")))
     empty, full = hashed.where("bands is null"), hashed.where("bands is not null")
-    nodes = materialize(full.groupBy("key").agg(F.coalesce(F.min("doc_id"), F.xxhash64(F.first("key"))).alias("node"), F.count("*").alias("n_copies"), F.first("bands").alias("bands")))
+    number = F.lit(UNNAMED) + F.xxhash64("key").bitwiseAND(F.lit(UNNAMED - 1))
+    nodes = materialize(full.groupBy("key").agg(F.min("doc_id").alias("own"), F.count("*").alias("n_copies"), F.first("bands").alias("bands")))
+    shared = materialize(nodes.where("own is not null").groupBy(F.col("own").alias("id")).agg(F.min("key").alias("of"), F.count("*").alias("texts")).where("texts > 1").drop("texts"))
+    if shared.isEmpty():
+        nodes = nodes.withColumn("node", F.coalesce("own", number))
+    else:
+        of = nodes.join(shared, F.col("own") == F.col("id"), "left")
+        nodes = materialize(of.withColumn("node", F.when(F.coalesce(F.col("of") == F.col("key"), F.lit(True)), F.coalesce("own", number)).otherwise(number)).drop("id", "of"))
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
     leaders = rows.groupBy("bucket").agg(F.min("node").alias("b"), F.max("node").alias("y")).where("b <> y").drop("y")
     clusters = components(rows.join(leaders, "bucket").select(F.col("node").alias("a"), "b"))
     sizes = clusters.groupBy("label").agg(F.count("*").alias("size"))
     wanted = clusters.join(sizes, "label").select("node", F.col("label").alias("cluster"), "size").join(nodes.select("node", "key"), "node")
-    # A node's text comes from one row of its least id; a node of null ids from any.
-    own = base.select(F.coalesce("doc_id", F.xxhash64("key")).alias("node"), "key", "text").join(wanted, ["node", "key"])
-    links = links_in_clusters(own.dropDuplicates(["node"]).select("node", "cluster", "size", "text"), threshold)
+    # A node's text comes from one of its rows; those that bear its name are met first, so that a hot text is not shuffled.
+    unnamed = wanted.where(F.col("node") >= UNNAMED)
+    own = base.select(F.col("doc_id").alias("node"), "key", "text").join(wanted.where(F.col("node") < UNNAMED), ["node", "key"])
+    others = base.join(unnamed, "key").select("node", "key", "text", "cluster", "size")
+    links = links_in_clusters(own.unionByName(others).dropDuplicates(["node"]).select("node", "cluster", "size", "text"), threshold)
     labels = components(links)
 
-    named = nodes.join(labels, "node", "left").select("key", "n_copies", F.coalesce("label", "node").alias("class_id"))
-    out = full.select("doc_id", "key").join(named, "key").select("doc_id", "class_id", "n_copies", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("kept"))
-    alone = empty.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(True).alias("kept"))
+    named = nodes.join(labels, "node", "left").select("key", "node", "own", "n_copies", F.coalesce("label", "node").alias("class_id"))
+    kept = (F.col("node") == F.col("class_id")) & F.col("doc_id").eqNullSafe(F.col("own"))
+    columns = ["doc_id", "class_id", "n_copies", "kept"] + ["key"] * with_key
+    out = full.select("doc_id", "key").join(named, "key").withColumn("kept", kept).select(*columns)
+    alone = empty.select("doc_id", "key", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(True).alias("kept")).select(*columns)
     return out.unionByName(alone)
 
 

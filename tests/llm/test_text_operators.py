@@ -138,6 +138,20 @@ def test_near_duplicates_equal_brute_force(spark, docs):
     assert sorted(r.class_id for r in nulls if r.class_id == 7) == [7, 7] and len(nulls) == 3
 
 
+def test_near_duplicates_of_repeated_and_missing_ids(spark, docs):
+    from skein.llm.near_text import UNNAMED, near_duplicates
+
+    a, b, c = prose(60, 1), prose(60, 2), prose(60, 3)
+    rows = [(1, a, "s"), (1, b, "s"), (1, b, "s"), (2, b + " more", "s"), (None, c, "s"), (None, c, "s"), (None, c + " more", "s"), (None, a, "s")]
+    out = [r.asDict() for r in near_duplicates(docs(rows), with_key=True).collect()]
+    assert len(out) == len(rows)
+    keys = {r["key"]: r["class_id"] for r in out}
+    assert len(set(keys.values())) == 3 and len(keys) == 5
+    kept = {(r["doc_id"], r["key"]) for r in out if r["kept"]}
+    assert len(kept) == 3 and len({r["class_id"] for r in out if r["kept"]}) == 3
+    assert {r["class_id"] for r in out if r["doc_id"] == 2} <= {2, 1} and sum(r["class_id"] >= UNNAMED for r in out) in (3, 5)
+
+
 def test_bagminhash_is_unbiased():
     from skein.llm.near_text import bags, elements, signatures, similarity
 
