@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import materialize, table
+from skein.llm.common import WORD, materialize, table, text_key
 from skein.llm.mixing import mix
 from skein.llm.near_text import near_duplicates
 from skein.llm.packing import pack
@@ -31,15 +31,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each class of near duplicates; texts without words all stay.
+    """One document of each class of near duplicates, that of least id; texts without words all stay.
 
-    Rows that repeat a kept id stay once; without an id, once per text.
+    Rows that repeat a kept id and its text stay once; a class without ids keeps one row. A different text under a
+    repeated id is a document of its own.
     """
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    # near_duplicates() names a class without ids by a hash; its texts are kept by themselves.
-    unnamed = docs.where("doc_id is null").dropDuplicates(["text"])
-    return named.unionByName(unnamed).select(*COLUMNS)
+    has_words = F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
+    kept = near_duplicates(docs, with_key=True).where("kept").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    keyed = docs.where(has_words).withColumn("_key_of_text", text_key(F.col("text")))
+    full = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key_of_text") == F.col("_key")), "left_semi").dropDuplicates(["doc_id", "_key_of_text"])
+    return full.select(*COLUMNS).unionByName(docs.where(~has_words).select(*COLUMNS))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,13 +77,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document that the mix does not reach does not appear; one without words stays as it is.
     """
     taken = mix(docs, keep=("text", "lang", "n_chars"))
-    whole = F.when(F.col("size") == 0, F.lit(1).cast("long")).otherwise(F.floor(F.col("taken") / F.col("size")))
+    whole = F.floor(F.col("taken") / F.col("size"))
     times = F.transform(F.sequence(F.lit(1).cast("long"), F.lit(4).cast("long")), lambda i: F.when(i <= whole, F.col("size")).when(i == whole + 1, F.col("taken") - whole * F.col("size")))
-    rows = taken.withColumn("_words", F.explode(F.filter(times, lambda x: (x > 0) | ((x == 0) & (F.col("size") == 0)))))
+    rows = taken.where("size > 0").withColumn("_words", F.explode(F.filter(times, lambda x: x > 0)))
     part = F.col("_words") < F.col("size")
     full = rows.where(~part).select(*COLUMNS)
     cut = rows.where(part).withColumn("text", first_words("text", "_words")).withColumn("n_chars", F.length("text").cast("long"))
-    return full.unionByName(cut.select(*COLUMNS))
+    return full.unionByName(cut.select(*COLUMNS)).unionByName(taken.where("size = 0").select(*COLUMNS))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
