@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,29 +28,55 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, on one machine, a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return folder or _own_dir()
 
 
-def materialize(df: DataFrame) -> DataFrame:
+#: Folders that materialize() wrote and nothing has deleted, and those of the scratch() blocks that are open.
+_WRITTEN: set[str] = set()
+_OPEN: list[list[str]] = []
+
+
+def materialize(df: DataFrame, keep: bool = False) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back; this cuts the lineage and survives lost executors.
 
-    Parquet keeps long texts and repeated values compressed, which Spark's own checkpoint files do not.
+    Parquet keeps long texts and repeated values compressed, which Spark's own checkpoint files do not. The end of a
+    scratch() block deletes the table unless keep is set.
     """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/skein-{uuid.uuid4().hex}"
+    if _OPEN and not keep:
+        _OPEN[-1].append(path)
     df.write.parquet(path)
+    _WRITTEN.add(path.rsplit("/", 1)[1])
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    if folder.rsplit("/", 1)[1] in _WRITTEN:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _WRITTEN.discard(folder.rsplit("/", 1)[1])
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Delete at its end what operators wrote to the shared folder inside; write their results out before that."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for folder in _OPEN.pop():
+            _delete(spark, folder)
+
+
 def forget(*frames: DataFrame) -> None:
-    """Delete tables that materialize() wrote and that nothing reads any more."""
+    """Delete tables that materialize() wrote and that nothing reads any more; other tables stay."""
     for df in frames:
-        spark = df.sparkSession
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if "/skein-" in folder:
-                path = jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(conf).delete(path, True)
+            _delete(df.sparkSession, folder)
 
 
 def bound_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 32) -> None:
