@@ -1,79 +1,203 @@
 """Substring deduplication by sliding sentence spans.
 
-A text is cut into sentences and clauses: after . ! ? ; : or a comma before white space, and before a line feed. Every
-run of three consecutive ones of at least 60 characters is hashed (a shorter text is one run); hashes are joined over all
-documents, and the sentences that any run but the first occurrence of its hash covers are removed. The first occurrence
-is the one of least id, then of least position. White space at the ends of a sentence does not count.
+A text is cut into units: sentences and clauses, which end after a word with one of . ! ? ; : , behind it or before a line
+feed; a clause of more than LONG words is cut again after words that a rule on their last character and length picks, so
+that a passage has the same units wherever it stands. From every unit on, the run of the next units that number SPAN and
+hold LEAST words at least is hashed; hashes are joined over all documents, and the words that any run but the first of
+its hash covers are removed. The first one is that of least id, then of least position. White space between words does
+not count, and that behind a removed word goes with it.
+
+A repeated passage loses all but the words before its first unit and those after its last whole run; a passage of less
+than LEAST words is left alone.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-SPAN = 3
-LEAST = 60
-CUT = r"(?<=[.!?;:,])(?=[\x20\x09-\x0D])|(?<=[^.!?;:,\x20\x09-\x0D])(?=\n)"
-BLANK = " \t\n\x0b\x0c\r"
+from skein.llm.common import bound_batches
+from skein.llm.near_text import UNNAMED, mix
 
+SPAN, LEAST, LONG = 3, 30, 16
+U = np.uint64
+STOPS = np.array([ord(c) for c in ".!?;:,"], dtype=np.uint32)
+#: Odd bases of the two hashes of a run, and their inverses modulo 2**64.
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+INVERSES = tuple(pow(b, -1, 1 << 64) for b in BASES)
+#: Characters of the texts that are laid out at a time; a longer text is laid out by itself.
+CHARACTERS = 1 << 22
 
-def _document(id_col: str, text: Column) -> Column:
-    """Identity and order of documents; those without an id come last, named by their text."""
-    # 3 * 2**63 and a hash: above every id.
-    beyond = F.expr("27670116110564327424BD").cast("decimal(20,0)")
-    return F.coalesce(F.col(id_col).cast("decimal(20,0)"), (beyond + F.xxhash64(text).cast("decimal(20,0)")).cast("decimal(20,0)"))
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(max(n, 1), base, dtype=U)
+    out[0] = 1
+    return np.cumprod(out, dtype=U)
+
+
+class Layout:
+    """Words, units and runs of texts: for each word its text, start and end, for each run its text and its words."""
+
+    def __init__(self, texts: list[str]):
+        cp = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        text_of = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
+        gap = ((cp >= 9) & (cp <= 13)) | (cp == 32)
+        inside = np.flatnonzero(~gap)
+        # The character behind a text is a gap, so no word crosses texts.
+        new = np.diff(inside, prepend=-2) > 1
+        self.start = inside[new]
+        n = len(self.start)
+        self.end = np.append(inside[np.flatnonzero(new)[1:] - 1], inside[-1:]) + 1 if n else self.start
+        self.text = text_of[self.start]
+        self.first = np.searchsorted(self.text, np.arange(len(texts) + 1))
+        self.offset = np.cumsum([0] + [len(t) + 1 for t in texts])
+        empty = np.zeros(0, np.int64)
+        self.run_text, self.run_start, self.run_end = empty, empty, empty
+        self.h, self.c = np.zeros(0, U), np.zeros(0, np.int32)
+        if not n:
+            return
+        last, size = cp[self.end - 1], self.end - self.start
+        lines = np.cumsum(cp == 10)
+        after = np.append(self.start[1:], len(cp) - 1)
+        ends_text = np.append(self.text[1:] != self.text[:-1], True)
+        cut = ends_text | np.isin(last, STOPS) | (lines[after - 1] > lines[self.end - 1])
+        clause = np.cumsum(cut) - cut
+        stop = cut | ((np.bincount(clause)[clause] > LONG) & ((last + size) % 3 == 0))
+        ends = np.flatnonzero(stop) + 1
+        starts = np.append(0, ends[:-1])
+        reach = np.maximum(np.arange(len(starts)) + SPAN - 1, np.searchsorted(ends, starts + LEAST))
+        whole = reach < len(ends)
+        starts, reach = starts[whole], ends[reach[whole]]
+        whole = self.text[starts] == self.text[reach - 1]
+        self.run_start, self.run_end = starts[whole], reach[whole]
+        self.run_text = self.text[self.run_start]
+        at = np.arange(len(inside)) - np.repeat(np.flatnonzero(new), size)
+        word = mix(np.add.reduceat((cp[inside].astype(U) + U(7)) * _powers(BASES[0], int(size.max()))[at], np.flatnonzero(new)) + size.astype(U))
+        hashes = []
+        for base, inverse, salt in zip(BASES, INVERSES, (0, 1), strict=True):
+            sums = np.append(U(0), np.cumsum(mix(word + U(salt)) * _powers(base, n), dtype=U))
+            back = _powers(inverse, n)
+            hashes.append(mix((sums[self.run_end] - sums[self.run_start]) * back[self.run_start] + (self.run_end - self.run_start).astype(U)))
+        # 96 bits name a run.
+        self.h, self.c = hashes[0], (hashes[1] >> U(32)).astype(np.uint32).view(np.int32)
+
+    def again(self) -> np.ndarray:
+        """Runs whose hash an earlier run of the same text has."""
+        order = np.lexsort((self.run_start, self.c, self.h, self.run_text))
+        t, h, c = self.run_text[order], self.h[order], self.c[order]
+        same = np.zeros(len(order), dtype=bool)
+        same[1:] = (t[1:] == t[:-1]) & (h[1:] == h[:-1]) & (c[1:] == c[:-1])
+        out = np.zeros(len(order), dtype=bool)
+        out[order] = same
+        return out
+
+
+def batches(texts: list[str]):
+    """Stretches [lo, hi) of texts of some CHARACTERS each."""
+    lo = total = 0
+    for i, t in enumerate(texts):
+        if total and total + len(t) > CHARACTERS:
+            yield lo, i
+            lo, total = i, 0
+        total += len(t)
+    if lo < len(texts):
+        yield lo, len(texts)
 
-def hashed_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """h, c, document, at: the hashes of all runs, by position in their document."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    cut = docs.select(_document(id_col, text).alias("document"), F.split(text, CUT, -1).alias("u"))
-    trimmed = cut.select("document", F.transform("u", lambda x: F.btrim(x, F.lit(BLANK))).alias("u"))
-    zipped = trimmed.select("document", F.posexplode(F.arrays_zip(*[F.slice("u", k + 1, F.greatest(F.size("u"), F.lit(1))).alias(f"u{k}") for k in range(SPAN)])).alias("at", "run"))
-    whole = F.col(f"run.u{SPAN - 1}").isNotNull() | (F.col("at") == 0)
-    run = zipped.where(whole).select("document", "at", F.concat_ws(" ", *[F.col(f"run.u{k}") for k in range(SPAN)]).alias("run")).where(F.length("run") >= LEAST)
-    # 96 bits name a run.
-    return run.select(F.xxhash64("run").alias("h"), F.hash("run").alias("c"), "document", "at")
 
+RUNS = T.StructType([T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("h", T.ArrayType(T.LongType())), T.StructField("c", T.ArrayType(T.IntegerType())), T.StructField("again", T.ArrayType(T.BooleanType()))])
+LEFT = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """document, at: the runs that are not the first of their hash, by position in their document."""
-    runs = hashed_runs(docs, id_col, text_col)
-    place = (F.col("document") * F.lit(1 << 30).cast("decimal(11,0)") + F.col("at")).cast("decimal(38,0)")
-    firsts = runs.groupBy("h", "c").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return runs.join(firsts, ["h", "c"]).where(place > F.col("first")).select("document", "at")
+
+@F.pandas_udf(RUNS)
+def _runs(texts: pd.Series) -> pd.DataFrame:
+    texts, parts = list(texts), {"at": [], "h": [], "c": [], "again": []}
+    for lo, hi in batches(texts):
+        x = Layout(texts[lo:hi])
+        edges = np.searchsorted(x.run_text, np.arange(1, hi - lo))
+        at = x.run_start - x.first[x.run_text]
+        for name, values in (("at", at.astype(np.int32)), ("h", x.h.view(np.int64)), ("c", x.c), ("again", x.again())):
+            parts[name] += np.split(values, edges)
+    return pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in parts.items()})
+
+
+def left_of(texts: list[str], hits: list[dict[int, int]]) -> list[tuple[str, int, int]]:
+    """Each text without the runs in hits (position: hash), its words, and how many of them went."""
+    x = Layout(texts)
+    gone = np.zeros(len(x.start) + 1, dtype=np.int64)
+    h = x.h.view(np.int64)
+    for i, (t, s) in enumerate(zip(x.run_text.tolist(), (x.run_start - x.first[x.run_text]).tolist(), strict=True)):
+        # A row of the same id but another text has no run of this hash here.
+        if hits[t].get(s) == h[i]:
+            gone[x.run_start[i]] += 1
+            gone[x.run_end[i]] -= 1
+    gone = np.cumsum(gone[:-1]) > 0
+    out = []
+    for k, text in enumerate(texts):
+        lo, hi = int(x.first[k]), int(x.first[k + 1])
+        lost = gone[lo:hi]
+        # Stretches of removed words, with the white space behind them.
+        edges = np.flatnonzero(np.diff(lost.astype(np.int8), prepend=0, append=0)) + lo
+        begin, pieces = 0, []
+        for a, b in edges.reshape(-1, 2).tolist():
+            pieces.append(text[begin : x.start[a] - x.offset[k]])
+            begin = x.start[b] - x.offset[k] if b < hi else len(text)
+        out.append(("".join(pieces) + text[begin:], hi - lo, int(lost.sum())))
+    return out
+
+
+@F.pandas_udf(LEFT)
+def _left(texts: pd.Series, hits: pd.Series) -> pd.DataFrame:
+    texts = list(texts)
+    found = [{r["at"]: r["h"] for r in h} for h in hits]
+    rows = []
+    for lo, hi in batches([t or "" for t in texts]):
+        done = left_of([t or "" for t in texts[lo:hi]], found[lo:hi])
+        rows += [(None, 0, 0) if t is None else r for t, r in zip(texts[lo:hi], done, strict=True)]
+    return pd.DataFrame(rows, columns=["text", "n_words", "n_removed"])
+
+
+def _document(id_col: str, text: Column) -> Column:
+    """Identity and order of documents; those without an id come last, named by a hash of their text."""
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(UNNAMED) + F.xxhash64(text).bitwiseAND(F.lit(UNNAMED - 1)))
 
 
 def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the text cleaned, and n_sentences, n_removed added in place of columns of those names.
+    """docs with the text cleaned, and n_words, n_removed (words) added in place of columns of those names.
 
-    Identical rows of one id are one occurrence and keep what that keeps; rows of one id with different texts are taken
-    for one document. Null texts stay null and have 0 sentences; an empty text has one. A common run costs one row for
-    each occurrence: counts are combined before the shuffle, and the join lets Spark split a hot hash.
+    Identical rows of one id are one occurrence and keep what that keeps; rows of one id with different texts are searched
+    as one document, each for its own runs. Null texts stay null and have 0 words. A common run costs one row for each
+    occurrence: counts are combined before the shuffle, and the join lets Spark split a hot hash.
     """
-    covered = repeated_runs(docs, id_col, text_col).select(F.col("document").alias("_document"), F.explode(F.sequence("at", F.col("at") + SPAN - 1)).alias("i"))
-    gone = covered.groupBy("_document").agg(F.collect_set("i").alias("_gone"))
+    bound_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    joined = docs.drop("n_sentences", "n_removed").withColumn("_document", _document(id_col, text)).join(gone, "_document", "left")
-    cut = joined.withColumn("_units", F.split(text, CUT, -1))
-    kept = cut.withColumn("_kept", F.array_except(F.sequence(F.lit(0), F.size("_units") - 1), F.coalesce("_gone", F.array().cast("array<int>"))))
-    units = F.when(F.col(text_col).isNull(), 0).otherwise(F.size("_units")).cast("long")
-    left = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform("_kept", lambda i: F.get("_units", i)), ""))
-    # Positions that another row of the same id lacks do not count.
-    lost = F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_units") - F.size("_kept")).cast("long")
-    return kept.withColumns({"n_sentences": units, "n_removed": lost, text_col: left}).drop("_document", "_gone", "_units", "_kept")
+    runs = docs.select(_document(id_col, text).alias("document"), _runs(text).alias("r")).select("document", F.inline(F.arrays_zip("r.at", "r.h", "r.c", "r.again")))
+    firsts = runs.groupBy("h", "c").agg(F.min("document").alias("first"), F.max("document").alias("last"), F.bool_or("again").alias("twice")).where("first < last or twice")
+    hits = runs.join(firsts.select("h", "c", "first"), ["h", "c"]).where((F.col("document") > F.col("first")) | F.col("again"))
+    gone = hits.groupBy(F.col("document").alias("_document")).agg(F.collect_set(F.struct("at", "h")).alias("_hits"))
+    joined = docs.drop("n_words", "n_removed").withColumn("_document", _document(id_col, text)).join(gone, "_document", "left")
+    none = F.array().cast("array<struct<at:int,h:bigint>>")
+    out = joined.withColumn("_left", _left(F.col(text_col), F.coalesce("_hits", none)))
+    return out.withColumns({text_col: F.col("_left.text"), "n_words": F.col("_left.n_words"), "n_removed": F.col("_left.n_removed")}).drop("_document", "_hits", "_left")
 
 
 #: remove_repeated() over documents in DuckDB.
-ORACLE = """
-with recursive d as (select doc_id, text, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '([.!?;:,])([\\x20\\x09-\\x0D])', '\\1' || chr(31) || '\\2', 'g'), '([^.!?;:,\\x20\\x09-\\x0D\\x1F])(\\n)', '\\1' || chr(31) || '\\2', 'g'), chr(31)) as u from documents),
-e as (select doc_id, len(u) as n, unnest(u) as raw, unnest(range(len(u))) as i from d),
-t as (select doc_id, n, i, trim(raw, E' \\t\\n\\x0b\\x0c\\r') as s from e),
-r as (select doc_id, i, case when n < 3 then string_agg(s, ' ') over w else concat_ws(' ', s, lead(s) over o, lead(s, 2) over o) end as run, n from t
-  window w as (partition by doc_id), o as (partition by doc_id order by i)),
-q as (select doc_id, i, run, row_number() over (partition by run order by doc_id, i) as k from r where length(run) >= 60 and (i + 2 < n or i = 0)),
-x as (select distinct doc_id, unnest([i, i + 1, i + 2]) as i from q where k > 1)
-select e.doc_id, count(*) as n_sentences, count(*) - count(*) filter (x.i is null) as n_removed,
-  coalesce(string_agg(e.raw, '' order by e.i) filter (x.i is null), '') as text
-from e left join x on x.doc_id = e.doc_id and x.i = e.i group by e.doc_id
+ORACLE = f"""
+with recursive d as (select doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*') as p from documents),
+w as (select doc_id, unnest(p) as p, unnest(range(len(p))) as i, len(p) as n from d),
+v as (select *, regexp_replace(p, '[\\x20\\x09-\\x0D]+$', '') as s from w),
+x as (select *, (i = n - 1 or regexp_matches(s, '[.!?;:,]$') or contains(p, chr(10))) as cut from v),
+y as (select *, coalesce(sum(cut::int) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as clause from x),
+z as (select *, count(*) over (partition by doc_id, clause) as size from y),
+b as (select *, cut or (size > {LONG} and (unicode(right(s, 1)) + length(s)) % 3 = 0) as stop from z),
+e as (select doc_id, list(s order by i) as ws, list(i + 1 order by i) filter (stop) as ends from b group by doc_id),
+u as (select doc_id, ws, ends, unnest(list_prepend(0, ends[:-2])) as s, unnest(range(len(ends))) as k from e),
+r as (select doc_id, s, list_filter(ends[k + {SPAN}:], lambda q: q >= s + {LEAST})[1] as t, ws from u),
+q as (select doc_id, s, t, row_number() over (partition by array_to_string(ws[s + 1:t], ' ') order by doc_id, s) as k from r where t is not null),
+g as (select distinct doc_id, unnest(range(s, t)) as i from q where k > 1)
+select d.doc_id, case when d.text is null then null else regexp_extract(d.text, '^[\\x20\\x09-\\x0D]*') || coalesce(string_agg(b.p, '' order by b.i) filter (g.i is null), '') end as text,
+  count(b.i) as n_words, count(g.i) as n_removed
+from d left join b on b.doc_id = d.doc_id left join g on g.doc_id = b.doc_id and g.i = b.i group by d.doc_id, d.text
 """
