@@ -72,6 +72,17 @@ def lacking(slots: DataFrame, per: DataFrame, words: int) -> DataFrame:
     return short.select(F.col("g").alias("source"), F.explode(F.sequence("had", F.col("needed") - 1)).alias("rank"))
 
 
+def takes(goal: DataFrame, total: int, words: int) -> DataFrame:
+    """source, block, length, take of every slot: how much of a block it takes; only the slot that reaches the target
+    takes a part. goal as from targets(). The words that a source's slots take are its target, rounded."""
+    per = goal.select(F.col("source").alias("g"), "source_size", F.round("target").cast("long").alias("goal"), F.ceil(F.col("source_size") / words).alias("blocks"))
+    slots = materialize(schedule(goal, total, words).select("source", "rank"))
+    taken = slots.unionByName(lacking(slots, per, words)).join(per, F.col("source").eqNullSafe(F.col("g"))).withColumn("block", F.col("rank") % F.col("blocks"))
+    length = F.least(F.lit(words), F.col("source_size") - F.col("block") * words)
+    left = F.col("goal") - (F.col("rank") / F.col("blocks")).cast("long") * F.col("source_size") - F.col("block") * words
+    return taken.select("source", "block", length.alias("length"), F.greatest(F.lit(0), F.least(length, left)).alias("take"))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken (and the columns in keep).
 
@@ -79,9 +90,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3
     are 0. Repeated rows are documents of their own; ids, sources and texts may be null; an empty table gives no rows.
     A hot source is summed in 4096 buckets of its documents and met by blocks, never as a whole.
     """
-    md5 = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+    # Rows without an id are spread and ordered by their texts.
+    md5 = F.md5(F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text:"), F.col(text_col)), F.lit("")).cast("binary"))
+    tie = F.xxhash64(F.col(text_col)).alias("tie")
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), md5.alias("md5"), *keep)).withColumn("bucket", F.substring("md5", 1, 3))
+    sized = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), md5.alias("md5"), tie, *keep)).withColumn("bucket", F.substring("md5", 1, 3))
     sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     goal = materialize(targets(sums.groupBy("source").agg(F.sum("n").alias("source_size")), weights, most))
     seen = goal.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("total"), F.coalesce(F.min(F.when(F.col("target") > 0, F.col("target"))), F.lit(0.0)).alias("least")).first()
@@ -89,17 +102,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3
 
     # Where each document starts in its source.
     before = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), (F.sum("n").over(Window.partitionBy("source").orderBy("bucket")) - F.col("n")).alias("before"))
-    order = Window.partitionBy("source", "bucket").orderBy("md5", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy("source", "bucket").orderBy("md5", F.col("doc_id").asc_nulls_last(), "size", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     laid = sized.join(before, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).withColumn("start", F.sum("size").over(order) - F.col("size") + F.col("before"))
     laid = laid.join(goal.select(F.col("source").alias("g"), "source_size", "target"), F.col("source").eqNullSafe(F.col("g"))).select("doc_id", "source", "size", "source_size", "target", "start", *keep)
 
-    # What the slots take of each block: whole times, and a part of it for the slot that reaches the target.
-    per = goal.select(F.col("source").alias("g"), "source_size", F.round("target").cast("long").alias("goal"), F.ceil(F.col("source_size") / words).alias("blocks"))
-    slots = materialize(schedule(goal, seen["total"], words).select("source", "rank"))
-    taken = slots.unionByName(lacking(slots, per, words)).join(per, F.col("source").eqNullSafe(F.col("g"))).withColumn("block", F.col("rank") % F.col("blocks"))
-    length = F.least(F.lit(words), F.col("source_size") - F.col("block") * words)
-    left = F.col("goal") - (F.col("rank") / F.col("blocks")).cast("long") * F.col("source_size") - F.col("block") * words
-    taken = taken.select("source", "block", length.alias("length"), F.greatest(F.lit(0), F.least(length, left)).alias("take"))
+    taken = takes(goal, seen["total"], words)
     picks = taken.groupBy(F.col("source").alias("p"), "block").agg(F.sum(F.when(F.col("take") == F.col("length"), 1).otherwise(0)).alias("times"), F.max(F.when(F.col("take") < F.col("length"), F.col("take")).otherwise(0)).alias("part"))
 
     spans = laid.where("size > 0").withColumn("block", F.explode(F.sequence((F.col("start") / words).cast("long"), ((F.col("start") + F.col("size") - 1) / words).cast("long"))))
@@ -113,23 +120,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3
     return full.unionByName(none).select("doc_id", "source", "size", "source_size", "target", "taken", *keep)
 
 
-#: mix() over documents in DuckDB: the prefix of a source's documents, repeated, that its slots reach.
+#: mix() over documents in DuckDB: of a source's documents, laid end to end and repeated, its target's words are taken.
 ORACLE = """
-with recursive d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as size, md5(doc_id::varchar) as h from documents),
+with recursive d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as size, md5(coalesce(doc_id::varchar, 'text:' || text, '')) as h from documents),
 s as (select source, sum(size)::bigint as source_size from d group by source),
 w as (select *, ([5.0::double, 2.0::double, 1.0::double])[((row_number() over (order by source nulls last) - 1) % 3 + 1)::int] as weight, 3.0::double * source_size as cap from s),
 l as (select *, (sum(source_size) over ()::double - (sum(cap) over r - cap)) / (sum(weight) over () - (sum(weight) over r - weight)) as level from w
   window r as (order by cap / weight, source nulls last rows between unbounded preceding and current row)),
-t as (select *, least(cap, weight * (select max(level) from l)) as target from l),
-g as (select *, (sum(target) over u - target) / sum(target) over () as lo, sum(target) over u / sum(target) over () as hi from t
-  window u as (order by source nulls last rows between unbounded preceding and current row)),
-p as (select sum(source_size)::bigint as total, greatest(1, sum(source_size)::bigint >> 20, least(4096, floor(min(target) filter (target > 0) / 64)::bigint)) as words from g),
-n as (select ((i + 1) * 0.6180339887498949::double) % 1.0::double as u from p, range((p.total / p.words::double * 1.05)::decimal(38, 9)::double::bigint + 66) x(i) where i < floor(p.total / p.words::double * 1.05::double)::bigint + 64),
-c as (select g.source, count(*) as slots from n join g on n.u >= g.lo and n.u < g.hi group by g.source),
-k as (select g.source, g.source_size, g.target, ceil(g.source_size / p.words::double)::bigint as nb, least(round(g.target)::bigint,
-  case when g.source_size = 0 then 0 else (coalesce(c.slots, 0) // greatest(1, ceil(g.source_size / p.words::double)::bigint)) * g.source_size
-  + least(g.source_size, (coalesce(c.slots, 0) % greatest(1, ceil(g.source_size / p.words::double)::bigint)) * p.words) end)::bigint as taken
-  from p, g left join c on c.source is not distinct from g.source),
+k as (select source, source_size, least(cap, weight * (select max(level) from l)) as target, round(least(cap, weight * (select max(level) from l)))::bigint as taken from l),
 e as (select d.*, sum(size) over (partition by source order by h, doc_id nulls last, size rows between unbounded preceding and current row) - size as start from d)
 select e.doc_id, e.source, e.size::bigint as size, k.source_size, k.target,
   (case when e.size = 0 then 0 else (k.taken // k.source_size) * e.size + greatest(0, least(k.taken % k.source_size - e.start, e.size)) end)::bigint as taken
