@@ -79,7 +79,8 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str
 
     Unusable vectors and null ids take no part; a query with fewer than k others gets all. Shorter vectors end in zeros.
     Rows that repeat an id are candidates each, but never of their own id. Blocks of queries meet blocks of vectors on a
-    grid by key, only where the lengths allow a hit, so no task holds more than a batch of blocks.
+    grid by key, only where the lengths allow a hit, so no task holds more than a batch of blocks; a task returns at most k
+    rows per query for each run of blocks that it sees.
     """
     spark = vectors.sparkSession
     base = vectors.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col)).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
@@ -117,23 +118,40 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str
     pairs = queries.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))).join(data.withColumn("cell", F.pmod(F.xxhash64("ids"), F.lit(cells)).cast("int")), "cell").where("longest >= need").drop("cell", "need", "longest")
 
     def scan(frames):
+        """The k best of a block of queries over the blocks that it meets in a row; each block raises their bounds."""
+        at, q_ids, q, q_norm, bounds, kept = None, None, None, None, None, []
+
+        def result():
+            full = [(np.full(len(i), query), i, s) for query, (i, s) in zip(q_ids, kept, strict=True) if len(i)]
+            if full:
+                yield pd.DataFrame({n: np.concatenate(x) for n, x in zip(("query_id", "vec_id", "score"), zip(*full, strict=True), strict=True)})
+
         for frame in frames:
             for r in frame.itertuples():
-                q_ids, ids = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.ids, np.int64)
-                q, p = np.frombuffer(r.q_rows, np.int64).reshape(len(q_ids), width), np.frombuffer(r.rows, np.int64).reshape(len(ids), width)
-                bounds, length, q_norm = np.frombuffer(r.bounds, np.float64), norms(p), norms(q)
+                if at != (r.q_ids, r.q_rows):
+                    if at is not None:
+                        yield from result()
+                    at, q_ids = (r.q_ids, r.q_rows), np.frombuffer(r.q_ids, np.int64)
+                    q, bounds = np.frombuffer(r.q_rows, np.int64).reshape(len(q_ids), width), np.frombuffer(r.bounds, np.float64).copy()
+                    q_norm, kept = norms(q), [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(q_ids)
+                ids = np.frombuffer(r.ids, np.int64)
+                p = np.frombuffer(r.rows, np.int64).reshape(len(ids), width)
+                length = norms(p)
                 unit = p / np.maximum(length, 1e-300)[:, None]
-                found = []
                 for i in range(len(q_ids)):
                     rows = survivors(q[i].astype(np.float64), q_norm[i], bounds[i], unit, length)
                     rows = rows[ids[rows] != q_ids[i]]
-                    if len(rows):
-                        s = products(q[i : i + 1], p[rows])[0]
-                        rows, s = rows[s >= bounds[i]], s[s >= bounds[i]]
-                        pick = best(s, ids[rows], k)
-                        found.append((np.full(len(pick), q_ids[i]), ids[rows][pick], s[pick]))
-                if found:
-                    yield pd.DataFrame({n: np.concatenate(x) for n, x in zip(("query_id", "vec_id", "score"), zip(*found, strict=True), strict=True)})
+                    if not len(rows):
+                        continue
+                    s = products(q[i : i + 1], p[rows])[0]
+                    high = s >= bounds[i]
+                    all_ids, all_s = np.concatenate([kept[i][0], ids[rows[high]]]), np.concatenate([kept[i][1], s[high]])
+                    pick = best(all_s, all_ids, k)
+                    kept[i] = (all_ids[pick], all_s[pick])
+                    if len(pick) == k:
+                        bounds[i] = max(bounds[i], float(all_s[pick[-1]]))
+        if at is not None:
+            yield from result()
 
     with arrow_rows(spark, 16):
         hits = materialize(pairs.mapInPandas(scan, "query_id long, vec_id long, score long"))
