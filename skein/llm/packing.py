@@ -49,11 +49,23 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in own)}
 
 
+@lru_cache(maxsize=2)
+def library_encoder(path: str):
+    """Ids of a text by tokenizers itself."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+
+
 class Encoder:
     """Token ids of whole texts as little-endian 32-bit integers, equal to those of the tokenizers file at path.
 
     Where the file is a plain byte-level BPE whose ids rank its merges, its vocabulary is handed to a faster encoder of
-    the same algorithm (special strings inside texts become their ids, as in tokenizers); else tokenizers encodes.
+    the same algorithm (special strings inside texts become their ids, as in tokenizers); else, and where that encoder
+    refuses a text, tokenizers encodes.
     """
 
     def __init__(self, path: str):
@@ -73,14 +85,16 @@ class Encoder:
             # Fixed value: the split pattern of byte-level pre-tokenizers with use_regex.
             pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
             encoding = Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
-            self.encode = lambda text: encoding.encode_to_numpy(text, allowed_special="all")
+            def encode(text: str):
+                try:
+                    return encoding.encode_to_numpy(text, allowed_special="all")
+                except ValueError:
+                    # Its pattern matcher gives up on very long runs of white space.
+                    return library_encoder(path)(text)
+
+            self.encode = encode
         else:
-            from tokenizers import Tokenizer
-
-            tokenizer = Tokenizer.from_file(path)
-            tokenizer.no_truncation()
-            tokenizer.no_padding()
-            self.encode = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+            self.encode = library_encoder(path)
 
     def ids(self, text: str | None) -> bytes:
         return np.asarray(self.encode(text), dtype="<u4").tobytes() if text else b""
@@ -116,7 +130,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
 
     A null or empty text is the end id alone. Repeated rows are packed as often as they occur; an empty table gives no
     rows; other columns are ignored. Only piece lengths are shuffled, by a class and a sub-bucket of it, so neither a hot
-    class nor a hot document meets in one task; ranks inside a class come from per-bucket counts.
+    class nor a hot document meets in one task; ranks inside a class come from per-bucket counts. A sequence's pieces meet
+    to get their offsets: at most `capacity` rows, whatever the corpus.
     """
     spark = docs.sparkSession
     bound_batches(spark)
