@@ -10,7 +10,7 @@ are linked once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm.common import materialize, text_key
@@ -31,28 +31,24 @@ KINDS = ["assign", "access", "hex", "identifier", "candidate", "endpoint"]
 PATTERNS = dict(zip(KINDS, [ASSIGN, ACCESS, HEX, IDENTIFIER, CANDIDATE, ENDPOINT], strict=True))
 
 
-def _spans(text: Column, found: Column, kind: str) -> Column:
-    """array<struct<start, rank, end>> of the matches found in text, in code points.
+#: Code points of a block of text that is redacted at a time.
+BLOCK = 4096
 
-    The pieces between the matches, as split() by the same pattern gives them, place every match.
-    """
-    gaps = F.transform(F.split(text, PATTERNS[kind], -1), lambda x: F.length(x).cast("long"))
-    rank = F.lit(KINDS.index(kind))
-    none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint>>")
-    step = F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans"))
 
-    def walk(state: Column, x: Column) -> Column:
-        start = state["at"] + x["gap"]
-        end = start + F.length(x["match"])
-        good = F.length(F.regexp_extract(x["match"], ASSIGN, 2)) >= ASSIGN_LEAST if kind == "assign" else F.lit(True)
-        grown = F.concat(state["spans"], F.array(F.struct(start.alias("start"), rank.alias("rank"), end.alias("end"))))
-        return F.struct(end.cast("long").alias("at"), F.when(good, grown).otherwise(state["spans"]).alias("spans"))
+def _pieces(text: Column, kind: str) -> Column:
+    """array<struct<rank, i, gap, size, good>> of a kind's matches in text, in code points and in order.
 
-    pairs = F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-    return F.when(F.size(found) > 0, F.aggregate(F.filter(pairs, lambda x: x["match"].isNotNull()), step, walk)["spans"]).otherwise(none)
+    gap is what lies between a match and the one before, as split() by the same pattern gives it.
+    """
+    found = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
+    good = lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= ASSIGN_LEAST if kind == "assign" else F.lit(True)
+    pairs = F.arrays_zip(found.alias("m"), F.slice(F.split(text, PATTERNS[kind], -1), 1, F.size(found)).alias("g"))
+    step = lambda x, i: F.struct(F.lit(KINDS.index(kind)).alias("rank"), i.alias("i"), F.length(x["g"]).cast("long").alias("gap"), F.length(x["m"]).cast("long").alias("size"), good(x["m"]).alias("good"))
+    return F.when(text.rlike(PATTERNS[kind]), F.transform(pairs, step)).otherwise(F.array().cast("array<struct<rank:int,i:int,gap:bigint,size:bigint,good:boolean>>"))
 
 
 def _text(spans: Column) -> Column:
+    """All spans as kind:start:end, comma-joined."""
     names = F.array(*[F.lit(k) for k in KINDS])
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["rank"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
@@ -65,17 +61,22 @@ def find_secrets(docs: DataFrame, text_col: str = "text", scope: int = 300, drop
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = docs.drop("base", "secret_spans")
-    found = docs.select("*", text_key(F.col(text_col)).alias("_text_key"), *[F.regexp_extract_all(text, F.lit(PATTERNS[k]), F.lit(0)).alias(f"_found_{k}") for k in KINDS])
-    placed = found.select(*docs.columns, "_text_key", *[_spans(text, F.col(f"_found_{k}"), k).alias(f"_{k}") for k in KINDS])
-    base = F.array_sort(F.concat(*[F.col(f"_{k}") for k in KINDS[:3]]))
-    placed = placed.select(*[c for c in docs.columns if not (drop_text and c == text_col)], "_text_key", base.alias("base"), F.concat(*[F.col(f"_{k}") for k in KINDS[3:]]).alias("_weak"))
-    free = F.filter("_weak", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    placed = materialize(placed.withColumn("_weak", free))
-
-    # Only texts with weak parts are joined; the others are done.
-    open_, done = placed.where("size(_weak) > 0"), placed.where("size(_weak) = 0")
-    texts = open_.groupBy("_text_key").agg(F.max(F.concat("base", "_weak")).alias("parts"))
-    parts = texts.select("_text_key", F.explode("parts").alias("part")).select("_text_key", "part", F.col("part.start").alias("at"), F.col("part.rank").alias("rank"), F.floor(F.col("part.start") / scope).alias("cell"))
+    columns = [c for c in docs.columns if not (drop_text and c == text_col)]
+    placed = materialize(docs.select(*columns, text_key(F.col(text_col)).alias("_text_key"), F.concat(*[_pieces(text, k) for k in KINDS]).alias("_pieces")))
+    some, none = placed.where("size(_pieces) > 0"), placed.where("size(_pieces) = 0")
+
+    # Places are running sums of gaps and matches, text by text; each step is linear in a text's matches.
+    each = some.select("_text_key", "_pieces").dropDuplicates(["_text_key"]).select("_text_key", F.inline("_pieces"))
+    end = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("_text_key", "rank").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    spans = each.withColumn("end", end).where("good").select("_text_key", (F.col("end") - F.col("size")).alias("start"), "rank", "end")
+    # A weak span that meets a base span goes: one that starts no later and reaches into it, or one that starts inside.
+    base, text_order = F.col("rank") < 3, Window.partitionBy("_text_key")
+    reached = F.max(F.when(base, F.col("end"))).over(text_order.orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    coming = F.min(F.when(base, F.col("start"))).over(text_order.orderBy(F.col("start").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    met = (F.coalesce("reached", F.lit(0)) > F.col("start")) | F.coalesce(F.col("coming") < F.col("end"), F.lit(False))
+    free = spans.withColumn("reached", reached).withColumn("coming", coming).where(base | ~met)
+    spans = materialize(free.select("_text_key", F.struct("start", "rank", "end").alias("part")))
+    parts = spans.select("_text_key", "part", F.col("part.start").alias("at"), F.col("part.rank").alias("rank"), F.floor(F.col("part.start") / scope).alias("cell"))
     identifiers, secrets, endpoints = (parts.where(F.col("rank").isin(*[KINDS.index(k) for k in names])) for names in (("access", "identifier"), ("assign", "hex", "candidate"), ("endpoint",)))
 
     def beside(weak: DataFrame, others: DataFrame) -> DataFrame:
@@ -85,10 +86,12 @@ def find_secrets(docs: DataFrame, text_col: str = "text", scope: int = 300, drop
 
     pick = lambda kind: parts.where(F.col("rank") == KINDS.index(kind))
     linked = beside(pick("identifier"), secrets).unionByName(beside(pick("candidate"), identifiers.unionByName(endpoints))).unionByName(beside(beside(pick("endpoint"), identifiers), secrets))
-    added = linked.groupBy(F.col("_text_key").alias("k")).agg(F.collect_list("part").alias("added"))
-    joined = open_.join(added, F.col("_text_key") == F.col("k"), "left").withColumn("secret_spans", F.array_sort(F.concat("base", F.coalesce("added", F.expr("slice(base, 1, 0)")))))
-    columns = [c for c in docs.columns if not (drop_text and c == text_col)] + ["base", "secret_spans"]
-    return joined.select(*columns).unionByName(done.withColumn("secret_spans", F.col("base")).select(*columns))
+    every = parts.where("rank < 3").select("_text_key", "part").unionByName(linked.select("_text_key", "part"))
+    by_text = every.groupBy(F.col("_text_key").alias("k")).agg(F.array_sort(F.collect_list("part")).alias("secret_spans"))
+    empty = F.array().cast("array<struct<start:bigint,rank:int,end:bigint>>")
+    found = some.join(by_text, F.col("_text_key") == F.col("k"), "left").withColumn("secret_spans", F.coalesce("secret_spans", empty))
+    found = found.withColumn("base", F.filter("secret_spans", lambda x: x["rank"] < 3)).select(*columns, "base", "secret_spans")
+    return found.unionByName(none.select(*columns, empty.alias("base"), empty.alias("secret_spans")))
 
 
 def secret_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = 300) -> DataFrame:
@@ -98,18 +101,35 @@ def secret_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return found.select("doc_id", *[count(k) for k in KINDS[:3]], F.sha2(_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), _text(F.col("secret_spans")).alias("spans"), (F.size("secret_spans") - F.size("base")).cast("long").alias("n_linked"))
 
 
-def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """text with every stretch that spans cover put as mark; spans sorted by start, code points, end exclusive."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def walk(state: Column, s: Column) -> Column:
-        out = F.concat(state["out"], F.when(s["start"] >= state["at"], F.concat(F.substring(text, (state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int")), F.lit(mark))).otherwise(F.lit("")))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
+def redact(found: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
+    """found with every stretch of the text that its secret_spans cover put as mark; other columns and rows as they are.
 
-    def finish(state: Column) -> Column:
-        return F.concat(state["out"], F.substring(text, (state["at"] + 1).cast("int"), F.lit(2147483647)))
-
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, walk, finish)).otherwise(text)
+    Spans that overlap share a mark. Texts without spans, null ones included, pass through. A text is cut into blocks of
+    BLOCK code points, which meet their spans, so the work is linear in the text and in its spans.
+    """
+    own = F.struct(text_key(F.col(text_col)), F.xxhash64("secret_spans"))
+    some = materialize(found.where("size(secret_spans) > 0").withColumn("_own", own))
+    texts = some.select("_own", F.col(text_col).alias("_text"), "secret_spans").dropDuplicates(["_own"])
+    blocks = texts.select("_own", F.posexplode(F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))).alias("no", "block"))
+    # Where the spans before have ended; what of a span lies before that is gone already.
+    before = Window.partitionBy("_own").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    spans = texts.select("_own", F.inline("secret_spans")).withColumn("past", F.coalesce(F.max("end").over(before), F.lit(0)))
+    gone = spans.withColumn("low", F.greatest("start", "past")).where("low < end")
+    gone = gone.withColumn("no", F.explode(F.sequence((F.col("low") / BLOCK).cast("int"), ((F.col("end") - 1) / BLOCK).cast("int"))))
+    first = F.col("no").cast("long") * BLOCK
+    local = F.struct((F.greatest("low", first) - first).cast("int").alias("low"), (F.least("end", first + BLOCK) - first).cast("int").alias("high"), ((F.col("start") >= F.col("past")) & (F.col("low") >= first)).alias("mark"))
+    cuts = gone.groupBy("_own", "no").agg(F.array_sort(F.collect_list(local)).alias("cuts"))
+
+    def walk(state: Column, c: Column) -> Column:
+        kept = F.substring(F.col("block"), state["at"] + 1, c["low"] - state["at"])
+        return F.struct(c["high"].alias("at"), F.concat(state["out"], kept, F.when(c["mark"], F.lit(mark)).otherwise(F.lit(""))).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    clean = F.when(F.col("cuts").isNull(), F.col("block")).otherwise(F.aggregate("cuts", start, walk, lambda s: F.concat(s["out"], F.substring(F.col("block"), s["at"] + 1, F.lit(BLOCK)))))
+    done = blocks.join(cuts, ["_own", "no"], "left").select("_own", F.struct("no", clean.alias("block")).alias("b"))
+    whole = done.groupBy("_own").agg(F.array_join(F.transform(F.array_sort(F.collect_list("b")), lambda b: b["block"]), "").alias("_clean"))
+    cleaned = some.join(whole, "_own").withColumn(text_col, F.col("_clean")).select(*found.columns)
+    return cleaned.unionByName(found.where("size(secret_spans) = 0").select(*found.columns))
 
 
 def _places(kind: str, pattern: str, keep: str = "true") -> str:

@@ -42,8 +42,8 @@ def test_toxicity_on_held_out_documents(spark):
 
     scores, ys, predicted = evaluate(spark, score_toxicity, "toxic")
     predicted, ys = np.array(predicted), np.array(ys)
-    # Some labels have no telling word: 14 of 97 stay below the threshold.
-    assert auc(scores, ys) > 0.94 and ys[predicted == 1].mean() > 0.95 and predicted[ys == 1].mean() > 0.83
+    # Some labelled documents have no telling word: 12 of 97 stay below the threshold.
+    assert auc(scores, ys) > 0.94 and ys[predicted == 1].mean() > 0.95 and predicted[ys == 1].mean() > 0.85
 
 
 def test_classifiers_take_any_text(spark):
@@ -77,7 +77,8 @@ def test_unseen_misspellings_share_subwords():
     sample = Sample()
     sample.add(clean + toxic, [0] * len(clean) + [1] * len(toxic))
     scorer = fit(sample).open()
-    assert scorer.score("garden stone worthlesss river table cloud") > 0.5 > scorer.score("garden stone letter river table cloud")
+    misspelt, clean = scorer.scores(["garden stone worthlesss river table cloud", "garden stone letter river table cloud"])
+    assert misspelt > 0.5 > clean
 
 
 def test_pipeline_stages(spark):
@@ -109,6 +110,11 @@ def test_pipeline_stages(spark):
     full = docs.groupBy("sequence_id").sum("length").collect()
     assert max(r[1] for r in full) <= 2048
     assert [name for name, _ in pipeline.STAGES] == ["toxicity", "near_duplicates", "secrets", "mixing", "packing"]
+    # run() leaves no tables of its stages but those that its result reads.
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    before = set(os.listdir(folder))
+    whole = pipeline.run(spark, SMALL)
+    assert whole.count() > 0 and len(set(os.listdir(folder)) - before) <= 3
     empty = spark.read.parquet(f"{SMALL}/documents.parquet").limit(0)
     for _, stage in pipeline.STAGES[:-1]:
         empty = materialize(stage(spark, empty, SMALL))

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -56,7 +57,8 @@ def test_encoder_equals_the_library():
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     library, own = Tokenizer.from_file(path), Encoder(path)
-    for text in ODD:
+    long = [c * 1_000_000 for c in (" ", "\n", "a", "!")] + ["a" + " " * 5_000_000 + "b"]
+    for text in ODD + long:
         assert np.frombuffer(own.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
@@ -182,19 +184,57 @@ def test_repeated_spans_go_and_first_ones_stay(spark, docs):
     from skein.llm.repeated_spans import remove_repeated
 
     passage = "The quick brown fox jumps over the lazy dog near the river bank, while seven grey geese watch in silence. Nobody on the far shore knew why the animals had gathered there that morning. It was cold; the water had begun to freeze at the edges, and the wind smelled of snow. Later they all left."
-    rows = [(3, "Intro of three. " + passage + " Tail three.", "s"), (1, "Other intro mid sentence " + passage + "\nEnd one.", "s"), (2, "Nothing shared here at all. Clean words only. Short.", "s"), (4, None, "s"), (5, "", "s"), (6, "Short copy.", "s"), (7, "Short copy.", "s"), (8, "x. " * 4000, "s"), (9, passage, "s"), (9, passage, "s")]
-    out = {r.doc_id: r for r in remove_repeated(docs(rows)).collect()}
-    assert out[1].text == rows[1][1] and out[1].n_removed == 0
-    assert out[2].text == rows[2][1] and out[6].text == out[7].text == "Short copy."
-    assert "seven grey geese" not in out[3].text and out[3].text.startswith("Intro of three.") and out[3].text.endswith("Tail three.")
-    assert out[4].text is None and out[4].n_sentences == 0 and out[5].text == ""
-    assert "far shore" not in out[9].text
+    rows = [(3, "Intro of three. " + passage + " Tail three.", "s"), (1, "Other intro mid sentence " + passage + "\nEnd one.", "s"), (2, "Nothing shared here at all. Clean words only. Short.", "s"), (4, None, "s"), (5, "", "s"), (6, "Short copy.", "s"), (7, "Short copy.", "s"), (8, "x. " * 4000, "s"), (9, passage, "s"), (9, passage, "s"), (10, "Another text under a used id, of its own, that nobody shares.", "s"), (10, passage, "s"), (None, passage, "s")]
+    out = collections.defaultdict(list)
+    for r in remove_repeated(docs(rows)).collect():
+        out[r.doc_id].append(r)
+    one = {i: r[0] for i, r in out.items()}
+    assert one[1].text == rows[1][1] and one[1].n_removed == 0
+    assert one[2].text == rows[2][1] and one[6].text == one[7].text == "Short copy."
+    assert "far shore" not in one[3].text and one[3].text.startswith("Intro of three.") and one[3].text.endswith("Tail three.")
+    assert one[4].text is None and one[4].n_words == 0 and one[5].text == ""
+    assert len(one[8].text.split()) < 31 and "far shore" not in one[9].text and "far shore" not in one[None].text
+    assert sorted(r.n_removed == 0 for r in out[10]) == [False, True]
+    assert all(r.n_words - r.n_removed == len(WORD.findall(r.text or "")) for rs in out.values() for r in rs)
     assert remove_repeated(docs(rows)).count() == len(rows) and remove_repeated(docs([])).count() == 0
     # A run that a document repeats itself goes as well.
     twice = remove_repeated(docs([(1, passage + " " + passage, "s")])).first()
     assert twice.text.startswith(passage) and twice.text.count("far shore") == 1
 
 
+def brute_left(rows):
+    """Cleaned texts by id, by comparing the words of all runs."""
+    stops, seen, out = ".!?;:,", {}, {}
+    for i, text, _ in sorted(rows):
+        spans = [m.span() for m in WORD.finditer(text)]
+        words = [text[a:b] for a, b in spans]
+        cut = [k + 1 == len(words) or w[-1] in stops or "\n" in text[spans[k][1] : spans[k + 1][0]] for k, w in enumerate(words)]
+        bounds, clause = [], []
+        for k in range(len(words)):
+            clause.append(k)
+            if cut[k]:
+                bounds += [j + 1 for j in clause if j == k or (len(clause) > 16 and (ord(words[j][-1]) + len(words[j])) % 3 == 0)]
+                clause = []
+        lost = set()
+        for u, s in enumerate([0, *bounds[:-1]]):
+            t = next((b for b in bounds[u + 2 :] if b >= s + 30), None)
+            if t is not None and words:
+                if seen.setdefault(tuple(words[s:t]), (i, s)) != (i, s):
+                    lost |= set(range(s, t))
+        starts = [a for a, _ in spans] + [len(text)]
+        out[i] = text[: starts[0]] + "".join(text[starts[k] : starts[k + 1]] for k in range(len(words)) if k not in lost)
+    return out
+
+
+def test_repeated_spans_equal_brute_force(spark, docs):
+    from skein.llm.repeated_spans import remove_repeated
+
+    rng, pool = random.Random(8), [prose(n, n) for n in (20, 29, 35, 60, 90)]
+    pieces = lambda: [rng.choice(pool) if rng.random() < 0.5 else prose(rng.randint(1, 40), rng.randint(0, 10**6)) for _ in range(rng.randint(1, 6))]
+    rows = [(i, rng.choice(["", " ", "\n"]) + rng.choice([" ", "\n", ". ", "  "]).join(pieces()), "s") for i in range(120)]
+    assert {r.doc_id: r.text for r in remove_repeated(docs(rows)).collect()} == brute_left(rows)
+
+
 def longest_shared(text, earlier):
     """Words of the longest run that text shares with earlier ones."""
     runs, best = {}, 0
@@ -213,39 +253,32 @@ def longest_shared(text, earlier):
 
 
 def test_planted_passages_go_wherever_sentences_end(spark, docs):
-    from skein.llm.repeated_words import WINDOW, remove_repeated_passages
+    from skein.llm.repeated_spans import remove_repeated
 
     rng = random.Random(11)
-    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    fresh = lambda n: ["w" + "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 12))) for _ in range(n)]
     rows, plants = [], {}
-    for ends in (0, 1, 2):
-        for n in (51, 55, 60):
+    for ends in (0, 1, 2, 3):
+        for n in (51, 55, 60, 80) * 5:
             passage = fresh(n)
             for k in range(ends):
                 passage[(k + 1) * n // (ends + 1)] += "."
             at = len(rows)
             rows += [(at, " ".join(fresh(40) + passage + fresh(40)), "s"), (at + 1, " ".join(fresh(30) + passage + fresh(30)), "s")]
             plants[at + 1] = passage
-    rows += [(200, None, "s"), (201, "", "s"), (202, "Short copy.", "s"), (203, "Short copy.", "s"), (204, "x " * 400, "s"), (205, rows[0][1], "s"), (205, rows[0][1], "s")]
-    out = {r.doc_id: r for r in remove_repeated_passages(docs(rows)).collect()}
-    given = {i: t for i, t, _ in rows}
-    for i, passage in plants.items():
-        assert out[i - 1].text == given[i - 1] and out[i - 1].n_removed == 0
-        assert longest_shared(out[i].text, [given[i - 1]]) < WINDOW
-        assert [w for w in WORD.findall(given[i]) if w not in passage] == [w for w in WORD.findall(out[i].text) if w not in passage]
-        assert out[i].n_words - out[i].n_removed == len(WORD.findall(out[i].text))
-    assert out[200].text is None and out[201].text == "" and out[203].text == "Short copy."
-    assert len(WORD.findall(out[204].text)) == WINDOW and longest_shared(out[205].text, [given[0]]) < WINDOW
+    out = {r.doc_id: r for r in remove_repeated(docs(rows)).collect()}
+    assert all(out[i - 1].n_removed == 0 for i in plants)
+    caught = [out[i].n_removed >= 30 and longest_shared(out[i].text, [rows[i - 1][1]]) < 30 for i in plants]
+    assert np.mean(caught) > 0.97
 
 
 def test_repeated_passages_of_short_units_go(spark, docs):
-    from skein.llm.repeated_words import WINDOW, remove_repeated_passages
+    from skein.llm.repeated_spans import remove_repeated
 
-    # Every run of three units is below 60 characters.
     shouted = " ".join(f"W{i}!!" for i in range(150))
     rows = [(1, f"one {shouted} end", "s"), (2, f"two {shouted} other", "s"), (3, f"{shouted} between {shouted}", "s")]
-    out = {r.doc_id: r.text for r in remove_repeated_passages(docs(rows)).collect()}
-    assert out[1] == rows[0][1] and all(longest_shared(out[i], [out[1]]) < WINDOW for i in (2, 3))
+    out = {r.doc_id: r.text for r in remove_repeated(docs(rows)).collect()}
+    assert out[1] == rows[0][1] and all(longest_shared(out[i], [out[1]]) < 3 for i in (2, 3))
 
 
 def test_mixing_meets_targets_and_agrees_with_itself(spark, docs):
@@ -296,6 +329,19 @@ def test_a_small_source_beside_large_blocks_meets_its_target(spark, docs, monkey
     assert {s: taken[s] for s in target} == target
 
 
+def test_targets_hold_beside_very_large_totals(spark):
+    from skein.llm.common import materialize
+    from skein.llm.mixing import block_words, takes, targets
+
+    sizes = spark.createDataFrame([("a", 500_000_000), ("b", 500_000_000), ("c", 2000), ("d", 300), ("e", 30), ("f", 0)], "source string, source_size long")
+    goal = materialize(targets(sizes))
+    target = {r.source: r.target for r in goal.collect()}
+    assert {s: target[s] for s in "cdef"} == {"c": 6000.0, "d": 900.0, "e": 90.0, "f": 0.0}
+    total = 1_000_002_330
+    got = {r.source: r.n for r in takes(goal, total, block_words(total, 90.0)).groupBy("source").sum("take").withColumnRenamed("sum(take)", "n").collect()}
+    assert got == {s: round(x) for s, x in target.items() if x}
+
+
 ASSIGN = re.compile(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
@@ -330,6 +376,24 @@ def test_secret_spans(spark, docs):
     assert out[12].n_linked == 0 and out[13].n_linked == 2
     both = docs([(1, texts[13], "s"), (1, texts[13], "s"), (None, "x", None)])
     found = find_secrets(both)
-    clean = sorted(r.t for r in found.withColumn("t", redact(found["text"], found["secret_spans"])).collect())
+    clean = sorted(r.text for r in redact(found).collect())
     assert clean == ["[SECRET] [SECRET]", "[SECRET] [SECRET]", "x"] and found.columns == [*both.columns, "base", "secret_spans"]
-    assert secret_digest(docs([])).count() == 0
+    assert secret_digest(docs([])).count() == 0 and redact(find_secrets(docs([]))).count() == 0
+    # Redaction against a plain walk, over block ends.
+    odd = [t for t in texts if t] + ["é" * 4090 + " token: abcdefgh " * 3 + "x" * 9000 + " AKIA" + "Z" * 30, "f" * 12_300, "a\n" * 3000 + "token=" + "b" * 5000 + "\n😀"]
+    for r in redact(find_secrets(docs([(i, t, "s") for i, t in enumerate(odd)]))).collect():
+        out, at = "", 0
+        for start, _, end in r.secret_spans:
+            out += odd[r.doc_id][at:start] + "[SECRET]" if start >= at else ""
+            at = max(at, end)
+        assert r.text == out + odd[r.doc_id][at:]
+
+
+def test_secret_scans_are_linear_in_spans(spark, docs):
+    from skein.llm.secrets import find_secrets, redact
+
+    n = 100_000
+    began = time.perf_counter()
+    row = redact(find_secrets(docs([(1, "token: abcdef " * n, "s")]))).first()
+    assert len(row.secret_spans) == n and row.text == "[SECRET] " * n
+    assert time.perf_counter() - began < 120
