@@ -7,11 +7,11 @@ of documents. run() writes each stage's result to the shared folder and reads it
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import WORD, materialize, table, text_key
+from skein.llm.common import WORD, forget, materialize, scratch, table, text_key
 from skein.llm.mixing import mix
 from skein.llm.near_text import near_duplicates
 from skein.llm.packing import pack
@@ -45,10 +45,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the secret spans of their texts put as a mark, and n_chars of what is left."""
-    found = find_secrets(docs)
-    text = F.when(F.size("secret_spans") > 0, redact(F.col("text"), F.col("secret_spans"))).otherwise(F.col("text"))
-    chars = F.when(F.size("secret_spans") > 0, F.length("_clean").cast("long")).otherwise(F.col("n_chars"))
-    return found.withColumn("_clean", text).select("doc_id", F.col("_clean").alias("text"), "lang", "source", chars.alias("n_chars"))
+    chars = F.when(F.size("secret_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return redact(find_secrets(docs)).withColumn("n_chars", chars).select(*COLUMNS)
 
 
 @F.pandas_udf(T.StringType())
@@ -76,14 +74,21 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document that the mix does not reach does not appear; one without words stays as it is.
     """
-    taken = mix(docs, keep=("text", "lang", "n_chars"))
-    whole = F.floor(F.col("taken") / F.col("size"))
-    times = F.transform(F.sequence(F.lit(1).cast("long"), F.lit(4).cast("long")), lambda i: F.when(i <= whole, F.col("size")).when(i == whole + 1, F.col("taken") - whole * F.col("size")))
-    rows = taken.where("size > 0").withColumn("_words", F.explode(F.filter(times, lambda x: x > 0)))
-    part = F.col("_words") < F.col("size")
-    full = rows.where(~part).select(*COLUMNS)
-    cut = rows.where(part).withColumn("text", first_words("text", "_words")).withColumn("n_chars", F.length("text").cast("long"))
-    return full.unionByName(cut.select(*COLUMNS)).unionByName(taken.where("size = 0").select(*COLUMNS))
+    has_words = F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
+    # A row's name; rows of one name are equal but for lang and n_chars, and are taken together.
+    name = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.hex(text_key(F.col("text"))), F.coalesce(F.concat(F.lit("="), "source"), F.lit("-"))))
+    named = docs.where(has_words).withColumn("_row", F.unhex(name))
+    taken = mix(named, keep=("_row",)).groupBy("_row").agg(F.sum("taken").alias("_taken"), F.first("size").alias("_size")).where("_taken > 0")
+    # Texts meet their numbers once; the join has sorted them by name.
+    met = named.join(taken, "_row").withColumn("_n", F.row_number().over(Window.partitionBy("_row").orderBy("_row"))).where("_n = 1")
+    whole = F.floor(F.col("_taken") / F.col("_size")).cast("int")
+    part = F.col("_taken") - whole * F.col("_size")
+    times = F.concat(F.array_repeat(F.col("_size"), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
+    rows = met.withColumn("_words", F.explode(times))
+    short = F.col("_words") < F.col("_size")
+    full = rows.where(~short).select(*COLUMNS)
+    cut = rows.where(short).withColumn("text", first_words("text", "_words")).withColumn("n_chars", F.length("text").cast("long"))
+    return full.unionByName(cut.select(*COLUMNS)).unionByName(docs.where(~has_words).select(*COLUMNS))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -107,5 +112,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result of the last stage over documents."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        before = docs
+        # What a stage wrote for itself, and its input, go when its result is written.
+        with scratch(spark):
+            docs = materialize(stage(spark, before, sf_dir), keep=True)
+        forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)
