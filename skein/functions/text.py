@@ -12,18 +12,24 @@ SEPARATORS = r"[_\-.\s/\\:]+"
 PIECES = r"[A-Z]{2,}(?=[A-Z][a-z])|[A-Z]{2,}$|[A-Z][a-z]+|[a-z]+|[0-9]+"
 
 
-def code_tokens(text: Column) -> Column:
-    """array<string>: lower-case words of identifiers in any case style; single characters are dropped.
+# One pattern for a whole text: a part without any piece as it is, else its pieces, each of two characters or more.
+_INSIDE = SEPARATORS.removesuffix("+").replace("[", "[^", 1)
+_END = f"(?!{_INSIDE})"
+_ANY_PIECE = PIECES.replace("$", _END)
+TOKENS = f"(?<!{_INSIDE})(?!{_INSIDE}*?(?:{_ANY_PIECE})){_INSIDE}{{2,}}|" + _ANY_PIECE.replace("[a-z]+|[0-9]+", "[a-z]{2,}|[0-9]{2,}")
+
+
+def raw_tokens(text: Column) -> Column:
+    """array<string>: words of identifiers in any case style, as they are written; single characters are dropped.
 
-    A part without ASCII letters or digits is one token.
+    A part without a word of ASCII letters or digits is one token.
     """
+    return F.regexp_extract_all(text, F.lit(TOKENS), F.lit(0))
 
-    def split_part(part: Column) -> Column:
-        found = F.regexp_extract_all(part, F.lit(PIECES), F.lit(0))
-        whole = F.when(F.length(part) > 1, F.array(F.lower(part))).otherwise(F.array().cast("array<string>"))
-        return F.when(F.size(found) > 0, F.transform(F.filter(found, lambda t: F.length(t) > 1), F.lower)).otherwise(whole)
 
-    return F.flatten(F.transform(F.filter(F.split(text, SEPARATORS), lambda p: p != ""), split_part))
+def code_tokens(text: Column) -> Column:
+    """raw_tokens() in lower case."""
+    return F.transform(raw_tokens(text), F.lower)
 
 
 def index_text(text: Column) -> Column:
@@ -56,6 +62,71 @@ def snippet(text: Column, start: Column, end: Column, around: int = 50) -> Colum
     return F.concat(F.when(low > 0, "...").otherwise(""), F.trim(body), F.when(high < F.length(text), "...").otherwise(""))
 
 
+# Openings that say nothing and are taken off, one after the other, and openings of mere narration.
+NARRATION_PREFIXES = [
+    r"^found it!?\s*",
+    r"^here's (the|what)[^.!?]*[.!?]\s*",
+    r"^(ok|okay|alright)[\s,]+so\s+",
+    r"^(ok|okay|alright)[,.]?\s+",
+    r"^(ah|aha|ahh)[,!]?\s+",
+    r"^(oh|ohh)[,!]?\s+",
+    r"^(yep|yup|yeah)[,.]?\s+",
+    r"^nice[,!]?\s+",
+]
+NARRATION = [
+    r"^let me\b",
+    r"^now (let me|I'll|I'm going to)\b",
+    r"^(ok|okay|alright)[\s,]+(so|let me|now)\b",
+    r"^checking\b",
+    r"^looking (at|for|into)\b",
+    r"^searching\b",
+    r"^reading\b",
+    r"^I('ll| will| am going to)\b",
+    r"^first,?\s+(let me|I'll)\b",
+    r"^lemme\b",
+    r"^on it\b",
+    r"^running\b",
+    r"^executing\b",
+    r"^starting\b",
+]
+NARRATION_BELOW = 30
+SENTENCE_END = r"(?<=[.!?])\s+(?=[A-Z])"
+SNIPPET_MOST = 300
+
+
+def without_narration(text: Column) -> Column:
+    """text without the openings of NARRATION_PREFIXES, trimmed."""
+    for prefix in NARRATION_PREFIXES:
+        text = F.regexp_replace(text, "(?i)" + prefix, "")
+    return F.trim(text)
+
+
+def is_narration(text: Column) -> Column:
+    """True where hardly anything is left without its openings, or the rest opens like narration."""
+    rest = without_narration(F.trim(text))
+    return (F.length(rest) < NARRATION_BELOW) | rest.rlike("(?i)" + "|".join(f"(?:{p})" for p in NARRATION))
+
+
+def sentences(text: Column) -> Column:
+    """array<string>: sentences, which end before white space and a capital; blank ones are left out."""
+    return F.filter(F.split(text, SENTENCE_END), lambda s: F.trim(s) != "")
+
+
+def sentence_snippet(text: Column, at: Column, most: int = SNIPPET_MOST) -> Column:
+    """The sentence that holds the code point offset at, and those beside it, cut at a word to most characters.
+
+    Sentences are laid end to end without the white space between them; an offset beyond them counts as the first.
+    """
+    each = F.transform(sentences(text), F.length)
+    ends = F.transform(F.sequence(F.lit(1), F.greatest(F.size(each), F.lit(1))), lambda i: F.aggregate(F.slice(each, 1, i), F.lit(0), lambda s, x: s + x))
+    index = F.array_position(F.transform(ends, lambda e: e > at), F.lit(True))
+    first = F.greatest(F.when(index == 0, F.lit(1)).otherwise(index).cast("int") - 1, F.lit(1))
+    last = F.when(index == 0, F.lit(1)).otherwise(index).cast("int") + 1
+    near = F.array_join(F.filter(F.transform(F.slice(sentences(text), first, last - first + 1), F.trim), lambda s: s != ""), " ")
+    cut = F.concat(F.regexp_replace(F.substring(near, 1, most), r"(?s)^(.*) .*$", "$1"), F.lit("..."))
+    return F.trim(F.when(F.length(near) > most, cut).otherwise(near))
+
+
 def line_of(text: Column, at: Column) -> Column:
     """1-based line of a code point offset."""
     before = F.substring(text, 1, at.cast("int"))
@@ -104,26 +175,53 @@ def route_of_file(path: Column) -> Column:
     return F.when(inner == "", F.lit(None)).otherwise(F.coalesce(F.nullif(F.regexp_replace(bare, r"\[(?:\.\.\.)?([^\]]+)\]", ":$1"), F.lit("")), F.lit("/")))
 
 
-# What a path tells of its context.
+# What a path tells of its context, and what a tool tells of the task.
 CONTEXT_OF_PATH = [
-    (r"\.(tsx|jsx)$|components?/|(pages|views|screens)/", "context:frontend"),
-    (r"(server|api|routes|handlers)/|(controllers?|services?)/", "context:backend"),
-    (r"(api|endpoints?|routes?)/|\.(graphql|proto)$", "context:api"),
-    (r"auth|login|session|password|(oauth|jwt)/", "context:auth"),
-    (r"(models?|schemas?|migrations?)/|(database|db|orm)/", "context:data"),
-    (r"test[s_]?/|test_|_test\.|\.test\.|\.spec\.", "context:testing"),
-    (r"(docker|k8s|kubernetes|helm)/|Dockerfile|docker-compose|\.(tf|tfvars)$", "context:infra"),
-    (r"(\.github|\.gitlab|jenkins|circleci)/|(workflows?|pipelines?)/", "context:cicd"),
+    (r"\.(tsx|jsx)$", "context:frontend"),
+    (r"components?/", "context:frontend"),
+    (r"(pages|views|screens)/", "context:frontend"),
+    (r"(server|api|routes|handlers)/", "context:backend"),
+    (r"(controllers?|services?)/", "context:backend"),
+    (r"(api|endpoints?|routes?)/", "context:api"),
+    (r"\.(graphql|proto)$", "context:api"),
+    (r"(auth|login|session|oauth|jwt)/", "context:auth"),
+    (r"(auth|login|session|password)", "context:auth"),
+    (r"(models?|schemas?|migrations?)/", "context:data"),
+    (r"(database|db|orm)/", "context:data"),
+    (r"test[s_]?/", "context:testing"),
+    (r"(test_|_test\.|\.test\.|\.spec\.)", "context:testing"),
+    (r"(docker|k8s|kubernetes|helm)/", "context:infra"),
+    (r"(Dockerfile|docker-compose)", "context:infra"),
+    (r"\.(tf|tfvars)$", "context:infra"),
+    (r"(\.github|\.gitlab|jenkins|circleci)/", "context:cicd"),
+    (r"(workflows?|pipelines?)/", "context:cicd"),
 ]
+TASK_OF_TOOL = {
+    "Bash": "task:debug",
+    "mcp__acp__Bash": "task:debug",
+    "Write": "task:implement_feature",
+    "Edit": "task:implement_feature",
+    "mcp__acp__Write": "task:implement_feature",
+    "mcp__acp__Edit": "task:implement_feature",
+    "Read": "task:review",
+    "Grep": "task:review",
+    "Glob": "task:review",
+    "mcp__acp__Read": "task:review",
+}
 
 
 def contexts_of_path(path: Column) -> Column:
     """Sorted contexts that a path suggests."""
-    return F.array_sort(F.array_compact(F.array(*[F.when(path.rlike(f"(?i){p}"), F.lit(c)) for p, c in CONTEXT_OF_PATH])))
+    return F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(path.rlike(f"(?i){p}"), F.lit(c)) for p, c in CONTEXT_OF_PATH]))))
+
 
+def task_of_tools(tools: Column) -> Column:
+    """The task that most of an array of tools suggest, of equals the first in the alphabet; null where none does."""
+    tasks = sorted(set(TASK_OF_TOOL.values()))
+    votes = [F.size(F.filter(tools, lambda x, t=t: x.isin(*[k for k, v in TASK_OF_TOOL.items() if v == t]))) for t in tasks]
+    most = F.greatest(*votes)
+    return F.when(most > 0, F.coalesce(*[F.when(v == most, F.lit(t)) for v, t in zip(votes, tasks, strict=True)]))
 
-# Tasks that tools suggest.
-TASK_OF_TOOL = {"Bash": "task:debug", "Write": "task:implement_feature", "Edit": "task:implement_feature", "Read": "task:review", "Grep": "task:review", "Glob": "task:review"}
 
 # Signs of regular expressions that backtrack badly, with their risk.
 REGEX_RISKS = {
@@ -135,6 +233,11 @@ REGEX_RISKS = {
 UNSAFE_FROM = 40
 
 
+def safe_rlike(text: Column, pattern: Column) -> Column:
+    """Whether text matches; null for patterns that may backtrack badly, which are never tried."""
+    return F.when(regex_risk(pattern) < UNSAFE_FROM, F.rlike(text, pattern))
+
+
 def regex_risk(pattern: Column) -> Column:
     """Risk score of a regular expression; unsafe from UNSAFE_FROM on."""
     total = F.lit(0)
@@ -145,7 +248,7 @@ def regex_risk(pattern: Column) -> Column:
 
 # Patterns of our own for personal data and keys.
 REDACTIONS = [
-    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
+    ("email", r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
     ("ipv4", r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b"),
     ("hex_key", r"\b[0-9a-f]{32,}\b"),
 ]
@@ -154,7 +257,9 @@ REDACTIONS = [
 def redacted(text: Column) -> Column:
     """text with e-mail addresses, addresses and long keys as [REDACTED:kind]."""
     for kind, pattern in REDACTIONS:
-        text = F.regexp_replace(text, pattern, f"[REDACTED:{kind}]")
+        clean = F.regexp_replace(text, pattern, f"[REDACTED:{kind}]")
+        # Most texts have no such sign and are spared the search.
+        text = F.when(F.contains(text, F.lit("@")), clean).otherwise(text) if kind == "email" else clean
     return text
 
 

@@ -90,6 +90,19 @@ def flows(calls: DataFrame, starts: DataFrame, depth: int = 10) -> DataFrame:
     return seen
 
 
+def application(files: DataFrame) -> DataFrame:
+    """kind (entity, endpoint), name, path, detail of all files: what an application consists of, in one table."""
+    e = entities(files).select(F.lit("entity").alias("kind"), F.col("entity").alias("name"), "path", F.col("fields").alias("detail"))
+    r = endpoints(files).where("route is not null").select(F.lit("endpoint").alias("kind"), F.concat_ws(" ", "method", "route").alias("name"), "path", F.concat(F.lit("line "), F.col("line").cast("string")).alias("detail"))
+    return e.unionByName(r)
+
+
+def markdown(app: DataFrame, order: str | None = "name") -> DataFrame:
+    """One line of Markdown for each row of application(), by name, by path or unsorted."""
+    app = app if order is None else app.orderBy("kind", order)
+    return app.select(F.concat(F.lit("- **"), "name", F.lit("** ("), "kind", F.lit(", "), "path", F.lit("): "), "detail").alias("line"))
+
+
 def services(signals: DataFrame, least: float = 0.5) -> DataFrame:
     """service, confidence of signals (service, weight): the strongest, and a tenth for each further one, at most 0.2."""
     bonus = F.least(F.lit(0.1) * (F.count("*") - 1), F.lit(0.2))

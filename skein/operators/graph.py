@@ -63,6 +63,28 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int, both: bool = True) ->
     return reduce(DataFrame.unionByName, seen)
 
 
+def iter_nodes(nodes: DataFrame, type: str | None = None, scope: str | None = None) -> DataFrame:
+    """Nodes of a type and a scope, where they are given."""
+    for column, value in (("type", type), ("scope", scope)):
+        nodes = nodes if value is None else nodes.where(F.col(column) == value)
+    return nodes
+
+
+def snapshot(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, type, scope, payload, out, into: every node with its live edges, each a sorted array of (rel, other).
+
+    Lists of a node are gathered by key; write the result sorted by id, so that a lookup of an id prunes to one file part.
+    """
+    live = edges.where(~F.col("tombstone"))
+    ends = live.select(F.col("src").alias("id"), F.struct(F.col("rel"), F.col("dst").alias("other")).alias("out"), F.lit(None).alias("into")).unionByName(
+        live.select(F.col("dst").alias("id"), F.lit(None).alias("out"), F.struct(F.col("rel"), F.col("src").alias("other")).alias("into"))
+    )
+    lists = ends.groupBy("id").agg(F.array_sort(F.collect_list("out")).alias("out"), F.array_sort(F.collect_list("into")).alias("into"))
+    none = lists.schema["out"].dataType.simpleString()
+    kept = nodes.select("id", "type", "scope", "payload").join(lists, "id", "left")
+    return kept.withColumns({c: F.coalesce(c, F.array().cast(none)) for c in ("out", "into")})
+
+
 def orphans(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Live edges that lack an end."""
     live = edges.where(~F.col("tombstone")).select("src", "rel", "dst")

@@ -47,6 +47,35 @@ def write_index(table: DataFrame, name: str, key: str, buckets: int = 64) -> Non
     table.write.bucketBy(buckets, key).sortBy(key).mode("overwrite").saveAsTable(name)
 
 
+def stored(contents: DataFrame, content: str = "content") -> DataFrame:
+    """contents with size (bytes) and checksum, as they are put into a content store."""
+    return contents.withColumns({"size": F.octet_length(content).cast("long"), "checksum": F.sha2(F.col(content).cast("binary"), 256)})
+
+
+def damaged(store: DataFrame, content: str = "content") -> DataFrame:
+    """Rows of a content store whose content is not what its size and checksum say."""
+    good = (F.octet_length(content) == F.col("size")) & (F.sha2(F.col(content).cast("binary"), 256) == F.col("checksum"))
+    return store.where(~F.coalesce(good, F.lit(False)))
+
+
+def full_index(spark, root: str, out: str, checkpoint: str, pattern: str = "*", files_per_batch: int = 1000) -> None:
+    """Register the files under root in the Parquet table out; another run goes on where the last one ended.
+
+    A streaming source of files with its checkpoint keeps what is done, so an interrupted run loses one batch at most and
+    files that are new since are all that a later run reads.
+    """
+    source = spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch)
+    files = source.schema("path string, modificationTime timestamp, length long, content binary").load(root)
+    rows = files.select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), F.sha2("content", 256).alias("content_hash"), F.decode("content", F.lit("UTF-8")).alias("content"))
+    rows.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", out).trigger(availableNow=True).start().awaitTermination()
+
+
+def symbols_of_files(files: DataFrame, symbols: DataFrame, vectors: DataFrame) -> DataFrame:
+    """path, vector, symbols (sorted array of name, kind, line) of the files that have a vector, for a taxonomy."""
+    own = symbols.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("name", "kind", "line"))).alias("symbols"))
+    return files.select("path", "key").join(vectors.select("key", "vector"), "key").join(own, "path", "left").select("path", "vector", F.coalesce("symbols", F.array().cast("array<struct<name:string,kind:string,line:int>>")).alias("symbols"))
+
+
 def compacted(table: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
     """Write a table anew in files of bounded size."""
     table.write.option("maxRecordsPerFile", rows_per_file).mode("overwrite").parquet(path)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.scores import recency_bucket, recency_weight, rrf_part
-from skein.functions.text import code_tokens
+from skein.functions.text import code_tokens, raw_tokens
+from skein.functions.text import TOKENS as PYTHON_TOKENS
 
 #: Robertson and Zaragoza, 2009.
 K1, B = 1.2, 0.75
@@ -19,8 +22,40 @@ def postings(docs: DataFrame, key: str = "key", fields: tuple[str, ...] = ("cont
     return each.groupBy("key", "field", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(terms: DataFrame, query: list[str], boosts: dict[str, float] | None = None) -> DataFrame:
-    """key, score of the documents that hold a query term; terms as from postings(), boosts by field.
+def _part(tf: Column, df: Column, dl: Column, n: Column, avgdl: Column) -> Column:
+    """What one term of one field adds to a score."""
+    idf = F.log(F.lit(1.0) + (n - df + 0.5) / (df + 0.5))
+    return idf * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl)))
+
+
+def bm25(docs: DataFrame, query: list[str], boosts: dict[str, float] | None = None, key: str = "key") -> DataFrame:
+    """key, score of the documents that hold a query term; boosts by field (column), content alone where none are given.
+
+    A text is cut into tokens once and counted where it is read: its length and how often it holds each query term are
+    what is shuffled, so no posting is. The aggregate of all documents (one row) and the scores read the same shuffle.
+    """
+    boosts, terms = boosts or {"content": 1.0}, sorted(set(query))
+    if not terms:
+        return docs.select(F.col(key).alias("key"), F.lit(0.0).alias("score")).where(F.lit(False))
+    cut = docs.select(F.col(key).alias("key"), *[raw_tokens(F.coalesce(F.col(f), F.lit(""))).alias(f"t{i}") for i, f in enumerate(boosts)])
+    low = cut.select("key", *[F.size(f"t{i}").alias(f"dl{i}") for i in range(len(boosts))], *[F.filter(f"t{i}", lambda x: F.lower(x).isin(terms)).alias(f"h{i}") for i in range(len(boosts))])
+    each = lambda i, term: F.size(F.filter(f"h{i}", lambda x: F.lower(x) == term)).alias(f"tf{i}_{terms.index(term)}")
+    counted = low.select("key", *[f"dl{i}" for i in range(len(boosts))], *[each(i, t) for i in range(len(boosts)) for t in terms]).repartition("key")
+    names = [f"tf{i}_{j}" for i in range(len(boosts)) for j in range(len(terms))]
+    # Every column is read, so that the scores below find this shuffle done.
+    stats = counted.agg(F.count("key"), *[F.count_if(F.col(f"dl{i}") > 0).alias(f"n{i}") for i in range(len(boosts))], *[F.try_divide(F.sum(f"dl{i}"), F.count_if(F.col(f"dl{i}") > 0)).alias(f"avg{i}") for i in range(len(boosts))], *[F.count_if(F.col(c) > 0).alias(f"d{c}") for c in names])
+    score = F.lit(0.0)
+    for i, weight in enumerate(boosts.values()):
+        for j in range(len(terms)):
+            tf = F.col(f"tf{i}_{j}")
+            score = score + F.when(tf > 0, F.lit(float(weight)) * _part(tf, F.col(f"dtf{i}_{j}"), F.col(f"dl{i}"), F.col(f"n{i}"), F.col(f"avg{i}"))).otherwise(0.0)
+    some = F.greatest(*[F.col(c) for c in names], F.lit(0)) > 0
+    # stats is a single row.
+    return counted.crossJoin(F.broadcast(stats)).select("key", F.when(some, score).alias("score")).where("score is not null")
+
+
+def bm25_of_postings(terms: DataFrame, query: list[str], boosts: dict[str, float] | None = None) -> DataFrame:
+    """bm25() over a stored table of postings(): the query's terms are a pushed-down filter of it.
 
     Only postings of the query's terms take part in the scoring; document lengths are one aggregate of the table.
     """
@@ -34,9 +69,23 @@ def bm25(terms: DataFrame, query: list[str], boosts: dict[str, float] | None = N
     df = hits.groupBy("field", "term").agg(F.count("*").alias("df"))
     # One row per field, and one per field and query term: bounded by the query.
     joined = hits.join(lengths, ["key", "field"]).join(F.broadcast(means), "field").join(F.broadcast(df), ["field", "term"])
-    idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return joined.groupBy("key").agg(F.sum(weight * idf * tf).alias("score"))
+    part = _part(F.col("tf"), F.col("df"), F.col("dl"), F.col("n"), F.col("avgdl"))
+    return joined.groupBy("key").agg(F.sum(weight * part).alias("score"))
+
+
+def fielded(docs: DataFrame, text: str, key: str = "key", name: str = "name", combined: str = "combined", content: str = "content", doc_type: str | None = None) -> DataFrame:
+    """key, score of a query over fields: the whole query as a phrase of the name counts 10 times, its tokens in the
+    combined text 5 times, in the content once; doc_type restricts the rows that are shown, not the statistics."""
+    tokens = [w.lower() for w in re.findall(PYTHON_TOKENS, text)]
+    parts = bm25(docs, tokens, {combined: 5.0, content: 1.0}, key)
+    phrase = docs.where(F.contains(F.lower(F.col(name)), F.lit(text.lower()))).select(F.col(key).alias("key"), F.lit(10.0).alias("score"))
+    out = parts.unionByName(phrase).groupBy("key").agg(F.sum("score").alias("score"))
+    return out if doc_type is None else out.join(docs.where(F.col("doc_type") == doc_type).select(F.col(key).alias("key")), "key", "left_semi")
+
+
+def exact(docs: DataFrame, term: str, field: str = "name") -> DataFrame:
+    """Rows whose field is the term, in any case."""
+    return docs.where(F.lower(F.col(field)) == term.lower())
 
 
 def ranked(scores: DataFrame, k: int) -> DataFrame:

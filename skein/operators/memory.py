@@ -62,6 +62,27 @@ def search_memories(memories: DataFrame, query: list[float] | None, k: int, cand
     return newest.select("id", cosine_search(F.col("vector"), q).alias("score")).orderBy(F.col("score").desc(), "id").limit(k)
 
 
+def search_conventions(conventions: DataFrame, query: list[float], k: int, candidates: int = 5, **filters) -> DataFrame:
+    """id, score: the k most similar of the first k * candidates conventions of query_conventions()."""
+    q = F.array(*[F.lit(float(x)) for x in query])
+    first = query_conventions(conventions, limit=k * candidates, **filters)
+    return first.select("id", cosine_search(F.col("vector"), q).alias("score")).orderBy(F.col("score").desc(), "id").limit(k)
+
+
+def shared(memories: DataFrame, ids: DataFrame, owner: str) -> DataFrame:
+    """memories with is_team and owner_id set where their id is in ids (id)."""
+    named = ids.select(F.col("id").alias("_id")).distinct()
+    out = memories.join(named, F.col("id") == F.col("_id"), "left")
+    return out.withColumns({"is_team": F.col("_id").isNotNull(), "owner_id": F.when(F.col("_id").isNotNull(), F.lit(owner))}).drop("_id")
+
+
+def accessed(memories: DataFrame, log: DataFrame) -> DataFrame:
+    """memories with access_count and last_accessed brought up to date from a log (id, ts); one aggregate, one join."""
+    seen = log.groupBy("id").agg(F.count("*").alias("_n"), F.max("ts").alias("_last"))
+    out = memories.join(seen, "id", "left")
+    return out.withColumns({"access_count": F.col("access_count") + F.coalesce("_n", F.lit(0)), "last_accessed": F.greatest("last_accessed", "_last")}).drop("_n", "_last")
+
+
 def coldest(memories: DataFrame, n: int, now: Column) -> DataFrame:
     """id, score of the n rows to evict: least eviction score; age counts from the last access, else from the creation."""
     age = now - F.coalesce("last_accessed", "created_at")

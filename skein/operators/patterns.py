@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +43,65 @@ ANCHORS = [
 ]
 
 
+class Library:
+    """Named pattern sets that are loaded at run time; a later set of a name takes the place of the one before."""
+
+    def __init__(self, sets: list[PatternSet] = ()):
+        self._sets = {s.type_id: s for s in sets}
+
+    def load(self, definition: dict) -> PatternSet:
+        """Add {"id", "patterns", "extensions"}; an empty set or a pattern that does not compile is refused."""
+        out = PatternSet(definition["id"], tuple(definition["patterns"]), tuple(definition.get("extensions", ())))
+        if not out.patterns:
+            raise ValueError("a pattern set needs patterns")
+        for p in out.patterns:
+            re.compile(p)
+        self._sets[out.type_id] = out
+        return out
+
+    def get(self, name: str) -> PatternSet | None:
+        return self._sets.get(name)
+
+    def list_all(self, spark) -> DataFrame:
+        """type_id, patterns (how many), extensions: one row per set."""
+        rows = [(s.type_id, len(s.patterns), ",".join(s.extensions)) for s in self._sets.values()]
+        return spark.createDataFrame(rows, "type_id string, patterns int, extensions string")
+
+
+def _matches(text: str, compiled: list, limit: int | None):
+    """(pattern from 1, start, end) in UTF-8 bytes of all matches that are not empty."""
+    out = []
+    for number, pattern in enumerate(compiled, 1):
+        at = byte = 0
+        for m in pattern.finditer(text):
+            if m.end() == m.start():
+                continue
+            byte += len(text[at : m.start()].encode("utf-8", "surrogatepass"))
+            size = len(m[0].encode("utf-8", "surrogatepass"))
+            out.append((number, byte, byte + size))
+            byte, at = byte + size, m.end()
+            if limit is not None and len(out) > limit:
+                raise ValueError(f"more than {limit} matches in one text")
+    return out
+
+
+def scan(docs: DataFrame, patterns: PatternSet, key: str = "key", content: str = "content", limit: int | None = None) -> DataFrame:
+    """key, pattern (from 1), start, end: all matches of a set's patterns in whole texts, as byte offsets.
+
+    Texts without any match never leave the JVM. With a limit, a text of more matches fails the query.
+    """
+    any_of = "|".join(f"(?:{p})" for p in patterns.patterns)
+    hit = docs.where(F.col(content).rlike(any_of)).select(F.col(key).alias("key"), F.col(content).alias("content"))
+
+    def find(frames):
+        compiled = [re.compile(p) for p in patterns.patterns]
+        for f in frames:
+            rows = [(k, *m) for k, t in zip(f["key"], f["content"], strict=True) for m in _matches(t, compiled, limit)]
+            yield pd.DataFrame(rows, columns=["key", "pattern", "start", "end"])
+
+    return hit.mapInPandas(find, f"key {hit.schema['key'].dataType.simpleString()}, pattern int, start long, end long")
+
+
 def _fits(sets: PatternSet, ext: Column | None) -> Column:
     """A set without extensions, a file without one, or a file of one of them."""
     if not sets.extensions or ext is None:

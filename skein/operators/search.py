@@ -27,8 +27,9 @@ def vector_top_k(vectors: DataFrame, query: list[float], k: int, key: str = "key
 
 
 def knn(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """query, key, score, rank: top k for each of a bounded set of queries (query, q), which is broadcast."""
-    scored = vectors.join(F.broadcast(queries)).select("query", "key", cosine_search(F.col("vector"), F.col("q")).alias("score"))
+    """query, key, score, rank: top k for each query (query, q) over all vectors, as stated queries against all rows."""
+    # Queries are what a user asks, a bounded table; beyond Spark's own size limit for broadcasts it splits them instead.
+    scored = vectors.join(queries).select("query", "key", cosine_search(F.col("vector"), F.col("q")).alias("score"))
     w = Window.partitionBy("query").orderBy(F.col("score").desc(), "key")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -80,6 +81,17 @@ def grep(docs: DataFrame, patterns: list[str], key: str = "key", content: str =
     return hit.where(F.col("text").rlike(any_of)).select("key", (F.col("line") + 1).alias("line"), "text")
 
 
+def sgrep(docs: DataFrame, patterns: list[str], query: list[float], embed, k: int, key: str = "key", content: str = "content") -> DataFrame:
+    """key, line, text, score: of the non-empty lines that any pattern matches the k most similar to the query vector.
+
+    embed is a function from a text column to a vector column; equal lines are embedded once.
+    """
+    q = F.array(*[F.lit(float(x)) for x in query])
+    lines = grep(docs, patterns, key, content).where(F.trim("text") != "")
+    scored = lines.select("text").distinct().withColumn("score", cosine_search(embed(F.col("text")), q))
+    return lines.join(scored, "text").orderBy(F.col("score").desc(), "key", "line").limit(k).select("key", "line", "text", "score")
+
+
 def truncated(results: DataFrame, most: int, keep: int = 50, from_length: int = 200) -> DataFrame:
     """results (key, score, content) whose contents are cut, lowest score first, until all fit in most characters.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -207,7 +208,10 @@ def stm3(spark, d):
 def src11(spark, d):
     """Events as a file stream, counted by availableNow into a table; the checkpoint keeps the positions."""
     source = table(spark, d, "events")
-    folder = tempfile.mkdtemp(prefix="skein-stream-") if not spark.conf.get("spark.checkpoint.dir", None) else f"{spark.conf.get('spark.checkpoint.dir')}/stream-{abs(hash(d))}-{id(source)}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    folder = f"{shared}/stream-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="skein-stream-")
     stream = spark.readStream.schema(source.schema).parquet(f"{d}/events*.parquet")
     counted = stream.groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"))
     name = f"skein_tail_{id(source)}"

@@ -56,9 +56,9 @@ def flt7(spark, d):
     return n.where("n > 0").select("doc_id", "n", ((F.col("n") >= 20) | (F.col("n") * 1000.0 / F.greatest("len", F.lit(1)) > 0.8)).alias("pattern_file"))
 
 
-@query("prj1_result_projection", "with v as (select vec_id as key from embeddings where vec_id % 50 = 0) select key, coalesce(d.source || '/' || d.doc_id, p.url, 'unknown') as path, case when d.doc_id is not null then 'file' when p.page_id is not null then 'page' else 'symbol' end as kind from v left join documents d on d.doc_id = key left join pages p on p.page_id = key")
+@query("prj1_result_projection", "with v as (select vec_id as key from embeddings) select key, coalesce(d.source || '/' || d.doc_id, p.url, 'unknown') as path, case when d.doc_id is not null then 'file' when p.page_id is not null then 'page' else 'symbol' end as kind from v left join documents d on d.doc_id = key left join pages p on p.page_id = key")
 def prj1(spark, d):
-    v = vectors(spark, d).where("key % 50 = 0").select("key")
+    v = vectors(spark, d).select("key")
     f, p = files(spark, d).select("key", "path"), table(spark, d, "pages").select(F.col("page_id").alias("key"), "url")
     return v.join(f, "key", "left").join(p, "key", "left").select("key", F.coalesce("path", "url", F.lit("unknown")).alias("path"), F.when(F.col("path").isNotNull(), "file").when(F.col("url").isNotNull(), "page").otherwise("symbol").alias("kind"))
 
@@ -74,10 +74,10 @@ def top9(spark, d):
     return values(spark, corpus.SYMBOL_COLUMNS, corpus.SYMBOLS).orderBy(F.lower("name"), "path").limit(6).select("name", "path")
 
 
-@query("jn2_symbol_mtime", f"with {AGES} select o_orderkey, coalesce(s.mtime, p.mtime) as mtime from orders left join ages s on s.key = o_orderkey % 400 left join ages p on p.key = o_custkey where o_orderkey % 10 = 0")
+@query("jn2_symbol_mtime", f"with {AGES} select o_orderkey, coalesce(s.mtime, p.mtime) as mtime from orders left join ages s on s.key = o_orderkey % 400 left join ages p on p.key = o_custkey")
 def jn2(spark, d):
     a = ages(spark, d)
-    o = table(spark, d, "orders").where("o_orderkey % 10 = 0").select("o_orderkey", (F.col("o_orderkey") % 400).alias("k1"), F.col("o_custkey").alias("k2"))
+    o = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 400).alias("k1"), F.col("o_custkey").alias("k2"))
     own, parent = a.select(F.col("key").alias("k1"), F.col("mtime").alias("m1")), a.select(F.col("key").alias("k2"), F.col("mtime").alias("m2"))
     return o.join(own, "k1", "left").join(parent, "k2", "left").select("o_orderkey", F.coalesce("m1", "m2").alias("mtime"))
 
@@ -179,9 +179,9 @@ def str14(spark, d):
     return code_files(spark).select("path", t.route_of_file(F.col("path")).alias("route"))
 
 
-@query("dat3_iso_times", "select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') as iso, epoch_us(ts) // 1000000 as seconds from events where event_id < 300")
+@query("dat3_iso_times", "select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') as iso, epoch_us(ts) // 1000000 as seconds from events")
 def dat3(spark, d):
-    e = table(spark, d, "events").where("event_id < 300")
+    e = table(spark, d, "events")
     return e.select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("seconds"))
 
 
@@ -196,9 +196,9 @@ def arr1(spark, d):
     return values(spark, corpus.CONVENTION_COLUMNS, corpus.CONVENTIONS).select("id", memory.all_of(F.col("scope"), wanted).alias("every"), memory.any_of_or_empty(F.col("scope"), wanted).alias("some"))
 
 
-@query("arr2_first_n", "select source, array_to_string((list(doc_id::varchar order by doc_id))[:5], ', ') || case when count(*) > 5 then ' and ' || (count(*) - 5) || ' more' else '' end as shown from documents where doc_id < 800 group by source")
+@query("arr2_first_n", "select source, array_to_string((list(doc_id::varchar order by doc_id))[:5], ', ') || case when count(*) > 5 then ' and ' || (count(*) - 5) || ' more' else '' end as shown from documents group by source")
 def arr2(spark, d):
-    docs = table(spark, d, "documents").where("doc_id < 800").select("source", "doc_id")
+    docs = table(spark, d, "documents").select("source", "doc_id")
     ranked = docs.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
     agg = ranked.groupBy("source").agg(F.array_sort(F.collect_list(F.when(F.col("r") <= 5, F.col("doc_id")))).alias("ids"), F.count("*").alias("n"))
     more = F.when(F.col("n") > 5, F.concat(F.lit(" and "), (F.col("n") - 5).cast("string"), F.lit(" more"))).otherwise("")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skein.functions.scores import RECENCY, eviction_score, recency_weight, thread_score
-from skein.functions.text import code_tokens, dedupe_key, file_key, flexible_pattern, has_secret, hex_key, key_of_hex, line_of, redacted, regex_risk, remote_slug, snippet, title
+from skein.functions.text import code_tokens, dedupe_key, file_key, flexible_pattern, hex_key, key_of_hex, line_of, redacted, regex_risk, remote_slug, snippet, title
 from skein.functions.vectors import cosine_guarded, cosine_search, hashing_embedder, key_hash, norm
 from skein.operators import lexical, search
 from skein.plans import corpus
@@ -51,11 +51,11 @@ def top1(spark, d):
     return search.vector_top_k(vectors(spark, d), first_vector(spark, d), 20).select("key", F.round("score", 6).alias("score"))
 
 
-@query("top2_knn", f"""with q as (select vec_id as query, list_transform(embedding, lambda x: x::double) as b from embeddings where vec_id < 10),
+@query("top2_knn", f"""with q as (select vec_id as query, list_transform(embedding, lambda x: x::double) as b from embeddings where vec_id % 50 = 0),
 v as (select vec_id as key, list_transform(embedding, lambda x: x::double) as a from embeddings), s as (select query, key, {COS} as score from q, v),
 r as (select *, row_number() over (partition by query order by score desc, key) as rank from s) select query, key, round(score, 6) as score, rank from r where rank <= 5""")
 def top2(spark, d):
-    q = table(spark, d, "embeddings").where("vec_id < 10").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    q = table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
     return search.knn(q, vectors(spark, d), 5).select("query", "key", F.round("score", 6).alias("score"), "rank")
 
 
@@ -79,7 +79,7 @@ def txt1(spark, d):
 
 @query("txt4_bm25", f"with {TERMS}, {BM25} select key, round(score, 6) as score from lex order by lex.score desc, key limit 20")
 def txt4(spark, d):
-    return lexical.ranked(lexical.bm25(lexical.postings(files(spark, d)), QUERY), 20).select("key", F.round("score", 6).alias("score"))
+    return lexical.ranked(lexical.bm25(files(spark, d), QUERY), 20).select("key", F.round("score", 6).alias("score"))
 
 
 RANKED = "rs as (select key, score, row_number() over (order by score desc, key) as rank from sem order by sem.score desc, key limit 20), rl as (select key, score, row_number() over (order by score desc, key) as rank from lex order by lex.score desc, key limit 20)"
@@ -87,7 +87,7 @@ FUSED = "fused as (select key, sum(1.0::double / (60 + rank)) as score, case whe
 
 
 def both_lists(spark, d):
-    return search.vector_top_k(vectors(spark, d), first_vector(spark, d), 20), lexical.bm25(lexical.postings(files(spark, d)), QUERY)
+    return search.vector_top_k(vectors(spark, d), first_vector(spark, d), 20), lexical.bm25(files(spark, d), QUERY)
 
 
 @query("txt7_rrf", f"with {TERMS}, {BM25}, {SEM}, {RANKED}, {FUSED} select key, round(score, 6) as score, source from fused")
@@ -148,11 +148,11 @@ def lkp3(spark, d):
     return search.probe(index, ["file:src3/3", "src3/3"])
 
 
-@query("lkp5_get_source", "with a as (select doc_id as key, 'file' as kind, text as content, 1 as r from documents union all select page_id, 'page', html, 2 from pages) select key, arg_min(kind, r) as kind, md5(arg_min(content, r)) as digest from a where key < 40 group by key")
+@query("lkp5_get_source", "with a as (select doc_id as key, 'file' as kind, text as content, 1 as r from documents union all select page_id, 'page', html, 2 from pages) select key, arg_min(kind, r) as kind, md5(arg_min(content, r)) as digest from a group by key")
 def lkp5(spark, d):
     a = files(spark, d).select("key", F.lit("file").alias("kind"), "content")
     b = table(spark, d, "pages").select(F.col("page_id").alias("key"), F.lit("page").alias("kind"), F.col("html").alias("content"))
-    return search.union_first([a.where("key < 40"), b.where("key < 40")]).select("key", "kind", F.md5("content").alias("digest"))
+    return search.union_first([a, b]).select("key", "kind", F.md5("content").alias("digest"))
 
 
 @query("lkp7_name_contains", "select p_partkey, p_name from part where contains(p_name, 're')")
@@ -216,18 +216,19 @@ def top5(spark, d):
     return values(spark, corpus.CODE_COLUMNS, corpus.CODE).select("path", search.grep_rank("make token", F.col("path"), F.col("content")).alias("score"))
 
 
-@query("prj2_truncate", """with r as (select doc_id as key, (doc_id % 17)::double as score, text as content from documents where doc_id < 12),
+@query("prj2_truncate", """with r as (select doc_id as key, (doc_id % 17)::double as score, text as content from documents order by n_chars desc, doc_id limit 30),
 s as (select *, case when length(content) > 200 then length(content) - 65 else 0 end as saving from r),
 w as (select *, sum(length(content)) over () - coalesce(sum(saving) over (order by score, key desc rows between unbounded preceding and 1 preceding), 0) as over_ from s)
 select key, md5(case when over_ > 8000 and length(content) > 200 then substr(content, 1, 50) || '... [truncated]' else content end) as digest from w""")
 def prj2(spark, d):
-    r = files(spark, d).where("key < 12").select("key", (F.col("key") % 17).cast("double").alias("score"), "content")
+    top = table(spark, d, "documents").orderBy(F.col("n_chars").desc(), "doc_id").limit(30)
+    r = top.select(F.col("doc_id").alias("key"), (F.col("doc_id") % 17).cast("double").alias("score"), F.col("text").alias("content"))
     return search.truncated(r, 8000).select("key", F.md5("content").alias("digest"))
 
 
-@query("snk6_tsv", f"with {FILES_SQL} select concat_ws(chr(9), 'F', key::varchar, path, length(content)::varchar) as line from files where key < 50")
+@query("snk6_tsv", f"with {FILES_SQL} select concat_ws(chr(9), 'F', key::varchar, path, length(content)::varchar) as line from files")
 def snk6(spark, d):
-    return files(spark, d).where("key < 50").select(search.tsv(F.lit("F"), F.col("key"), F.col("path"), F.length("content")).alias("line"))
+    return files(spark, d).select(search.tsv(F.lit("F"), F.col("key"), F.col("path"), F.length("content")).alias("line"))
 
 
 @query("str2_hex_keys", "select doc_id, '0x' || lpad(lower(to_hex(doc_id)), 16, '0') as hex, doc_id as back from documents")
@@ -236,9 +237,9 @@ def str2(spark, d):
     return table(spark, d, "documents").select("doc_id", h.alias("hex"), key_of_hex(h).alias("back"))
 
 
-@query("str7_dedupe_key", "select doc_id, md5(trim(regexp_replace(regexp_replace(lower(text), '[.,!?;:]', '', 'g'), '\\s+', ' ', 'g'))) as digest from documents where doc_id < 500")
+@query("str7_dedupe_key", "select doc_id, md5(trim(regexp_replace(regexp_replace(lower(text), '[.,!?;:]', '', 'g'), '\\s+', ' ', 'g'))) as digest from documents")
 def str7(spark, d):
-    return table(spark, d, "documents").where("doc_id < 500").select("doc_id", F.md5(dedupe_key(F.col("text"))).alias("digest"))
+    return table(spark, d, "documents").select("doc_id", F.md5(dedupe_key(F.col("text"))).alias("digest"))
 
 
 @query("str10_title", """with l as (select conv_id, turn, split_part(split_part(trim(text), chr(10), 1), '. ', 1) as s from conversations)
@@ -266,7 +267,8 @@ REDACT_SQL = "regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+
 
 @query("str17_redact", f"select doc_id, md5({REDACT_SQL}) as digest, (text <> {REDACT_SQL}) as found from documents")
 def str17(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(redacted(F.col("text"))).alias("digest"), has_secret(F.col("text")).alias("found"))
+    clean = table(spark, d, "documents").select("doc_id", "text", redacted(F.col("text")).alias("clean"))
+    return clean.select("doc_id", F.md5("clean").alias("digest"), (F.col("text") != F.col("clean")).alias("found"))
 
 
 @query("str18_regex_risk")

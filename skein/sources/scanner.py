@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ast
+import os
 import re
+import subprocess
 from functools import reduce
 
 import pandas as pd
@@ -13,10 +15,24 @@ from pyspark.sql import functions as F
 #: Larger files are listed without symbols.
 LARGEST = 500_000
 # Folders that no source list enters.
-IGNORED = ("node_modules", ".git", "__pycache__", ".venv", "venv", "dist", "build", "target", ".next", ".cache", ".mypy_cache", ".pytest_cache", ".tox", "vendor", "coverage")
+IGNORED = (
+    "node_modules", ".git", "__pycache__", ".venv", "venv", ".tox", ".nox", ".mypy_cache", ".pytest_cache", ".ruff_cache",
+    "target", "dist", "build", ".next", ".nuxt", ".output", "coverage", ".coverage", ".cache", "vendor",
+)
 SYMBOLS = "path string, name string, kind string, line_start int, line_end int, doc string"
 
 
+def tracked_files(root: str, extensions: tuple[str, ...] = ()) -> list[str] | None:
+    """Paths under root that git tracks, and those that it neither tracks nor ignores, without IGNORED folders; None where
+    root is in no work tree. Hand them to spark.read as paths."""
+    listed = subprocess.run(["git", "-C", root, "ls-files", "-z", "--cached", "--others", "--exclude-standard"], capture_output=True, check=False)
+    if listed.returncode:
+        return None
+    paths = sorted({p for p in listed.stdout.decode("utf-8", "surrogateescape").split("\0") if p})
+    fits = lambda p: not extensions or p.endswith(tuple(extensions))
+    return [os.path.join(root, p) for p in paths if fits(p) and not set(p.split("/")) & set(IGNORED) and os.path.exists(os.path.join(root, p))]
+
+
 def ignored(path: Column) -> Column:
     """True where a component of a path is an ignored folder."""
     return F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, IGNORED)))

@@ -29,7 +29,9 @@ def test_hybrid_fast_path(spark):
 
 def test_bm25_orders_by_rarity_and_frequency(spark):
     docs = spark.createDataFrame([(1, "alpha beta"), (2, "alpha alpha alpha"), (3, "gamma"), (4, None)], "key long, content string")
-    out = {r.key: r.score for r in lexical.bm25(lexical.postings(docs), ["alpha", "gamma"]).collect()}
+    out = {r.key: r.score for r in lexical.bm25(docs, ["alpha", "gamma"]).collect()}
+    stored = {r.key: r.score for r in lexical.bm25_of_postings(lexical.postings(docs), ["alpha", "gamma"]).collect()}
+    assert out.keys() == stored.keys() and all(abs(out[k] - s) < 1e-12 for k, s in stored.items())
     assert set(out) == {1, 2, 3} and out[2] > out[1]
 
 
