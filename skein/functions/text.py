@@ -218,7 +218,12 @@ def contexts_of_path(path: Column) -> Column:
 def task_of_tools(tools: Column) -> Column:
     """The task that most of an array of tools suggest, of equals the first in the alphabet; null where none does."""
     tasks = sorted(set(TASK_OF_TOOL.values()))
-    votes = [F.size(F.filter(tools, lambda x, t=t: x.isin(*[k for k, v in TASK_OF_TOOL.items() if v == t]))) for t in tasks]
+
+    def vote(task: str) -> Column:
+        names = [k for k, v in TASK_OF_TOOL.items() if v == task]
+        return F.size(F.filter(tools, lambda x: x.isin(*names)))
+
+    votes = [vote(t) for t in tasks]
     most = F.greatest(*votes)
     return F.when(most > 0, F.coalesce(*[F.when(v == most, F.lit(t)) for v, t in zip(votes, tasks, strict=True)]))
 

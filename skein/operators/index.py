@@ -66,7 +66,7 @@ def full_index(spark, root: str, out: str, checkpoint: str, pattern: str = "*",
     """
     source = spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch)
     files = source.schema("path string, modificationTime timestamp, length long, content binary").load(root)
-    rows = files.select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), F.sha2("content", 256).alias("content_hash"), F.decode("content", F.lit("UTF-8")).alias("content"))
+    rows = files.select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), F.sha2("content", 256).alias("content_hash"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
     rows.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", out).trigger(availableNow=True).start().awaitTermination()
 
 
