@@ -37,43 +37,93 @@ def mermaid(calls: DataFrame, least: int = 1) -> DataFrame:
     return edges.select(F.concat(F.lit('  "'), "caller", F.lit('" -->|'), F.col("n").cast("string"), F.lit('| "'), "callee_file", F.lit('"')).alias("line"))
 
 
+VERBS = "get|post|put|patch|delete"
+# Lines that open a route, by patterns of our own.
+ROUTE_ANCHORS = [rf"@\w+\.(?:{VERBS}|route)\s*\(", rf"\b(?:app|router|bp)\.(?:{VERBS})\s*\(", r"\.add_url_rule\s*\(", r"export\s+(?:async\s+)?function\s+(?:GET|POST|PUT|PATCH|DELETE)\b", r"export\s+const\s+(?:GET|POST|PUT|PATCH|DELETE)\s*="]
+# Forms of a route in the order in which they are tried, with the groups of method and route (0: none).
 ROUTES = [
-    r"""(?is)@(?:app|router|bp)\.(get|post|put|patch|delete)\(\s*["']([^"']+)["']""",
-    r"""(?is)\b(?:app|router)\.(get|post|put|patch|delete)\(\s*["']([^"']+)["']""",
+    (r"export\s+(?:async\s+)?function\s+(GET|POST|PUT|DELETE|PATCH)\s*\(", 1, 0),
+    (r"export\s+const\s+(GET|POST|PUT|DELETE|PATCH)\s*=", 1, 0),
+    (r"""\.(get|post|put|delete|patch)\s*\(\s*['"]([^'"]+)['"]""", 1, 2),
+    (r"""@(?:app|router)\.(get|post|put|delete|patch)\s*\(\s*['"]([^'"]+)['"]""", 1, 2),
+    (r"""@app\.route\s*\(\s*['"]([^'"]+)['"].*methods\s*=\s*\[['"](\w+)""", 2, 1),
+    (r"""@app\.route\s*\(\s*['"]([^'"]+)['"]""", 0, 1),
+    (r"""@\w+\.route\s*\(\s*['"]([^'"]+)['"].*methods\s*=\s*[\[\(]['"](\w+)""", 2, 1),
+    (r"""@\w+\.route\s*\(\s*['"]([^'"]+)['"]""", 0, 1),
+    (r"""\.add_url_rule\s*\(\s*['"]([^'"]+)['"].*methods\s*=\s*[\[\(]['"]?(\w+)""", 2, 1),
+    (r"""\.add_url_rule\s*\(\s*['"]([^'"]+)['"]""", 0, 1),
 ]
-HANDLER = r"(?s)export\s+(?:async\s+)?function\s+(GET|POST|PUT|PATCH|DELETE)\b"
+CONTEXT_LINES = 5
 
 
 def endpoints(files: DataFrame) -> DataFrame:
-    """path, line, method, route: routes that decorators, calls or exported handlers declare; the first kind a line fits.
-
-    A handler without a route gets the one of its file's place.
-    """
+    """path, line, method, route: routes that decorators, calls or exported handlers open, by the first form of ROUTES that
+    the line and those behind it, up to the next such line, show; without a method GET, without a route the one of the
+    file's place."""
     from skein.functions.text import route_of_file
 
-    lines = files.select("path", F.posexplode(F.split("content", "\n")).alias("line", "text"))
-    method = F.coalesce(*[F.nullif(F.upper(F.regexp_extract("text", p, 1)), F.lit("")) for p in [*ROUTES, HANDLER]])
-    route = F.coalesce(*[F.nullif(F.regexp_extract("text", p, 2), F.lit("")) for p in ROUTES], route_of_file(F.col("path")))
-    return lines.select("path", (F.col("line") + 1).alias("line"), method.alias("method"), route.alias("route")).where("method is not null")
+    opens = "|".join(f"(?:{p})" for p in ROUTE_ANCHORS)
+    lines = files.where(F.col("content").rlike(opens)).select("path", F.split("content", "\n").alias("lines"))
+    opening = lines.select("path", "lines", F.posexplode("lines").alias("line", "text")).where(F.col("text").rlike(opens))
+    behind = F.slice("lines", F.col("line") + 2, F.lit(CONTEXT_LINES - 1))
+    next_ = F.array_position(F.transform(behind, lambda x: x.rlike(opens)), F.lit(True))
+    own = F.when(next_ > 0, F.slice(behind, F.lit(1), next_.cast("int") - 1)).otherwise(behind)
+    shown = opening.select("path", (F.col("line") + 1).alias("line"), F.array_join(F.concat(F.array("text"), own), "\n").alias("text"))
+    picked = lambda group, default: F.coalesce(*[F.when(F.col("text").rlike("(?is)" + p), F.regexp_extract("text", "(?is)" + p, g[group]) if g[group] else default) for p, *g in ROUTES])
+    method = F.upper(F.coalesce(picked(0, F.lit("GET")), F.nullif(F.regexp_extract("text", rf"(?i)\b({VERBS})\b", 1), F.lit(""))))
+    place = route_of_file(F.col("path"))
+    return shown.select("path", "line", method.alias("method"), F.coalesce(F.nullif(picked(1, place), F.lit("")), place, F.lit("/unknown")).alias("route")).where("method is not null")
+
+
+# Names of field types in schema calls and in columns of mapped classes.
+FIELD_TYPES = {"serial": "serial", "varchar": "string", "text": "text", "integer": "integer", "boolean": "boolean", "timestamp": "timestamp", "uuid": "uuid", "Integer": "integer", "String": "string", "Text": "text", "Boolean": "boolean", "DateTime": "datetime"}
+#: Where an entity's body lies, with the groups of its name and its fields' names and types.
+ENTITY_FORMS = [
+    (r"(?ms)^class \w+\((?:Base|Model|BaseModel|db\.Model)\):\n(?:[ \t]+[^\n]*\n?)+", r"class (\w+)", r"(?m)^[ \t]+(\w+)\s*:\s*(\w+)"),
+    (r"(?ms)^class \w+\((?:Base|Model|BaseModel|db\.Model)\):\n(?:[ \t]+[^\n]*\n?)+", r"class (\w+)", r"(?m)^[ \t]+(\w+)\s*=\s*(?:db\.)?Column\s*\(\s*(?:db\.)?(Integer|String|Text|Boolean|DateTime)\b"),
+    (r"""(?s)\b(?:pg|mysql|sqlite)Table\s*\(\s*["']\w+["']\s*,\s*\{.*?\n?\}\s*\)""", r"""Table\s*\(\s*["'](\w+)""", r"(\w+)\s*:\s*(serial|varchar|text|integer|boolean|timestamp|uuid)\s*\("),
+]
 
 
 def entities(files: DataFrame) -> DataFrame:
-    """entity, path, fields (name:type, sorted as written): classes on a base and table calls; the first of a name wins."""
-    block = F.explode(F.regexp_extract_all("content", F.lit(r"(?ms)^class \w+\((?:Base|Model|BaseModel)\):\n(?:[ \t]+[^\n]*\n?)+"), F.lit(0)))
-    found = files.select("path", block.alias("body"))
-    fields = F.zip_with(F.regexp_extract_all("body", F.lit(r"(?m)^[ \t]+(\w+)\s*:\s*(\w+)"), F.lit(1)), F.regexp_extract_all("body", F.lit(r"(?m)^[ \t]+(\w+)\s*:\s*(\w+)"), F.lit(2)), lambda n, t: F.concat(n, F.lit(":"), t))
-    named = found.select(F.regexp_extract("body", r"class (\w+)", 1).alias("entity"), "path", F.array_join(fields, ",").alias("fields"))
-    return named.groupBy("entity").agg(F.min(F.struct("path", "fields")).alias("x")).select("entity", "x.path", "x.fields")
-
-
-# Groups of our own: signs of business rules and of side effects.
-RULES = {"validation": r"(?i)\bvalidat|\braise ValueError", "authorisation": r"(?i)\bauthori[sz]|\bpermission", "rate_limit": r"(?i)rate_?limit"}
-EFFECTS = {"database": r"(?i)\.(?:commit|insert|save)\(", "network": r"(?i)\b(?:fetch|requests\.\w+|httpx\.\w+)\(", "email": r"(?i)send_?e?mail"}
-
-
-def labels(files: DataFrame, groups: dict[str, str], name: str) -> DataFrame:
-    """path with the sorted labels whose pattern its content shows."""
-    shown = F.array_compact(F.array(*[F.when(F.col("content").rlike(p), F.lit(g)) for g, p in sorted(groups.items())]))
+    """entity, path, fields (name:type, as written): classes on a base, by annotations or columns, and tables of schema
+    calls; the first of a name wins."""
+    types = F.create_map(*[F.lit(x) for pair in FIELD_TYPES.items() for x in pair])
+    found = []
+    for form, (body, name, field) in enumerate(ENTITY_FORMS):
+        each = files.select("path", F.explode(F.regexp_extract_all("content", F.lit(body), F.lit(0))).alias("body"))
+        known = lambda t: F.coalesce(F.element_at(types, t), t)
+        fields = F.zip_with(F.regexp_extract_all("body", F.lit(field), F.lit(1)), F.regexp_extract_all("body", F.lit(field), F.lit(2)), lambda n, t: F.concat(n, F.lit(":"), known(t)))
+        found.append(each.select(F.regexp_extract("body", name, 1).alias("entity"), "path", F.lit(form).alias("form"), F.array_join(fields, ",").alias("fields")))
+    # Tables are named as their rows would be.
+    tables = found[2].withColumn("entity", F.concat(F.upper(F.substring("entity", 1, 1)), F.expr("substring(entity, 2)")))
+    named = found[0].unionByName(found[1]).unionByName(tables).where("fields <> ''")
+    return named.groupBy("entity").agg(F.min(F.struct("path", "form", "fields")).alias("x")).select("entity", "x.path", "x.fields")
+
+
+# Signs of business rules and of side effects, any of which shows the rule or the effect.
+RULES = {
+    "validate uniqueness": [r"findUnique\s*\(", r"\.exists\s*\(", r"count\s*\(\s*\)\s*[=><!]=\s*0", r"unique.*constraint", r"already.?exists", r"duplicate.*entry"],
+    "hash password securely": [r"bcrypt\.(hash|compare)", r"argon2\.", r"hashPassword", r"verifyPassword", r"password.*hash"],
+    "verify authorization": [r"isAdmin", r"hasPermission", r"canAccess", r"requireAuth", r"checkAuth", r"session\?\.", r"currentUser"],
+    "apply rate limiting": [r"rateLimit", r"throttle", r"tooManyRequests", r"429"],
+    "soft delete (preserve record)": [r"deletedAt", r"isDeleted", r"softDelete", r"\.update.*deleted"],
+    "validate input": [r"\.parse\s*\(", r"validate\w*\s*\(", r"safeParse", r"ValidationError"],
+    "return 404 if not found": [r"404", r"not.?found", r"NotFoundError", r"if\s*\(\s*!\s*\w+\s*\)"],
+}
+EFFECTS = {
+    "email": [r"sendEmail", r"mailer\.", r"resend\.", r"nodemailer", r"smtp", r"EmailService"],
+    "stripe": [r"stripe\.", r"PaymentIntent", r"Subscription", r"Customer.*stripe", r"createCheckout"],
+    "webhook": [r"webhook", r"\.post\s*\(\s*['\"]https?://", r"fetch\s*\(\s*['\"]https?://", r"axios\.(post|put)"],
+    "queue": [r"\.add\s*\(\s*['\"]", r"enqueue", r"publish\s*\(", r"emit\s*\("],
+    "s3": [r"s3\.", r"S3Client", r"putObject", r"getSignedUrl", r"uploadFile"],
+}
+
+
+def labels(files: DataFrame, groups: dict[str, list[str]], name: str) -> DataFrame:
+    """path with the sorted labels of which its content shows a pattern, in any case."""
+    any_of = lambda patterns: "(?i)" + "|".join(f"(?:{p})" for p in patterns)
+    shown = F.array_compact(F.array(*[F.when(F.col("content").rlike(any_of(ps)), F.lit(g)) for g, ps in sorted(groups.items())]))
     return files.select("path", F.array_join(shown, ",").alias(name)).where(F.col(name) != "")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tomllib
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -97,19 +98,36 @@ def valid_convention(name: Column, priority: Column, pattern: Column) -> Column:
     return F.when(F.coalesce(F.trim(name), F.lit("")) == "", "no_name").when(~priority.isin("required", "recommended", "optional"), "unknown_priority").when(opened(r"\(", r"\)"), "bad_pattern")
 
 
+def _level(value) -> str:
+    """Severity of a rule's setting: a name, a number, or either as the first of a list or as the level of an object."""
+    value = value[0] if isinstance(value, list) and value else value
+    value = value.get("level", "error") if isinstance(value, dict) else value
+    return str({0: "off", 1: "warn", 2: "error"}.get(value, value))
+
+
 def _rules(path: str, content: str) -> list[tuple[str, str]]:
+    """(rule, severity) of a linter's configuration, by the name of its file; broken and unknown files give nothing."""
+    file = path.rpartition("/")[2]
     try:
+        if file in ("ruff.toml", ".ruff.toml", "pyproject.toml"):
+            data = tomllib.loads(content)
+            ruff = data.get("tool", {}).get("ruff", {}) if file == "pyproject.toml" else data
+            lint = ruff.get("lint", {}) | {k: v for k, v in ruff.items() if k in ("select", "extend-select", "ignore")}
+            chosen = [*lint.get("select", []), *lint.get("extend-select", [])]
+            return [(f"ruff/{r}", "error") for r in chosen if r not in lint.get("ignore", [])] + [("ruff/line-length", str(ruff["line-length"]))] * ("line-length" in ruff)
         data = json.loads(content)
-    except ValueError:
+        if file.startswith("biome.json"):
+            groups = data.get("linter", {}).get("rules", {})
+            return [(f"{g}/{r}", _level(v)) for g, rules in groups.items() if isinstance(rules, dict) for r, v in rules.items()]
+        if file.startswith((".prettierrc", "prettier.config")):
+            return [(f"prettier/{k}", json.dumps(v)) for k, v in data.items() if not isinstance(v, (dict, list))]
+        return [(k, _level(v)) for k, v in data.get("rules", {}).items()]
+    except (ValueError, AttributeError, TypeError):
         return []
-    rules = data.get("rules", {}) if isinstance(data, dict) else {}
-    level = lambda v: v[0] if isinstance(v, list) and v else v
-    names = {0: "off", 1: "warn", 2: "error"}
-    return [(k, str(names.get(level(v), level(v)))) for k, v in rules.items()] if isinstance(rules, dict) else []
 
 
 def linter_rules(configs: DataFrame) -> DataFrame:
-    """path, rule, severity of linter configurations in JSON (path, content); rules that are off are left out."""
+    """path, rule, severity of linter configurations (path, content); rules that are off are left out."""
 
     def scan(frames):
         for f in frames:
@@ -130,12 +148,14 @@ def rule_category(rule: Column) -> Column:
 def ema_centroids(queries: DataFrame, alpha: float = 0.3) -> DataFrame:
     """thread, centre: 0.7 of the centre and 0.3 of each vector, folded in order; queries (thread, ord, vector).
 
-    A thread is a session's part and small; its vectors are folded inside one row.
+    The fold is a weighted sum: a vector with k behind it weighs alpha * (1 - alpha) ** k, the first one without alpha. So
+    no thread is gathered; sums are combined before they meet.
     """
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ord", "vector"))), lambda x: x["vector"].cast("array<double>"))
-    rows = queries.groupBy("thread").agg(ordered.alias("vs"))
-    fold = F.aggregate(F.slice("vs", 2, F.greatest(F.size("vs") - 1, F.lit(1))), F.get("vs", F.lit(0)), lambda c, v: F.zip_with(c, v, lambda a, b: (1 - alpha) * a + alpha * b))
-    return rows.select("thread", fold.alias("centre"))
+    back = Window.partitionBy("thread").orderBy(F.col("ord").desc())
+    weight = F.when(F.lead("ord").over(back).isNull(), F.lit(1.0)).otherwise(F.lit(float(alpha))) * F.pow(F.lit(1.0 - alpha), F.row_number().over(back) - 1)
+    parts = queries.select("thread", weight.alias("w"), "vector").select("thread", "w", F.posexplode("vector").alias("at", "x"))
+    sums = parts.groupBy("thread", "at").agg(F.sum(F.col("w") * F.col("x").cast("double")).alias("x"))
+    return sums.groupBy("thread").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda p: p["x"]).alias("centre"))
 
 
 def recent_distinct(texts: DataFrame, window: int = 100) -> DataFrame:

@@ -42,6 +42,49 @@ def merge_candidates(classes: DataFrame, least: float = 0.85) -> DataFrame:
     return joined.select("a", "b", F.round(F.col("common") / (F.col("na") + F.col("nb") - F.col("common")), 6).alias("jaccard")).where(F.col("jaccard") >= least)
 
 
+def discovered(items: DataFrame, classes: DataFrame, taxonomy: DataFrame, weak_below: float = 0.2, least_count: int = 3, most: int = 5) -> DataFrame:
+    """category, centre of new categories: the most frequent words of the names of items that no category fits well.
+
+    items (key, name, vector). A centre is the mean vector of the weak items with the word; words that name a category
+    already are left out.
+    """
+    from skein.functions.text import code_tokens
+
+    strong = classes.where(F.col("score") >= weak_below).select("key").distinct()
+    words = items.join(strong, "key", "left_anti").select("key", "vector", F.explode(F.array_distinct(code_tokens(F.col("name")))).alias("category")).where(F.length("category") >= 3)
+    fresh = words.join(taxonomy.select("category"), "category", "left_anti")
+    sums = fresh.select("category", F.posexplode("vector").alias("at", "x")).groupBy("category", "at").agg(F.avg("x").alias("x"), F.count("*").alias("n"))
+    centres = sums.groupBy("category").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda p: p["x"].cast("double")).alias("centre"), F.max("n").alias("n"))
+    return centres.where(F.col("n") >= least_count).orderBy(F.col("n").desc(), "category").limit(most).select("category", "centre")
+
+
+def merged_categories(taxonomy: DataFrame, pairs: DataFrame) -> DataFrame:
+    """taxonomy with every category that a pair names beside a shorter (of equals: earlier) one left to that one."""
+    shorter = (F.length("a") < F.length("b")) | ((F.length("a") == F.length("b")) & (F.col("a") < F.col("b")))
+    gone = pairs.select(F.when(shorter, F.col("b")).otherwise(F.col("a")).alias("category")).distinct()
+    return taxonomy.join(gone, "category", "left_anti")
+
+
+def refine(items: DataFrame, taxonomy: DataFrame, rounds: int = 5) -> tuple[DataFrame, list[dict]]:
+    """The taxonomy after up to `rounds` rounds of classifying, discovering and merging, and the measures of each round.
+
+    A taxonomy is a few rows; it comes to the driver each round, so that the plan does not grow. Ends early where a round
+    changes nothing.
+    """
+    spark, schema, total, seen = items.sparkSession, "category string, centre array<double>", items.count(), []
+    for _ in range(rounds):
+        classes = classify(items, taxonomy)
+        seen.append(metrics(classes, total).first().asDict())
+        grown = taxonomy.select("category", F.col("centre").cast("array<double>").alias("centre")).unionByName(discovered(items, classes, taxonomy))
+        kept = merged_categories(grown, merge_candidates(classes).select("a", "b"))
+        rows = sorted((r["category"], list(r["centre"])) for r in kept.collect())
+        same = [r[0] for r in rows] == sorted(r["category"] for r in taxonomy.select("category").collect())
+        taxonomy = spark.createDataFrame(rows, schema)
+        if same:
+            break
+    return taxonomy, seen
+
+
 def greedy_distinct(items: DataFrame, group: str, threshold: float = 0.85) -> DataFrame:
     """Items (group, ord, key, vector) that no earlier kept item of their group resembles; in order, one group at a time.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from skein.operators import code, patterns
 from skein.operators.patterns import ANCHORS, CONTEXTS, INSIGHTS
 from skein.plans import corpus
-from skein.plans.base import query, table, values, values_sql
+from skein.plans.base import query, quoted, table, values, values_sql
 from skein.sources import manifests, scanner, transcripts
 from skein.streaming import sessions
 
@@ -52,7 +52,14 @@ def snk5(spark, d):
     return code.mermaid(calls(spark))
 
 
-@query("pat7_anchors")
+def line_matches_sql(sets, lines: str) -> str:
+    """line_matches() over a table of lines (path, line, text)."""
+    first = lambda x: " ".join(f"when regexp_matches(text, {quoted(p)}) then {quoted(p)}" for p in x.patterns)
+    each = [f"select path as key, {quoted(x.type_id)} as type_id, line, substr(trim(text), 1, 100) as text, case {first(x)} end as pattern from {lines}" for x in sets]
+    return f"select * from ({' union all '.join(each)}) where pattern is not null"
+
+
+@query("pat7_anchors", f"with {CODE_SQL}, {LINES_SQL} {line_matches_sql(ANCHORS, 'ln')}")
 def pat7(spark, d):
     return patterns.line_matches(code_files(spark).withColumnRenamed("path", "key"), ANCHORS)
 
@@ -63,7 +70,14 @@ def pat6_code(spark, d):
     return patterns.line_matches(code_files(spark).withColumnRenamed("path", "key"), INSIGHTS).drop("pattern")
 
 
-@query("pat4_code_contexts")
+def contexts_sql(sets, docs: str, key: str) -> str:
+    """detect_contexts() over a table (key, ext, content)."""
+    count = lambda x: " + ".join(f"len(regexp_extract_all(content, {quoted(p)}))" for p in x.patterns)
+    fits = lambda x: f"coalesce(ext, '') = '' or ext in ({', '.join(map(quoted, x.extensions))})" if x.extensions else "true"
+    return " union all ".join(f"select {key} as key, {quoted(x.type_id)} as type_id, {count(x)} as n from {docs} where ({fits(x)}) and {count(x)} >= 2" for x in sets)
+
+
+@query("pat4_code_contexts", f"with {CODE_SQL} {contexts_sql(CONTEXTS, 'code', 'path')}")
 def pat4(spark, d):
     return patterns.detect_contexts(code_files(spark), CONTEXTS, 2, key="path", ext="ext")
 
@@ -79,9 +93,19 @@ def ir1(spark, d):
     return code.entities(code_files(spark))
 
 
-@query("ir3_rules", f"with {CODE_SQL} select path, array_to_string(list_filter(['database', 'email', 'network'], lambda g: case g when 'database' then regexp_matches(content, '(?i)\\.(?:commit|insert|save)\\(') when 'email' then regexp_matches(content, '(?i)send_?e?mail') else regexp_matches(content, '(?i)\\b(?:fetch|requests\\.\\w+|httpx\\.\\w+)\\(') end), ',') as effects from code where regexp_matches(content, '(?i)\\.(?:commit|insert|save)\\(|send_?e?mail|\\b(?:fetch|requests\\.\\w+|httpx\\.\\w+)\\(')")
+def labels_sql(column: str, groups: dict[str, list[str]]) -> str:
+    """The sorted labels of which a column shows a pattern, comma-joined."""
+    shows = " ".join(f"when {quoted(g)} then regexp_matches({column}, {quoted('(?i)' + '|'.join(f'(?:{p})' for p in ps))})" for g, ps in groups.items())
+    return f"array_to_string(list_filter({quoted(sorted(groups))}, lambda g: case g {shows} end), ',')"
+
+
+EFFECT_COLUMNS = "path string, content string"
+EFFECT_FILES = [("mail.ts", "await mailer.send(m)\nqueue.add('job', m)"), ("pay.ts", "stripe.checkout()\nfetch('https://host.example/hook')"), ("store.py", "client = S3Client()\nEMIT('x')"), ("none.py", "x = 1")]
+
+
+@query("ir3_rules", f"with {values_sql('code', EFFECT_COLUMNS, EFFECT_FILES)}, l as (select path, {labels_sql('content', code.EFFECTS)} as effects from code) select * from l where effects <> ''")
 def ir3(spark, d):
-    return code.labels(code_files(spark), code.EFFECTS, "effects")
+    return code.labels(values(spark, EFFECT_COLUMNS, EFFECT_FILES), code.EFFECTS, "effects")
 
 
 @query("ir4_flows", "with recursive " + CALL_SQL + ", st as (select distinct caller as s, callee_file as t from calls where caller <> callee_file), r as (select path as start, path as file, 0 as depth from code union select r.start, st.t, r.depth + 1 from r join st on st.s = r.file where r.depth < 10) select start, file, min(depth) as depth from r group by start, file")

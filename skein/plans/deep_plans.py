@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as t
 from skein.functions.text import NARRATION, NARRATION_BELOW, NARRATION_PREFIXES
-from skein.operators import code, graph, index, lexical, memory, patterns, search
+from skein.operators import code, graph, index, lexical, memory, patterns, search, taxonomy
 from skein.operators.patterns import Library, PatternSet
 from skein.plans.base import FILES_SQL, ORACLE_SQL, files, query, quoted, table, values, values_sql
 from skein.plans.code_plans import code_files
@@ -198,6 +198,15 @@ def cls3(spark, d):
     return out.select("path", F.array_join(F.transform("symbols", lambda x: F.concat(x["name"], x["kind"], x["line"].cast("string"))), ",").alias("symbols"), F.size("vector").cast("long").alias("dims"))
 
 
+@query("cls2_refine")
+def cls2(spark, d):
+    e = table(spark, d, "embeddings")
+    names = table(spark, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name"))
+    items = e.select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"), "label").join(names, "key")
+    refined, _ = taxonomy.refine(items, taxonomy.centroids(items.where("label < 3"), "label", "vector", 64), 3)
+    return refined.select("category", F.size("centre").alias("dims"))
+
+
 # ---- the application in one table
 
 APP_SQL = f"app as (select 'entity' as kind, entity as name, path, fields as detail from ({ORACLE_SQL['ir1_entities']}) union all select 'endpoint', method || ' ' || route, path, 'line ' || line from ({ORACLE_SQL['ir2_endpoints']}) where route is not null)"

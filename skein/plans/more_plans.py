@@ -10,9 +10,9 @@ from skein.operators import code, index, memory, search
 from skein.operators.patterns import line_matches
 from skein.plans import corpus
 from skein.plans.base import FILES_SQL, files, query, table, values, values_sql
-from skein.plans.code_plans import CALL_SQL, CODE_SQL, SYM_SQL, calls, code_files
+from skein.plans.code_plans import CALL_SQL, CODE_SQL, SYM_SQL, calls, code_files, labels_sql
 from skein.plans.search_plans import AGES, TOKENS, ages, vectors
-from skein.plans.table_plans import CONV_SQL, LINE_SQL, LINES, SETS, classes
+from skein.plans.table_plans import CENTRE, CLS, CONV_SQL, LINE_SQL, LINES, SETS, classes
 
 SOURCES = "with f as (select doc_id as key, 'file' as kind, 1 as r from documents), s as (select vec_id as key, 'symbol' as kind, 2 as r from embeddings), a as (select * from f union all select * from s)"
 
@@ -108,7 +108,7 @@ def jn6(spark, d):
 @query("jn10_entity_symbols", f"with {SYM_SQL}, e(entity) as (values ('User'), ('Order'), ('Token')) select entity, name from e join sym on contains(lower(name), lower(entity))")
 def jn10(spark, d):
     e = spark.createDataFrame([("User",), ("Order",), ("Token",)], "entity string")
-    return values(spark, corpus.SYMBOL_COLUMNS, corpus.SYMBOLS).join(F.broadcast(e), F.contains(F.lower("name"), F.lower("entity"))).select("entity", "name")
+    return values(spark, corpus.SYMBOL_COLUMNS, corpus.SYMBOLS).join(e, F.contains(F.lower("name"), F.lower("entity"))).select("entity", "name")
 
 
 CONFIGS = [("a/.eslintrc.json", '{"rules": {"no-eval": "error", "camelcase": ["warn", {}], "semi": 0, "import/order": 2}}'), ("b/.oxlintrc.json", '{"rules": {"no-print": "error"}}'), ("c/.eslintrc.json", "broken")]
@@ -149,10 +149,12 @@ def win5(spark, d):
     return line_matches(files(spark, d), LINES).withColumn("n", F.row_number().over(w)).where("n = 1").select("key", "type_id", "line")
 
 
-@query("win6_ema_centroid")
+@query("win6_ema_centroid", """with r as (select label as thread, embedding, row_number() over (partition by label order by vec_id desc) - 1 as k, row_number() over (partition by label order by vec_id) as i from embeddings),
+u as (select thread, case when i = 1 then 1.0::double else 0.3::double end * pow(0.7::double, k) as w, unnest(range(1, 65)) as d, embedding from r), s as (select thread, d, sum(w * embedding[d]::double) as x from u group by 1, 2)
+select thread, list(round(x, 6) + 0.0 order by d) as centre from s group by thread""")
 def win6(spark, d):
     e = table(spark, d, "embeddings").select(F.col("label").alias("thread"), F.col("vec_id").alias("ord"), F.col("embedding").alias("vector"))
-    return index.ema_centroids(e).select("thread", F.transform("centre", lambda x: F.round(x, 6)).alias("centre"))
+    return index.ema_centroids(e).select("thread", F.transform("centre", lambda x: F.round(x, 6) + 0.0).alias("centre"))
 
 
 @query("win7_last_symbol", "select c_name_ as name, max(c_custkey) as at from (select c_custkey, c_mktsegment || c_nationkey as c_name_ from customer) group by 1")
@@ -205,9 +207,11 @@ def arr2(spark, d):
     return agg.select("source", F.concat(F.array_join(F.transform("ids", lambda x: x.cast("string")), ", "), more).alias("shown"))
 
 
-@query("map1_category_index")
+@query("map1_category_index", f"with {CENTRE}, {CLS} select category, string_agg(key || ':' || round(score * 1000)::bigint, ',' order by key) as scores from cls group by category")
 def map1(spark, d):
-    return classes(spark, d).groupBy("category").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "score")))).alias("scores"))
+    index_ = classes(spark, d).groupBy("category").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "score")))).alias("scores"))
+    shown = F.transform(F.map_entries("scores"), lambda x: F.concat_ws(":", x["key"].cast("string"), F.round(x["value"] * 1000).cast("long").cast("string")))
+    return index_.select("category", F.array_join(shown, ",").alias("scores"))
 
 
 @query("jsn1_event_props", "select event_id, (props->>'k')::bigint as k from events where (props->>'k')::bigint > 90")
@@ -229,9 +233,9 @@ def cg3(spark, d):
     return calls(spark).groupBy(F.col("caller").alias("src"), F.lit("calls").alias("rel"), F.col("callee_file").alias("dst")).agg(F.count("*").alias("n"))
 
 
-@query("ir3_business_rules", f"with {CODE_SQL} select path, 'validation' as rules from code where regexp_matches(content, '(?i)\\bvalidat|\\braise ValueError')")
+@query("ir3_business_rules", f"with l as (select source || '/' || doc_id as path, {labels_sql('text', code.RULES)} as rules from documents) select * from l where rules <> ''")
 def ir3_rules(spark, d):
-    return code.labels(code_files(spark), code.RULES, "rules").where("rules = 'validation'")
+    return code.labels(files(spark, d), code.RULES, "rules")
 
 
 @query("idx1_register_contexts", f"with {FILES_SQL} select path, length(content) as size, sha256(content) as content_hash from files")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skein.functions.scores import RECENCY, eviction_score, recency_weight, thread_score
-from skein.functions.text import code_tokens, dedupe_key, file_key, flexible_pattern, hex_key, key_of_hex, line_of, redacted, regex_risk, remote_slug, snippet, title
+from skein.functions.text import code_tokens, dedupe_key, file_key, flexible_pattern, hex_key, key_of_hex, line_of, project_id, redacted, regex_risk, remote_slug, snippet, title
 from skein.functions.vectors import cosine_guarded, cosine_search, hashing_embedder, key_hash, norm
 from skein.operators import lexical, search
 from skein.plans import corpus
@@ -226,9 +226,14 @@ def prj2(spark, d):
     return search.truncated(r, 8000).select("key", F.md5("content").alias("digest"))
 
 
-@query("snk6_tsv", f"with {FILES_SQL} select concat_ws(chr(9), 'F', key::varchar, path, length(content)::varchar) as line from files")
+@query("snk6_tsv", f"""with {FILES_SQL}, {SEM} select concat_ws(chr(9), 'F', key::varchar, path, length(content)::varchar) as line from files union all select concat_ws(chr(9), 'T', conv_id::varchar, count(*)::varchar) from conversations group by conv_id
+union all select concat_ws(chr(9), 'M', doc_id::varchar, coalesce(quality::varchar, '')) from labels union all select concat_ws(chr(9), 'S', p_partkey::varchar, p_name, p_brand) from part""")
 def snk6(spark, d):
-    return files(spark, d).select(search.tsv(F.lit("F"), F.col("key"), F.col("path"), F.length("content")).alias("line"))
+    t = table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n")).select(search.tsv(F.lit("T"), F.col("conv_id"), F.col("n")).alias("line"))
+    m = table(spark, d, "labels").select(search.tsv(F.lit("M"), F.col("doc_id"), F.col("quality")).alias("line"))
+    s = table(spark, d, "part").select(search.tsv(F.lit("S"), F.col("p_partkey"), F.col("p_name"), F.col("p_brand")).alias("line"))
+    f = files(spark, d).select(search.tsv(F.lit("F"), F.col("key"), F.col("path"), F.length("content")).alias("line"))
+    return f.unionByName(t).unionByName(m).unionByName(s)
 
 
 @query("str2_hex_keys", "select doc_id, '0x' || lpad(lower(to_hex(doc_id)), 16, '0') as hex, doc_id as back from documents")
@@ -262,6 +267,13 @@ def str13(spark, d):
     return values(spark, corpus.REMOTE_COLUMNS, corpus.REMOTES).select("url", remote_slug(F.col("url")).alias("slug"))
 
 
+@query("str13_project", """with s as (select c_custkey, 'host.example/' || lower(replace(c_name, '#', '/')) as slug, sha256('host.example/' || lower(replace(c_name, '#', '/'))) as h from customer)
+select c_custkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-4' || substr(h, 14, 3) || '-' || substr('89ab', (instr('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) as project from s""")
+def str13_project(spark, d):
+    url = F.concat(F.lit("https://me@Host.Example/"), F.replace("c_name", F.lit("#"), F.lit("/")), F.lit(".git"))
+    return table(spark, d, "customer").select("c_custkey", project_id(remote_slug(url)).alias("project"))
+
+
 REDACT_SQL = "regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+', '[REDACTED:email]', 'g'), '\\b[0-9]{1,3}(?:\\.[0-9]{1,3}){3}\\b', '[REDACTED:ipv4]', 'g'), '\\b[0-9a-f]{32,}\\b', '[REDACTED:hex_key]', 'g')"
 
 

@@ -152,13 +152,14 @@ def agg6(spark, d):
 
 
 @query("agg14_content_hash", """with b as (select source, doc_id // 1000 as bucket, sha256(string_agg(doc_id || ':' || md5(text), chr(10) order by doc_id)) as h from documents group by 1, 2)
-select source, substr(sha256(string_agg(h, chr(10) order by bucket)), 1, 16) as digest from b group by source""")
+select source, substr(sha256(string_agg(h, chr(10) order by up)), 1, 16) as digest from (select source, bucket // 1000 as up, sha256(string_agg(h, chr(10) order by bucket)) as h from b group by 1, 2) group by source""")
 def agg14(spark, d):
-    """A tree of hashes: a thousand ids at a time, then the hashes of those, so no group of documents is gathered."""
+    """A tree of hashes: a thousand ids at a time, a thousand hashes of those, then the rest, so no group is gathered."""
     line = F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.md5("text"))
     joined = lambda order, x: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, x.alias("x")))), lambda r: r["x"]), "\n")
     part = table(spark, d, "documents").groupBy("source", F.floor(F.col("doc_id") / 1000).alias("bucket")).agg(F.sha2(joined("doc_id", line), 256).alias("h"))
-    return part.groupBy("source").agg(F.substring(F.sha2(joined("bucket", F.col("h")), 256), 1, 16).alias("digest"))
+    upper = part.groupBy("source", F.floor(F.col("bucket") / 1000).alias("up")).agg(F.sha2(joined("bucket", F.col("h")), 256).alias("h"))
+    return upper.groupBy("source").agg(F.substring(F.sha2(joined("up", F.col("h")), 256), 1, 16).alias("digest"))
 
 
 # ---- taxonomy

@@ -113,6 +113,40 @@ def test_lock_files_of_many_kinds():
     assert manifests.parse("Pipfile.lock", "broken") == []
 
 
+def test_linter_families():
+    rules = index._rules
+    assert rules("biome.json", '{"linter": {"rules": {"recommended": true, "style": {"useConst": "warn", "noVar": {"level": "off"}}}}}') == [("style/useConst", "warn"), ("style/noVar", "off")]
+    assert rules("ruff.toml", 'line-length = 100\n[lint]\nselect = ["E", "F"]\nignore = ["F"]\n') == [("ruff/E", "error"), ("ruff/line-length", "100")]
+    assert rules(".prettierrc", '{"semi": false, "overrides": []}') == [("prettier/semi", "false")]
+    assert rules("pyproject.toml", "broken") == [] and rules(".eslintrc.json", "[]") == []
+
+
+def test_routes_and_entities_of_several_frameworks(spark):
+    from skein.operators import code
+
+    files = [
+        ("a.py", "@app.route('/a', methods=['POST'])\ndef a(): pass\n@bp.route('/b')\ndef b(): pass\n@router.put(\n    '/c'\n)\napi.add_url_rule('/d', 'd', d, methods=('DELETE',))\n"),
+        ("src/app/api/users/route.ts", "export const GET = handler\nexport async function POST(r) {}\n"),
+        ("m.py", "class User(db.Model):\n    id = db.Column(db.Integer, primary_key=True)\n    name = Column(String(9))\n\nclass P(BaseModel):\n    x: int\n"),
+        ("s.ts", 'export const users = pgTable("users", {\n  id: serial("id").primaryKey(),\n  isActive: boolean("a"),\n})\n'),
+    ]
+    df = spark.createDataFrame(files, "path string, content string")
+    assert sorted((r.method, r.route) for r in code.endpoints(df).collect()) == [("DELETE", "/d"), ("GET", "/api/users"), ("GET", "/b"), ("POST", "/a"), ("POST", "/api/users"), ("PUT", "/c")]
+    assert {r.entity: r.fields for r in code.entities(df).collect()} == {"User": "id:integer,name:string", "P": "x:int", "Users": "id:serial,isActive:boolean"}
+
+
+def test_taxonomies_grow_merge_and_settle(spark):
+    from skein.operators import taxonomy
+
+    rows = [(i, "parseTree", [1.0, 0.0, 0.0]) for i in range(4)] + [(10 + i, "drawMap", [0.0, 0.0, 1.0]) for i in range(4)] + [(20, "oddOne", [0.0, 0.0, 0.9])]
+    items = spark.createDataFrame(rows, "key long, name string, vector array<double>")
+    start = spark.createDataFrame([("parser", [1.0, 0.0, 0.0]), ("parsing", [0.99, 0.01, 0.0])], "category string, centre array<double>")
+    out, seen = taxonomy.refine(items, start)
+    names = {r.category for r in out.collect()}
+    assert "parser" in names and "parsing" not in names and names & {"draw", "map"} and not {"odd", "tree"} & names
+    assert seen[0]["coverage"] < 0.5 and seen[-1]["coverage"] == 1.0 and len(seen) < 5
+
+
 def test_the_rest_works_without_the_corpus_operators(tmp_path):
     copy = tmp_path / "copy"
     shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", "*.parquet"))
