@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skein.llm.common import forget, materialize
 
 #: Edges of one node are met in up to so many places.
-SALTS = 16
+SALTS = 4
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:

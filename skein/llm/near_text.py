@@ -284,7 +284,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     number = F.lit(UNNAMED) + F.xxhash64("key").bitwiseAND(F.lit(UNNAMED - 1))
     nodes = materialize(full.groupBy("key").agg(F.min("doc_id").alias("own"), F.count("*").alias("n_copies"), F.first("bands").alias("bands")))
     shared = materialize(nodes.where("own is not null").groupBy(F.col("own").alias("id")).agg(F.min("key").alias("of"), F.count("*").alias("texts")).where("texts > 1").drop("texts"))
-    if shared.isEmpty():
+    one_each = shared.isEmpty()
+    if one_each:
         nodes = nodes.withColumn("node", F.coalesce("own", number))
     else:
         of = nodes.join(shared, F.col("own") == F.col("id"), "left")
@@ -294,11 +295,16 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     clusters = components(rows.join(leaders, "bucket").select(F.col("node").alias("a"), "b"))
     sizes = clusters.groupBy("label").agg(F.count("*").alias("size"))
     wanted = clusters.join(sizes, "label").select("node", F.col("label").alias("cluster"), "size").join(nodes.select("node", "key"), "node")
-    # A node's text comes from one of its rows; those that bear its name are met first, so that a hot text is not shuffled.
+    # A node's text comes from one of the rows that bear its name, so that copies of a hot text do not meet. Nodes without
+    # a name of their own have null ids, or ids that several texts share; only such rows are searched for theirs.
+    columns = ["node", "cluster", "size", "text"]
+    own = base.select(F.col("doc_id").alias("node"), "key", "text").join(wanted.where(F.col("node") < UNNAMED), ["node", "key"]).select(*columns)
     unnamed = wanted.where(F.col("node") >= UNNAMED)
-    own = base.select(F.col("doc_id").alias("node"), "key", "text").join(wanted.where(F.col("node") < UNNAMED), ["node", "key"])
-    others = base.join(unnamed, "key").select("node", "key", "text", "cluster", "size")
-    links = links_in_clusters(own.unionByName(others).dropDuplicates(["node"]).select("node", "cluster", "size", "text"), threshold)
+    once = lambda df: df.groupBy("key").agg(F.any_value("text").alias("text")).join(unnamed, "key").select(*columns)
+    own = own.unionByName(once(base.where("doc_id is null")))
+    if not one_each:
+        own = own.unionByName(once(base.join(shared, F.col("doc_id") == F.col("id"), "left_semi")))
+    links = links_in_clusters(own.dropDuplicates(["node"]), threshold)
     labels = components(links)
 
     named = nodes.join(labels, "node", "left").select("key", "node", "own", "n_copies", F.coalesce("label", "node").alias("class_id"))
