@@ -12,11 +12,11 @@ SEPARATORS = r"[_\-.\s/\\:]+"
 PIECES = r"[A-Z]{2,}(?=[A-Z][a-z])|[A-Z]{2,}$|[A-Z][a-z]+|[a-z]+|[0-9]+"
 
 
-# One pattern for a whole text: a part without any piece as it is, else its pieces, each of two characters or more.
+# One pattern for a whole text: pieces of two characters or more, or a part without any piece as it is.
 _INSIDE = SEPARATORS.removesuffix("+").replace("[", "[^", 1)
 _END = f"(?!{_INSIDE})"
 _ANY_PIECE = PIECES.replace("$", _END)
-TOKENS = f"(?<!{_INSIDE})(?!{_INSIDE}*?(?:{_ANY_PIECE})){_INSIDE}{{2,}}|" + _ANY_PIECE.replace("[a-z]+|[0-9]+", "[a-z]{2,}|[0-9]{2,}")
+TOKENS = _ANY_PIECE.replace("[a-z]+|[0-9]+", "[a-z]{2,}|[0-9]{2,}") + f"|(?<!{_INSIDE})(?!{_INSIDE}*?(?:{_ANY_PIECE})){_INSIDE}{{2,}}"
 
 
 def raw_tokens(text: Column) -> Column:
