@@ -224,21 +224,23 @@ def learn(docs: list[np.ndarray], y: np.ndarray, chosen: np.ndarray, flat: np.nd
             n = length[used]
             ends = np.cumsum(n)
             pick = flat[np.repeat(first[used] - (ends - n), n) + np.arange(ends[-1])]
-            vectors = np.add.reduceat(table[pick], ends - n, axis=0) / n[:, None]
-            mean = GAIN * np.add.reduceat(vectors[at], starts, axis=0) / sizes[:, None]
-            z = mean @ out + bias
+            # Means of embeddings times the softmax weights are means of the products, one number per bucket.
+            product = (table @ out).astype(np.float64)
+            values = np.add.reduceat(product[pick], ends - n) / n
+            z = GAIN * np.add.reduceat(values[at], starts) / sizes + bias
             # The most toxic passages speak for a document.
             head = np.flatnonzero(np.diff(owner, prepend=-1))
             many = np.diff(np.append(head, len(z)))
             soft = np.exp(z - np.repeat(np.maximum.reduceat(z, head), many))
             soft /= np.repeat(np.add.reduceat(soft, head), many)
             g = soft * (1 / (1 + np.exp(-z)) - y[batch][owner]) / len(batch)
-            g_out, g_bias = mean.T @ g, g.sum()
+            g_bias = g.sum()
             g_words = np.repeat(GAIN * g / sizes, sizes)
             sums = np.bincount(at, g_words, len(used)) / n
             # Every embedding moves along the softmax weights, so one number per bucket is its gradient.
             g_bucket = np.bincount(pick, np.repeat(sums, n), len(table)).astype(np.float32)
             g_bucket[-1] = 0
+            g_out = g_bucket @ table
             hit = np.flatnonzero(g_bucket)
             move = g_bucket[hit, None] * out
             table_sq[hit] += (move**2).mean(1, keepdims=True)
