@@ -43,6 +43,20 @@ def missing_embeddings(files: DataFrame, vectors: DataFrame, key: str = "key") -
     return files.join(vectors.select(key), key, "left_anti")
 
 
+def warmed(files: DataFrame, vectors: DataFrame, embed, most: int, key: str = "key", content: str = "content") -> DataFrame:
+    """key, vector of up to `most` files without a vector, those of least key; embed maps a text column to a vector one."""
+    texts = missing_embeddings(files, vectors, key).orderBy(key).limit(most)
+    return texts.select(key, embed(F.col(content)).alias("vector"))
+
+
+def registry(files: DataFrame, symbols: DataFrame, embed) -> DataFrame:
+    """type, key, vector of files (path, content) and of symbols (path, name, kind), embedded in one pass: a file by its
+    content, a symbol by its kind, name and path."""
+    f = files.select(F.lit("file").alias("type"), F.concat(F.lit("file:"), "path").alias("key"), F.col("content").alias("text"))
+    s = symbols.select(F.lit("symbol").alias("type"), F.concat_ws("#", "path", "name").alias("key"), F.concat_ws(" ", "name", "kind", "path").alias("text"))
+    return f.unionByName(s).select("type", "key", embed(F.col("text")).alias("vector"))
+
+
 def write_index(table: DataFrame, name: str, key: str, buckets: int = 64) -> None:
     """A bucketed, sorted table, so that lookups prune and joins on the key need no shuffle."""
     table.write.bucketBy(buckets, key).sortBy(key).mode("overwrite").saveAsTable(name)

@@ -22,6 +22,16 @@ def postings(docs: DataFrame, key: str = "key", fields: tuple[str, ...] = ("cont
     return each.groupBy("key", "field", "term").agg(F.count("*").alias("tf"))
 
 
+def index_stats(terms: DataFrame) -> DataFrame:
+    """documents, terms, postings of a table of postings(): one row."""
+    return terms.agg(F.count_distinct("key").alias("documents"), F.count_distinct("term").alias("terms"), F.count("*").alias("postings"))
+
+
+def without(terms: DataFrame, keys: DataFrame) -> DataFrame:
+    """A table of postings without the documents of keys (key)."""
+    return terms.join(keys.select("key").distinct(), "key", "left_anti")
+
+
 def _part(tf: Column, df: Column, dl: Column, n: Column, avgdl: Column) -> Column:
     """What one term of one field adds to a score."""
     idf = F.log(F.lit(1.0) + (n - df + 0.5) / (df + 0.5))

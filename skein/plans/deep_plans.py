@@ -108,6 +108,26 @@ def txt5(spark, d):
     return lexical.exact(table(spark, d, "part"), "Large Bolt", "p_name").select("p_partkey")
 
 
+@query("txt6_stats", f"with {FILES_SQL}, tok as (select key, unnest({TOKENS.format(t='content')}) as term from files where path not like 'src1%') select count(distinct key) as documents, count(distinct term) as terms, count(*) as postings from (select distinct key, term from tok)")
+def txt6(spark, d):
+    f = files(spark, d)
+    return lexical.index_stats(lexical.without(lexical.postings(f), f.where("path like 'src1%'")))
+
+
+@query("idx9_registry")
+def idx9(spark, d):
+    from skein.functions.vectors import hashing_embedder
+
+    return index.registry(files(spark, d), table(spark, d, "part").select(F.lit("parts").alias("path"), F.col("p_name").alias("name"), F.col("p_type").alias("kind")), hashing_embedder(64))
+
+
+@query("idx7_warm")
+def idx7(spark, d):
+    from skein.functions.vectors import hashing_embedder
+
+    return index.warmed(files(spark, d), vectors(spark, d).where("key % 2 = 0"), hashing_embedder(64), 50)
+
+
 @query("txt11_sgrep")
 def sgrep(spark, d):
     from skein.functions.vectors import hashing_embedder
