@@ -19,12 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import bound_batches
+from skein.llm.common import WORD, bound_batches
 from skein.llm.near_text import UNNAMED, mix
 
-SPAN, LEAST, LONG = 3, 30, 16
+SPAN, LEAST, LONG, EVERY = 3, 30, 18, 5
 U = np.uint64
 STOPS = np.array([ord(c) for c in ".!?;:,"], dtype=np.uint32)
+SALTS = 16
 #: Odd bases of the two hashes of a run, and their inverses modulo 2**64.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 INVERSES = tuple(pow(b, -1, 1 << 64) for b in BASES)
@@ -56,7 +57,7 @@ class Layout:
         self.offset = np.cumsum([0] + [len(t) + 1 for t in texts])
         empty = np.zeros(0, np.int64)
         self.run_text, self.run_start, self.run_end = empty, empty, empty
-        self.h, self.c = np.zeros(0, U), np.zeros(0, np.int32)
+        self.h, self.c = np.zeros(0, U), np.zeros(0, np.int16)
         if not n:
             return
         last, size = cp[self.end - 1], self.end - self.start
@@ -65,7 +66,7 @@ class Layout:
         ends_text = np.append(self.text[1:] != self.text[:-1], True)
         cut = ends_text | np.isin(last, STOPS) | (lines[after - 1] > lines[self.end - 1])
         clause = np.cumsum(cut) - cut
-        stop = cut | ((np.bincount(clause)[clause] > LONG) & ((last + size) % 3 == 0))
+        stop = cut | ((np.bincount(clause)[clause] > LONG) & ((last + size) % EVERY == 0))
         ends = np.flatnonzero(stop) + 1
         starts = np.append(0, ends[:-1])
         reach = np.maximum(np.arange(len(starts)) + SPAN - 1, np.searchsorted(ends, starts + LEAST))
@@ -81,8 +82,8 @@ class Layout:
             sums = np.append(U(0), np.cumsum(mix(word + U(salt)) * _powers(base, n), dtype=U))
             back = _powers(inverse, n)
             hashes.append(mix((sums[self.run_end] - sums[self.run_start]) * back[self.run_start] + (self.run_end - self.run_start).astype(U)))
-        # 96 bits name a run.
-        self.h, self.c = hashes[0], (hashes[1] >> U(32)).astype(np.uint32).view(np.int32)
+        # 80 bits name a run.
+        self.h, self.c = hashes[0], (hashes[1] >> U(48)).astype(np.uint16).view(np.int16)
 
     def again(self) -> np.ndarray:
         """Runs whose hash an earlier run of the same text has."""
@@ -107,8 +108,8 @@ def batches(texts: list[str]):
         yield lo, len(texts)
 
 
-RUNS = T.StructType([T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("h", T.ArrayType(T.LongType())), T.StructField("c", T.ArrayType(T.IntegerType())), T.StructField("again", T.ArrayType(T.BooleanType()))])
-LEFT = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
+RUNS = T.StructType([T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("h", T.ArrayType(T.LongType())), T.StructField("c", T.ArrayType(T.ShortType())), T.StructField("again", T.ArrayType(T.BooleanType()))])
+LEFT = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_removed", T.LongType())])
 
 
 @F.pandas_udf(RUNS)
@@ -123,8 +124,8 @@ def _runs(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in parts.items()})
 
 
-def left_of(texts: list[str], hits: list[dict[int, int]]) -> list[tuple[str, int, int]]:
-    """Each text without the runs in hits (position: hash), its words, and how many of them went."""
+def left_of(texts: list[str], hits: list[dict[int, int]]) -> list[tuple[str, int]]:
+    """Each text without the runs in hits (position: hash), and how many of its words went."""
     x = Layout(texts)
     gone = np.zeros(len(x.start) + 1, dtype=np.int64)
     h = x.h.view(np.int64)
@@ -144,19 +145,19 @@ def left_of(texts: list[str], hits: list[dict[int, int]]) -> list[tuple[str, int
         for a, b in edges.reshape(-1, 2).tolist():
             pieces.append(text[begin : x.start[a] - x.offset[k]])
             begin = x.start[b] - x.offset[k] if b < hi else len(text)
-        out.append(("".join(pieces) + text[begin:], hi - lo, int(lost.sum())))
+        out.append(("".join(pieces) + text[begin:], int(lost.sum())))
     return out
 
 
 @F.pandas_udf(LEFT)
 def _left(texts: pd.Series, hits: pd.Series) -> pd.DataFrame:
-    texts = list(texts)
-    found = [{r["at"]: r["h"] for r in h} for h in hits]
-    rows = []
-    for lo, hi in batches([t or "" for t in texts]):
-        done = left_of([t or "" for t in texts[lo:hi]], found[lo:hi])
-        rows += [(None, 0, 0) if t is None else r for t, r in zip(texts[lo:hi], done, strict=True)]
-    return pd.DataFrame(rows, columns=["text", "n_words", "n_removed"])
+    rows: list[tuple] = [(None, 0)] * len(texts)
+    some = [i for i, t in enumerate(texts) if t is not None]
+    whole, found = [texts.iloc[i] for i in some], [{r["at"]: r["h"] for r in hits.iloc[i]} for i in some]
+    for lo, hi in batches(whole):
+        for i, row in zip(some[lo:hi], left_of(whole[lo:hi], found[lo:hi]), strict=True):
+            rows[i] = row
+    return pd.DataFrame(rows, columns=["text", "n_removed"])
 
 
 def _document(id_col: str, text: Column) -> Column:
@@ -169,18 +170,26 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Identical rows of one id are one occurrence and keep what that keeps; rows of one id with different texts are searched
     as one document, each for its own runs. Null texts stay null and have 0 words. A common run costs one row for each
-    occurrence: counts are combined before the shuffle, and the join lets Spark split a hot hash.
+    occurrence: counts are combined before the shuffle, and its occurrences meet them in SALTS places.
     """
     bound_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     runs = docs.select(_document(id_col, text).alias("document"), _runs(text).alias("r")).select("document", F.inline(F.arrays_zip("r.at", "r.h", "r.c", "r.again")))
-    firsts = runs.groupBy("h", "c").agg(F.min("document").alias("first"), F.max("document").alias("last"), F.bool_or("again").alias("twice")).where("first < last or twice")
-    hits = runs.join(firsts.select("h", "c", "first"), ["h", "c"]).where((F.col("document") > F.col("first")) | F.col("again"))
-    gone = hits.groupBy(F.col("document").alias("_document")).agg(F.collect_set(F.struct("at", "h")).alias("_hits"))
+    runs = runs.withColumn("salt", F.pmod(F.xxhash64("document"), F.lit(SALTS)).cast("int"))
+    firsts = runs.groupBy("h", "c").agg(F.min("document").alias("first"), F.count("*").alias("n"), F.expr("bit_or(shiftleft(1, salt))").alias("bits")).where("n > 1")
+    # A repeated hash goes to the places where its documents are: a rare one to few, a hot one to all.
+    places = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.expr("bits").bitwiseAND(F.call_function("shiftleft", F.lit(1), i)) != 0)
+    hits = runs.join(firsts.select("h", "c", "first", F.explode(places).alias("salt")), ["h", "c", "salt"]).where((F.col("document") > F.col("first")) | F.col("again"))
+    # Rows are moved before they are gathered: plain numbers take less room than half-made sets.
+    gone = hits.select(F.col("document").alias("_document"), "at", "h").repartition("_document").groupBy("_document").agg(F.collect_set(F.struct("at", "h")).alias("_hits"))
     joined = docs.drop("n_words", "n_removed").withColumn("_document", _document(id_col, text)).join(gone, "_document", "left")
     none = F.array().cast("array<struct<at:int,h:bigint>>")
-    out = joined.withColumn("_left", _left(F.col(text_col), F.coalesce("_hits", none)))
-    return out.withColumns({text_col: F.col("_left.text"), "n_words": F.col("_left.n_words"), "n_removed": F.col("_left.n_removed")}).drop("_document", "_hits", "_left")
+    # Only texts with a hit go to a Python worker and come back.
+    hit = F.col("_hits").isNotNull()
+    out = joined.withColumn("_left", _left(F.when(hit, F.col(text_col)), F.coalesce("_hits", none)))
+    words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    cleaned = out.withColumns({"n_words": words, "n_removed": F.coalesce("_left.n_removed", F.lit(0).cast("long"))})
+    return cleaned.withColumn(text_col, F.when(hit, F.col("_left.text")).otherwise(F.col(text_col))).drop("_document", "_hits", "_left")
 
 
 #: remove_repeated() over documents in DuckDB.
@@ -191,7 +200,7 @@ v as (select *, regexp_replace(p, '[\\x20\\x09-\\x0D]+$', '') as s from w),
 x as (select *, (i = n - 1 or regexp_matches(s, '[.!?;:,]$') or contains(p, chr(10))) as cut from v),
 y as (select *, coalesce(sum(cut::int) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as clause from x),
 z as (select *, count(*) over (partition by doc_id, clause) as size from y),
-b as (select *, cut or (size > {LONG} and (unicode(right(s, 1)) + length(s)) % 3 = 0) as stop from z),
+b as (select *, cut or (size > {LONG} and (unicode(right(s, 1)) + length(s)) % {EVERY} = 0) as stop from z),
 e as (select doc_id, list(s order by i) as ws, list(i + 1 order by i) filter (stop) as ends from b group by doc_id),
 u as (select doc_id, ws, ends, unnest(list_prepend(0, ends[:-2])) as s, unnest(range(len(ends))) as k from e),
 r as (select doc_id, s, list_filter(ends[k + {SPAN}:], lambda q: q >= s + {LEAST})[1] as t, ws from u),
