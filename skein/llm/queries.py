@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import exact_topk, mixing, near_text, near_vectors, repeated_spans, secrets
+from skein.llm import exact_topk, mixing, near_text, near_vectors, personal, phrases, repeated_spans, secrets, spelling
 from skein.llm.common import table
 
 
@@ -68,6 +68,18 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op11_pigeonhole_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(spelling.word_counts(table(spark, sf_dir, "documents"), slips_every=199))
+
+
+def op12_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.personal_digest(table(spark, sf_dir, "documents"))
+
+
+def op13_sketched_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_attention": op1_quality_attention,
     "op2_bagminhash_near": op2_bagminhash_near,
@@ -79,7 +91,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity_subwords": op8_toxicity_subwords,
     "op9_epsilon_grid": op9_epsilon_grid,
     "op10_harmonic_packing": op10_harmonic_packing,
+    "op11_pigeonhole_spelling": op11_pigeonhole_spelling,
+    "op12_bootstrapped_pii": op12_bootstrapped_pii,
+    "op13_sketched_phrases": op13_sketched_phrases,
 }
 
 #: DuckDB SQL for those that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op2_bagminhash_near": near_text.ORACLE, "op3_sentence_spans": repeated_spans.ORACLE, "op4_golden_mixing": mixing.ORACLE, "op6_linked_secrets": secrets.oracle(), "op7_norm_buckets": exact_topk.ORACLE, "op9_epsilon_grid": near_vectors.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op2_bagminhash_near": near_text.ORACLE,
+    "op3_sentence_spans": repeated_spans.ORACLE,
+    "op4_golden_mixing": mixing.ORACLE,
+    "op6_linked_secrets": secrets.oracle(),
+    "op7_norm_buckets": exact_topk.ORACLE,
+    "op9_epsilon_grid": near_vectors.ORACLE,
+    "op11_pigeonhole_spelling": spelling.ORACLE,
+    "op12_bootstrapped_pii": personal.oracle(),
+    "op13_sketched_phrases": phrases.ORACLE,
+}
