@@ -62,6 +62,9 @@ class Library:
     def get(self, name: str) -> PatternSet | None:
         return self._sets.get(name)
 
+    def sets(self) -> list[PatternSet]:
+        return list(self._sets.values())
+
     def list_all(self, spark) -> DataFrame:
         """type_id, patterns (how many), extensions: one row per set."""
         rows = [(s.type_id, len(s.patterns), ",".join(s.extensions)) for s in self._sets.values()]

@@ -56,3 +56,23 @@ def values_sql(name: str, columns: str, rows: list[tuple]) -> str:
 
 def values(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, columns)
+
+
+def _names(columns: str) -> list[str]:
+    return [c.split()[0] for c in columns.split(", ")]
+
+
+def per_supplier(spark: SparkSession, sf_dir: str, columns: str, rows: list[tuple], changes: dict[str, str] | None = None) -> DataFrame:
+    """Literal rows as a template, once for every supplier (k); changes are SQL expressions, read by both engines, that put
+    the supplier into columns. What comes of it grows with the table."""
+    changes = changes or {}
+    each = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k")).crossJoin(F.broadcast(values(spark, columns, rows)))
+    names = _names(columns)
+    return each.select(*[F.expr(changes[c]).alias(c) if c in changes else F.col(c) for c in names], *[F.expr(e).alias(c) for c, e in changes.items() if c not in names])
+
+
+def per_supplier_sql(name: str, columns: str, rows: list[tuple], changes: dict[str, str] | None = None) -> str:
+    """per_supplier() as common table expressions; template columns that change are there as base_<column> as well."""
+    changes = changes or {}
+    kept = [f"{changes[c]} as {c}, {c} as base_{c}" if c in changes else c for c in _names(columns)]
+    return f"{values_sql(name + '_template', columns, rows)}, {name} as (select k, {', '.join(kept)} from {name}_template, (select s_suppkey as k from supplier))"

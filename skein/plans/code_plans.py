@@ -10,21 +10,21 @@ from pyspark.sql import functions as F
 from skein.operators import code, patterns
 from skein.operators.patterns import ANCHORS, CONTEXTS, INSIGHTS
 from skein.plans import corpus
-from skein.plans.base import query, quoted, table, values, values_sql
+from skein.plans.base import per_supplier, per_supplier_sql, query, quoted, table
 from skein.sources import manifests, scanner, transcripts
 from skein.streaming import sessions
 
-CODE_SQL = values_sql("code", corpus.CODE_COLUMNS, corpus.CODE)
-SYM_SQL = values_sql("sym", corpus.SYMBOL_COLUMNS, corpus.SYMBOLS)
+CODE_SQL = per_supplier_sql("code", corpus.CODE_COLUMNS, corpus.CODE, corpus.CODE_OF)
+SYM_SQL = per_supplier_sql("sym", corpus.SYMBOL_COLUMNS, corpus.SYMBOLS, corpus.SYMBOL_OF)
 LINES_SQL = "ln as (select path, content, unnest(string_split(content, chr(10))) as text, unnest(range(1, len(string_split(content, chr(10))) + 1)) as line from code)"
 
 
-def code_files(spark):
-    return values(spark, corpus.CODE_COLUMNS, corpus.CODE)
+def code_files(spark, d):
+    return per_supplier(spark, d, corpus.CODE_COLUMNS, corpus.CODE, corpus.CODE_OF)
 
 
-def calls(spark):
-    return code.call_sites(values(spark, corpus.SYMBOL_COLUMNS, corpus.SYMBOLS), code_files(spark))
+def calls(spark, d):
+    return code.call_sites(per_supplier(spark, d, corpus.SYMBOL_COLUMNS, corpus.SYMBOLS, corpus.SYMBOL_OF), code_files(spark, d))
 
 
 CALL_SQL = f"""{CODE_SQL}, {SYM_SQL}, {LINES_SQL}, good as (select name, arg_max(path, path || lpad(line::varchar, 9, '0')) as callee_file, arg_max(line, path || lpad(line::varchar, 9, '0')) as at_line from sym where kind in ('function', 'class', 'method', 'const') and length(name) >= 3 and name not in ('print', 'open', 'len') group by name),
@@ -34,22 +34,22 @@ calls as (select caller, name as callee, callee_file, line from nm join good usi
 
 @query("cg1_callgraph", f"with {CALL_SQL} select * from calls")
 def cg1(spark, d):
-    return calls(spark)
+    return calls(spark, d)
 
 
-@query("cg2_callers", f"with {CALL_SQL} select callee, caller, line from calls where callee = 'save_user'")
+@query("cg2_callers", f"with {CALL_SQL} select callee, caller, line from calls where callee like 'save_user%'")
 def cg2(spark, d):
-    return calls(spark).where("callee = 'save_user'").select("callee", "caller", "line")
+    return calls(spark, d).where("callee like 'save_user%'").select("callee", "caller", "line")
 
 
 @query("agg9_call_summary", f"with {CALL_SQL} select callee, count(*) as calls, array_to_string(list_sort(list(distinct caller)), ',') as callers from calls group by callee")
 def agg9(spark, d):
-    return code.call_summary(calls(spark))
+    return code.call_summary(calls(spark, d))
 
 
 @query("snk5_mermaid", f"""with {CALL_SQL} select '  "' || caller || '" -->|' || count(*) || '| "' || callee_file || '"' as line from calls group by caller, callee_file""")
 def snk5(spark, d):
-    return code.mermaid(calls(spark))
+    return code.mermaid(calls(spark, d))
 
 
 def line_matches_sql(sets, lines: str) -> str:
@@ -61,13 +61,13 @@ def line_matches_sql(sets, lines: str) -> str:
 
 @query("pat7_anchors", f"with {CODE_SQL}, {LINES_SQL} {line_matches_sql(ANCHORS, 'ln')}")
 def pat7(spark, d):
-    return patterns.line_matches(code_files(spark).withColumnRenamed("path", "key"), ANCHORS)
+    return patterns.line_matches(code_files(spark, d).withColumnRenamed("path", "key"), ANCHORS)
 
 
 @query("pat6_code_insights", f"""with {CODE_SQL}, {LINES_SQL}, i(type_id, p) as (values ('insight:todo', '(?i)\\bTODO\\b'), ('insight:fixme', '(?i)\\bFIXME\\b|\\bBUG\\b'), ('insight:decision', '(?i)\\b(?:decided|chose) to\\b'), ('insight:constraint', '(?i)\\bmust not\\b'))
 select path as key, type_id, line, trim(text) as text from ln, i where case type_id when 'insight:todo' then regexp_matches(text, '(?i)\\bTODO\\b') when 'insight:fixme' then regexp_matches(text, '(?i)\\bFIXME\\b|\\bBUG\\b') when 'insight:decision' then regexp_matches(text, '(?i)\\b(?:decided|chose) to\\b|\\bdecision:') else regexp_matches(text, '(?i)\\bmust not\\b|\\bconstraint:') end""")
 def pat6_code(spark, d):
-    return patterns.line_matches(code_files(spark).withColumnRenamed("path", "key"), INSIGHTS).drop("pattern")
+    return patterns.line_matches(code_files(spark, d).withColumnRenamed("path", "key"), INSIGHTS).drop("pattern")
 
 
 def contexts_sql(sets, docs: str, key: str) -> str:
@@ -79,18 +79,18 @@ def contexts_sql(sets, docs: str, key: str) -> str:
 
 @query("pat4_code_contexts", f"with {CODE_SQL} {contexts_sql(CONTEXTS, 'code', 'path')}")
 def pat4(spark, d):
-    return patterns.detect_contexts(code_files(spark), CONTEXTS, 2, key="path", ext="ext")
+    return patterns.detect_contexts(code_files(spark, d), CONTEXTS, 2, key="path", ext="ext")
 
 
 @query("ir2_endpoints", f"""with {CODE_SQL}, {LINES_SQL}, m as (select path, line, regexp_extract(text, '(?is)(?:@(?:app|router|bp)|\\b(?:app|router))\\.(get|post|put|patch|delete)\\(\\s*["'']([^"'']+)["'']', 1) as a, regexp_extract(text, '(?is)(?:@(?:app|router|bp)|\\b(?:app|router))\\.(get|post|put|patch|delete)\\(\\s*["'']([^"'']+)["'']', 2) as r, regexp_extract(text, 'export\\s+(?:async\\s+)?function\\s+(GET|POST|PUT|PATCH|DELETE)\\b', 1) as h from ln)
 select path, line, upper(a) as method, r as route from m where a <> '' union all select path, line, h, regexp_replace(regexp_replace(regexp_extract(path, '(?:^|/)(?:app|pages)(/.*)$', 1), '/route\\.[a-z]+$', ''), '\\[([^\\]]+)\\]', ':\\1', 'g') from m where h <> ''""")
 def ir2(spark, d):
-    return code.endpoints(code_files(spark))
+    return code.endpoints(code_files(spark, d))
 
 
 @query("ir1_entities", f"with {CODE_SQL}, b as (select path, unnest(regexp_extract_all(content, '(?m)^class \\w+\\((?:Base|Model|BaseModel)\\):\\n(?:[ \\t]+[^\\n]*\\n?)+')) as body from code) select regexp_extract(body, 'class (\\w+)', 1) as entity, path, array_to_string(list_transform(regexp_extract_all(body, '(?m)^[ \\t]+(\\w+)\\s*:\\s*(\\w+)', 0), lambda x: regexp_replace(trim(x), '\\s*:\\s*', ':')), ',') as fields from b")
 def ir1(spark, d):
-    return code.entities(code_files(spark))
+    return code.entities(code_files(spark, d))
 
 
 def labels_sql(column: str, groups: dict[str, list[str]]) -> str:
@@ -103,37 +103,37 @@ EFFECT_COLUMNS = "path string, content string"
 EFFECT_FILES = [("mail.ts", "await mailer.send(m)\nqueue.add('job', m)"), ("pay.ts", "stripe.checkout()\nfetch('https://host.example/hook')"), ("store.py", "client = S3Client()\nEMIT('x')"), ("none.py", "x = 1")]
 
 
-@query("ir3_rules", f"with {values_sql('code', EFFECT_COLUMNS, EFFECT_FILES)}, l as (select path, {labels_sql('content', code.EFFECTS)} as effects from code) select * from l where effects <> ''")
+@query("ir3_rules", f"with {per_supplier_sql('code', EFFECT_COLUMNS, EFFECT_FILES, corpus.PATH_OF)}, l as (select path, {labels_sql('content', code.EFFECTS)} as effects from code) select * from l where effects <> ''")
 def ir3(spark, d):
-    return code.labels(values(spark, EFFECT_COLUMNS, EFFECT_FILES), code.EFFECTS, "effects")
+    return code.labels(per_supplier(spark, d, EFFECT_COLUMNS, EFFECT_FILES, corpus.PATH_OF), code.EFFECTS, "effects")
 
 
 @query("ir4_flows", "with recursive " + CALL_SQL + ", st as (select distinct caller as s, callee_file as t from calls where caller <> callee_file), r as (select path as start, path as file, 0 as depth from code union select r.start, st.t, r.depth + 1 from r join st on st.s = r.file where r.depth < 10) select start, file, min(depth) as depth from r group by start, file")
 def ir4(spark, d):
-    return code.flows(calls(spark), code_files(spark).select("path"))
+    return code.flows(calls(spark, d), code_files(spark, d).select("path"))
 
 
-@query("agg10_service_confidence", f"with {values_sql('s', corpus.SIGNAL_COLUMNS, corpus.SIGNALS)}, g as (select service, round(least(1.0, max(weight) + least(0.1 * (count(*) - 1), 0.2)), 6)::double as confidence, count(*) as signals from s group by service) select * from g where confidence >= 0.5")
+@query("agg10_service_confidence", f"with {per_supplier_sql('s', corpus.SIGNAL_COLUMNS, corpus.SIGNALS, corpus.SERVICE_OF)}, g as (select service, round(least(1.0, max(weight) + least(0.1 * (count(*) - 1), 0.2)), 6)::double as confidence, count(*) as signals from s group by service) select * from g where confidence >= 0.5")
 def agg10(spark, d):
-    return code.services(values(spark, corpus.SIGNAL_COLUMNS, corpus.SIGNALS))
+    return code.services(per_supplier(spark, d, corpus.SIGNAL_COLUMNS, corpus.SIGNALS, corpus.SERVICE_OF))
 
 
-STACK_SQL = f"""{values_sql('man', corpus.MANIFEST_COLUMNS, corpus.MANIFEST)}, {values_sql('lok', corpus.LOCK_COLUMNS, corpus.LOCK)}, {values_sql('reg', corpus.REGISTRY_COLUMNS, corpus.REGISTRY)},
+STACK_SQL = f"""{per_supplier_sql('man', corpus.MANIFEST_COLUMNS, corpus.MANIFEST, corpus.NAME_OF)}, {per_supplier_sql('lok', corpus.LOCK_COLUMNS, corpus.LOCK, corpus.NAME_OF)}, {per_supplier_sql('reg', corpus.REGISTRY_COLUMNS, corpus.REGISTRY, corpus.NAME_OF)},
 st as (select name, coalesce(locked, spec) as version, coalesce(kind, 'library') as kind from (select name, arg_min(spec, ord) as spec from man group by name) left join lok using (name) left join reg using (name))"""
 
 
-def stack(spark):
-    return code.components(values(spark, corpus.MANIFEST_COLUMNS, corpus.MANIFEST), values(spark, corpus.LOCK_COLUMNS, corpus.LOCK), values(spark, corpus.REGISTRY_COLUMNS, corpus.REGISTRY))
+def stack(spark, d):
+    return code.components(per_supplier(spark, d, corpus.MANIFEST_COLUMNS, corpus.MANIFEST, corpus.NAME_OF), per_supplier(spark, d, corpus.LOCK_COLUMNS, corpus.LOCK, corpus.NAME_OF), per_supplier(spark, d, corpus.REGISTRY_COLUMNS, corpus.REGISTRY, corpus.NAME_OF))
 
 
 @query("jn7_stack_components", f"with {STACK_SQL} select * from st")
 def jn7(spark, d):
-    return stack(spark)
+    return stack(spark, d)
 
 
 @query("agg15_stack_hash", f"with {STACK_SQL} select substr(sha256(string_agg(name || '@' || version, chr(10) order by name || '@' || version)), 1, 16) as stack_hash from st")
 def agg15(spark, d):
-    return code.stack_hash(stack(spark))
+    return code.stack_hash(stack(spark, d))
 
 
 FILES = [
@@ -149,31 +149,31 @@ FILES = [
 DEPS = [("web/package.json", "react", "^18.0.0", "manifest"), ("web/package.json", "vite", "5", "manifest"), ("svc/pyproject.toml", "fastapi", ">=0.110", "manifest"), ("svc/pyproject.toml", "uvicorn", "*", "manifest"), ("svc/uv.lock", "fastapi", "0.111.0", "lock"), ("old/requirements.txt", "flask", "==3.0", "manifest"), ("old/requirements.txt", "numpy", "*", "manifest"), ("rs/Cargo.toml", "serde", "1.0", "manifest"), ("rs/Cargo.toml", "rand", "0.8", "manifest"), ("go/go.mod", "github.com/a/b", "v1.2.3", "manifest"), ("rb/Gemfile", "rails", "~> 7", "manifest")]
 
 
-@query("src15_manifests", f"with {values_sql('x', 'path string, name string, version string, kind string', DEPS)} select * from x")
+@query("src15_manifests", f"with {per_supplier_sql('x', 'path string, name string, version string, kind string', DEPS, corpus.PATH_OF)} select path, name, version, kind from x")
 def src15(spark, d):
-    return manifests.dependencies(values(spark, "path string, content string", FILES))
+    return manifests.dependencies(per_supplier(spark, d, "path string, content string", FILES, corpus.PATH_OF))
 
 
 @query("src7_scanner")
 def src7(spark, d):
-    return scanner.scan_symbols(code_files(spark))
+    return scanner.scan_symbols(code_files(spark, d))
 
 
-@query("str16_path_contexts", f"with {CODE_SQL} select path, case path when 'src/api/routes.py' then 'context:api,context:backend' when 'src/app/api/users/[id]/route.ts' then 'context:api,context:backend' when 'src/auth.py' then 'context:auth' when 'src/db/models.py' then 'context:data' when 'tests/test_auth.py' then 'context:auth,context:testing' when 'Dockerfile' then 'context:infra' else '' end as contexts from code")
+@query("str16_path_contexts", f"with {CODE_SQL} select path, case base_path when 'src/api/routes.py' then 'context:api,context:backend' when 'src/app/api/users/[id]/route.ts' then 'context:api,context:backend' when 'src/auth.py' then 'context:auth' when 'src/db/models.py' then 'context:data' when 'tests/test_auth.py' then 'context:auth,context:testing' when 'Dockerfile' then 'context:infra' else '' end as contexts from code")
 def str16(spark, d):
     from skein.functions.text import contexts_of_path
 
-    return code_files(spark).select("path", F.array_join(contexts_of_path(F.col("path")), ",").alias("contexts"))
+    return code_files(spark, d).select("path", F.array_join(contexts_of_path(F.col("path")), ",").alias("contexts"))
 
 
 # ---- sessions
 
-EVENT_SQL = values_sql("ev", corpus.EVENT_COLUMNS, corpus.EVENTS)
+EVENT_SQL = per_supplier_sql("ev", corpus.EVENT_COLUMNS, corpus.EVENTS, corpus.EVENT_OF)
 
 
 @query("jn12_tool_correlation", f"with {EVENT_SQL} select c.session, c.tool_use_id as id, c.name, r.ts - c.ts as took from ev c join ev r on c.tool_use_id = r.tool_use_id and c.kind = 'tool_use' and r.kind = 'tool_result'")
 def jn12(spark, d):
-    e = values(spark, corpus.EVENT_COLUMNS, corpus.EVENTS)
+    e = per_supplier(spark, d, corpus.EVENT_COLUMNS, corpus.EVENTS, corpus.EVENT_OF)
     use = e.where("kind = 'tool_use'").select("session", F.col("tool_use_id").alias("id"), "name", "ts")
     result = e.where("kind = 'tool_result'").select(F.col("tool_use_id").alias("id"), F.col("ts").alias("rts"))
     return sessions.correlated(use, result).select("session", "id", "name", (F.col("rts") - F.col("ts")).alias("took"))
@@ -182,7 +182,7 @@ def jn12(spark, d):
 @query("stm6_learning", f"""with {EVENT_SQL}, t as (select *, sum(case when kind = 'user' then 1 else 0 end) over (partition by session order by ord) as turn from ev)
 select distinct s.session, s.ord as search_ord, r.path from t s join t r on s.session = r.session and s.turn = r.turn and s.name = 'search' and coalesce(s.score, 0) < 0.65 and r.name = 'Read' and r.ts >= s.ts and r.ts < s.ts + 60 where exists (select 1 from t u where u.session = s.session and u.kind = 'user' and u.turn = s.turn + 1)""")
 def stm6(spark, d):
-    return sessions.learned(values(spark, corpus.EVENT_COLUMNS, corpus.EVENTS))
+    return sessions.learned(per_supplier(spark, d, corpus.EVENT_COLUMNS, corpus.EVENTS, corpus.EVENT_OF))
 
 
 @query("win9_turns", "select conv_id as session, turn as ord, sum(case when role = 'user' then 1 else 0 end) over (partition by conv_id order by turn) as turn_id from conversations")
@@ -243,6 +243,7 @@ def src11(spark, d):
     return spark.table(name)
 
 
+SESSION, CALL = "concat(session, '-', k)", "concat(call_id, '-', k)"
 TRANSCRIPT = [
     '{"type": "user", "sessionId": "a", "timestamp": 1, "message": {"content": [{"type": "text", "text": "fix it"}]}}',
     '{"type": "assistant", "sessionId": "a", "timestamp": 2, "message": {"content": [{"type": "tool_use", "id": "t1", "name": "Read", "input": "{\\"file_path\\": \\"src/a.py\\"}"}]}}',
@@ -256,11 +257,17 @@ ROLLOUT = [
 ]
 
 
-@query("src12_transcript_accesses", "select * from (values ('a', 2::bigint, 'src/a.py', 'read'), ('a', 3::bigint, 'src/a.py', 'edit')) v(session, ts, path, op)")
+ACCESSES = [("a", 2, "src/a.py", "read"), ("a", 3, "src/a.py", "edit")]
+
+
+@query("src12_transcript_accesses", f"with {per_supplier_sql('v', 'session string, ts bigint, path string, op string', ACCESSES, {'session': SESSION})} select session, ts::bigint as ts, path, op from v")
 def src12(spark, d):
-    return transcripts.file_accesses(transcripts.events(spark.createDataFrame([(x,) for x in TRANSCRIPT], "value string")))
+    return transcripts.file_accesses(transcripts.events(per_supplier(spark, d, "value string", [(x,) for x in TRANSCRIPT], {"value": "replace(value, '\"a\"', concat('\"a-', k, '\"'))"})))
+
+
+SHELL_ACCESSES = [("c1", "src/main.py", "read"), ("c2", "src/b.py", "edit")]
 
 
-@query("src13_rollout_accesses", "select * from (values ('c1', 'src/main.py', 'read'), ('c2', 'src/b.py', 'edit')) v(call_id, path, op)")
+@query("src13_rollout_accesses", f"with {per_supplier_sql('v', 'call_id string, path string, op string', SHELL_ACCESSES, {'call_id': CALL})} select call_id, path, op from v")
 def src13(spark, d):
-    return transcripts.rollout_accesses(spark.createDataFrame([(x,) for x in ROLLOUT], "value string"))
+    return transcripts.rollout_accesses(per_supplier(spark, d, "value string", [(x,) for x in ROLLOUT], {"value": "replace(replace(value, '\"c1\"', concat('\"c1-', k, '\"')), '\"c2\"', concat('\"c2-', k, '\"'))"}))

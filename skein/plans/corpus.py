@@ -1,4 +1,8 @@
-"""A small corpus of code, sessions, rules and manifests, as literals: inputs of the code-shaped queries."""
+"""Templates of code, sessions, rules and manifests, and how a supplier is put into them.
+
+The code-shaped queries work on a corpus that is derived from the table of suppliers: every supplier has a module of its
+own, whose files, names, rules, sessions and manifests bear its key.
+"""
 
 CODE_COLUMNS = "path string, ext string, status string, content string"
 CODE = [
@@ -58,3 +62,29 @@ IDENTIFIERS = [("getUserById",), ("XMLHttpRequest",), ("snake_case_name",), ("ke
 
 REMOTE_COLUMNS = "url string"
 REMOTES = [("git@host.example:Owner/Repo.git",), ("https://host.example/owner/repo",), ("ssh://git@host.example:22/owner/repo.git",), ("https://user@host.example/Owner/Repo.git/",)]
+
+# Changes that put a supplier's key into the templates, as SQL that both engines read.
+
+#: Names of the code that bear the module's key, wherever they stand.
+OWN_NAMES = ["authenticate_user", "make_token", "save_user", "list_users", "create_user", "validate_body", "fetchUser", "healthCheck", "build_index", "main(", "User(", "Order("]
+
+
+def own(column: str) -> str:
+    """A column with the module's key behind its own names."""
+    for name in OWN_NAMES:
+        stem, end = name.rstrip("("), "(" if name.endswith("(") else ""
+        column = f"replace({column}, '{name}', concat('{stem}_', k, '{end}'))"
+    return column
+
+
+PATH = "concat('m', k, '/', path)"
+CODE_OF = {"path": PATH, "content": own("content")}
+SYMBOL_OF = {"path": PATH, "name": f"case when name in ('main', 'User', 'Order') then concat(name, '_', k) else {own('name')} end"}
+CONVENTION_OF = {"id": "concat(id, '@', k)", "name": "concat(name, '-', k)"}
+EVENT_OF = {"session": "concat(session, '-', k)", "tool_use_id": "case when tool_use_id is null then null else concat(tool_use_id, '-', k) end"}
+NAME_OF = {"name": "concat(name, '-', k)"}
+SERVICE_OF = {"service": "concat(service, '-', k)"}
+REGEX_OF = {"pattern": "concat(pattern, k)"}
+IDENTIFIER_OF = {"text": "concat(text, k)"}
+REMOTE_OF = {"url": "replace(replace(url, 'Owner', concat('Owner', k)), 'owner', concat('owner', k))"}
+PATH_OF = {"path": PATH}

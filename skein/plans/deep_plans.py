@@ -8,7 +8,8 @@ from skein.functions import text as t
 from skein.functions.text import NARRATION, NARRATION_BELOW, NARRATION_PREFIXES
 from skein.operators import code, graph, index, lexical, memory, patterns, search, taxonomy
 from skein.operators.patterns import Library, PatternSet
-from skein.plans.base import FILES_SQL, ORACLE_SQL, files, query, quoted, table, values, values_sql
+from skein.plans import corpus
+from skein.plans.base import FILES_SQL, ORACLE_SQL, files, per_supplier, per_supplier_sql, query, quoted, table
 from skein.plans.code_plans import code_files
 from skein.plans.search_plans import COS, E0, TOKENS, first_vector, vectors
 from skein.plans.table_plans import EDGE_SQL, MEM_SQL, edges, memories
@@ -42,12 +43,15 @@ def pat3(spark, d):
     return patterns.scan(page, LINKS, limit=100_000)
 
 
-@query("pat1_library", "select * from (values ('context:legal', 2, ''), ('team:keys', 1, 'py,ts')) v(type_id, patterns, extensions)")
+@query("pat1_library", f"""with {FILES_SQL}, n as (select count(*) as files from files where len(regexp_extract_all(content, '(?i)\\blicen[cs]ed?\\b')) + len(regexp_extract_all(content, 'token = ')) >= 1)
+select 'context:legal' as type_id, 2 as patterns, '' as extensions, files from n union all select 'team:keys', 1, 'py,ts', 0""")
 def pat1(spark, d):
+    """What is registered, with the number of files in which each set shows; the later of two sets of one name counts."""
     library = Library([LEGAL])
     library.load({"id": "team:keys", "patterns": ["x"], "extensions": ["go"]})
     library.load({"id": "team:keys", "patterns": [r"api_key\s*="], "extensions": ["py", "ts"]})
-    return library.list_all(spark)
+    shown = patterns.detect_contexts(files(spark, d), library.sets(), 1, ext="ext").groupBy("type_id").agg(F.count("*").alias("files"))
+    return library.list_all(spark).join(shown, "type_id", "left").withColumn("files", F.coalesce("files", F.lit(0).cast("long")))
 
 
 # ---- text gates of memory extraction
@@ -234,16 +238,17 @@ APP_SQL = f"app as (select 'entity' as kind, entity as name, path, fields as det
 
 @query("ir5_app", f"with {APP_SQL} select * from app")
 def ir5(spark, d):
-    return code.application(code_files(spark))
+    return code.application(code_files(spark, d))
 
 
 @query("snk7_markdown", f"with {APP_SQL} select '- **' || name || '** (' || kind || ', ' || path || '): ' || detail as line from app")
 def snk7(spark, d):
-    return code.markdown(code.application(code_files(spark)))
+    return code.markdown(code.application(code_files(spark, d)))
 
 
 # ---- lock files
 
+ROOT = "concat('m', k, '/', root)"
 LOCK_COLUMNS = "path string, content string"
 LOCK_FILES = [
     ("a/package-lock.json", '{"packages": {"": {}, "node_modules/zod": {"version": "3.1.0"}}}'),
@@ -259,6 +264,6 @@ LOCK_FILES = [
 LOCK_ROWS = [("a", "zod", "3.1.0"), ("b", "left-pad", "1.3.0"), ("b", "@scope/x", "2.0.0"), ("c", "flask", "3.0"), ("c", "pytest", "8.1"), ("d", "example.com/mod", "v1.2.3"), ("e", "rails", "7.1.0"), ("f", "a/b", "1.0"), ("f", "c/d", "v2"), ("g", "chalk", "5.3.0"), ("g", "@std/fs", "0.2.0")]
 
 
-@query("src16_locks", f"with {values_sql('l', LOCK_COLUMNS, LOCK_FILES)}, {values_sql('r', 'root string, name string, version string', LOCK_ROWS)} select r.*, sha256(content)[1:16] as lock_hash from r join l on l.path like r.root || '/%' and l.path not like '%yarn%' and content <> 'broken'")
+@query("src16_locks", f"with {per_supplier_sql('l', LOCK_COLUMNS, LOCK_FILES, corpus.PATH_OF)}, {per_supplier_sql('r', 'root string, name string, version string', LOCK_ROWS, {'root': ROOT})} select r.root, r.name, r.version, sha256(content)[1:16] as lock_hash from r join l on l.path like r.root || '/%' and l.path not like '%yarn%' and content <> 'broken'")
 def src16(spark, d):
-    return manifests.resolved(values(spark, LOCK_COLUMNS, LOCK_FILES)).select("root", "name", "version", "lock_hash")
+    return manifests.resolved(per_supplier(spark, d, LOCK_COLUMNS, LOCK_FILES, corpus.PATH_OF)).select("root", "name", "version", "lock_hash")

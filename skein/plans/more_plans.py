@@ -9,7 +9,7 @@ from skein.functions import text as t
 from skein.operators import code, index, memory, search
 from skein.operators.patterns import line_matches
 from skein.plans import corpus
-from skein.plans.base import FILES_SQL, files, query, table, values, values_sql
+from skein.plans.base import FILES_SQL, files, per_supplier, per_supplier_sql, query, table
 from skein.plans.code_plans import CALL_SQL, CODE_SQL, SYM_SQL, calls, code_files, labels_sql
 from skein.plans.search_plans import AGES, TOKENS, ages, vectors
 from skein.plans.table_plans import CENTRE, CLS, CONV_SQL, LINE_SQL, LINES, SETS, classes
@@ -34,9 +34,9 @@ def idx4(spark, d):
     return index.deleted(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
-@query("lkp6_symbols", f"with {SYM_SQL} select path, name, kind, line from sym where path = 'src/auth.py'")
+@query("lkp6_symbols", f"with {SYM_SQL} select path, name, kind, line from sym where path = 'm3/src/auth.py'")
 def lkp6(spark, d):
-    return values(spark, corpus.SYMBOL_COLUMNS, corpus.SYMBOLS).where("path = 'src/auth.py'")
+    return per_supplier(spark, d, corpus.SYMBOL_COLUMNS, corpus.SYMBOLS, corpus.SYMBOL_OF).where("path = 'm3/src/auth.py'")
 
 
 @query("lkp9_insights_by_type", f"with {FILES_SQL}, {LINE_SQL} select key, line, text from ins where type_id = 'insight:license'")
@@ -71,7 +71,7 @@ def top7(spark, d):
 
 @query("top9_sorted_items", f"with {SYM_SQL} select name, path from sym order by lower(name), path limit 6")
 def top9(spark, d):
-    return values(spark, corpus.SYMBOL_COLUMNS, corpus.SYMBOLS).orderBy(F.lower("name"), "path").limit(6).select("name", "path")
+    return per_supplier(spark, d, corpus.SYMBOL_COLUMNS, corpus.SYMBOLS, corpus.SYMBOL_OF).orderBy(F.lower("name"), "path").limit(6).select("name", "path")
 
 
 @query("jn2_symbol_mtime", f"with {AGES} select o_orderkey, coalesce(s.mtime, p.mtime) as mtime from orders left join ages s on s.key = o_orderkey % 400 left join ages p on p.key = o_custkey")
@@ -82,20 +82,20 @@ def jn2(spark, d):
     return o.join(own, "k1", "left").join(parent, "k2", "left").select("o_orderkey", F.coalesce("m1", "m2").alias("mtime"))
 
 
-@query("jn4_conventions_of_results", f"with {CODE_SQL}, {CONV_SQL}, c as (select distinct unnest(case when ext = 'py' then ['context:backend', 'context:data'] else ['context:frontend'] end) as context from code where path like 'src/db%' or path like '%.ts') select distinct id, priority from conv, c where list_contains(scope, context)")
+@query("jn4_conventions_of_results", f"with {CODE_SQL}, {CONV_SQL}, c as (select distinct unnest(case when ext = 'py' then ['context:backend', 'context:data'] else ['context:frontend'] end) as context from code where path like '%/src/db%' or path like '%.ts') select distinct id, priority from conv, c where list_contains(scope, context)")
 def jn4(spark, d):
-    f = code_files(spark).where("path like 'src/db%' or path like '%.ts'")
+    f = code_files(spark, d).where("path like '%/src/db%' or path like '%.ts'")
     contexts = f.select(F.explode(F.when(F.col("ext") == "py", F.array(F.lit("context:backend"), F.lit("context:data"))).otherwise(F.array(F.lit("context:frontend")))).alias("context"))
-    return memory.for_contexts(values(spark, corpus.CONVENTION_COLUMNS, corpus.CONVENTIONS), contexts).select("id", "priority")
+    return memory.for_contexts(per_supplier(spark, d, corpus.CONVENTION_COLUMNS, corpus.CONVENTIONS, corpus.CONVENTION_OF), contexts).select("id", "priority")
 
 
 PATTERN_COLUMNS = "key string, pattern string, matched array<string>"
 PATTERNS = [("p1", "token", ["src/auth.py", "src/main.py"]), ("p2", "user", ["src/main.py", "src/db/models.py"]), ("p3", "none", [])]
 
 
-@query("jn5_pattern_files", f"with {values_sql('p', PATTERN_COLUMNS, PATTERNS)} select path, string_agg(pattern, ',' order by pattern) as patterns from (select pattern, unnest(matched) as path from p) group by path")
+@query("jn5_pattern_files", f"with {per_supplier_sql('p', PATTERN_COLUMNS, PATTERNS)} select path, string_agg(pattern, ',' order by pattern) as patterns from (select pattern, concat('m', k, '/', unnest(matched)) as path from p) group by path")
 def jn5(spark, d):
-    p = values(spark, PATTERN_COLUMNS, PATTERNS).select("pattern", F.explode("matched").alias("path"))
+    p = per_supplier(spark, d, PATTERN_COLUMNS, PATTERNS, {"k": "k"}).select("pattern", "k", F.explode("matched").alias("path")).withColumn("path", F.expr(corpus.PATH))
     return p.groupBy("path").agg(F.array_join(F.array_sort(F.collect_set("pattern")), ",").alias("patterns"))
 
 
@@ -108,21 +108,29 @@ def jn6(spark, d):
 @query("jn10_entity_symbols", f"with {SYM_SQL}, e(entity) as (values ('User'), ('Order'), ('Token')) select entity, name from e join sym on contains(lower(name), lower(entity))")
 def jn10(spark, d):
     e = spark.createDataFrame([("User",), ("Order",), ("Token",)], "entity string")
-    return values(spark, corpus.SYMBOL_COLUMNS, corpus.SYMBOLS).join(e, F.contains(F.lower("name"), F.lower("entity"))).select("entity", "name")
+    return per_supplier(spark, d, corpus.SYMBOL_COLUMNS, corpus.SYMBOLS, corpus.SYMBOL_OF).join(e, F.contains(F.lower("name"), F.lower("entity"))).select("entity", "name")
 
 
 CONFIGS = [("a/.eslintrc.json", '{"rules": {"no-eval": "error", "camelcase": ["warn", {}], "semi": 0, "import/order": 2}}'), ("b/.oxlintrc.json", '{"rules": {"no-print": "error"}}'), ("c/.eslintrc.json", "broken")]
 
+RULES = [("a/.eslintrc.json", "no-eval", "error", "convention:security"), ("a/.eslintrc.json", "camelcase", "warn", "convention:naming"), ("a/.eslintrc.json", "import/order", "error", "convention:architecture"), ("b/.oxlintrc.json", "no-print", "error", "convention:style")]
+RULE_SQL = per_supplier_sql("v", "path string, rule string, severity string, category string", RULES, corpus.PATH_OF)
 
-@query("src14_linter_rules", "select * from (values ('a/.eslintrc.json', 'no-eval', 'error', 'convention:security'), ('a/.eslintrc.json', 'camelcase', 'warn', 'convention:naming'), ('a/.eslintrc.json', 'import/order', 'error', 'convention:architecture'), ('b/.oxlintrc.json', 'no-print', 'error', 'convention:style')) v(path, rule, severity, category)")
+
+def configs(spark, d):
+    return per_supplier(spark, d, "path string, content string", CONFIGS, corpus.PATH_OF)
+
+
+@query("src14_linter_rules", f"with {RULE_SQL} select path, rule, severity, category from v")
 def src14(spark, d):
-    return index.linter_rules(values(spark, "path string, content string", CONFIGS)).withColumn("category", index.rule_category(F.col("rule")))
+    return index.linter_rules(configs(spark, d)).withColumn("category", index.rule_category(F.col("rule")))
 
 
-@query("jn13_new_rules", "select * from (values ('no-eval'), ('camelcase'), ('import/order')) v(rule)")
+@query("jn13_new_rules", f"with {RULE_SQL}, {CONV_SQL} select concat(rule, '-', k) as rule from v where concat(rule, '-', k) not in (select name from conv)")
 def jn13(spark, d):
-    rules, known = index.linter_rules(values(spark, "path string, content string", CONFIGS)), values(spark, corpus.CONVENTION_COLUMNS, corpus.CONVENTIONS)
-    return rules.select("rule").join(known.select(F.col("name").alias("rule")), "rule", "left_anti")
+    rules = index.linter_rules(configs(spark, d)).select(F.concat("rule", F.lit("-"), F.regexp_extract("path", "^m([0-9]+)/", 1)).alias("rule"))
+    known = per_supplier(spark, d, corpus.CONVENTION_COLUMNS, corpus.CONVENTIONS, corpus.CONVENTION_OF)
+    return rules.join(known.select(F.col("name").alias("rule")), "rule", "left_anti")
 
 
 @query("jn14_derived_from", "select l_orderkey as src, 'derived_from' as rel, l_partkey as dst from lineitem where l_linenumber = 1 group by all")
@@ -171,14 +179,14 @@ def win10(spark, d):
     return index.recent_distinct(e, 8)
 
 
-@query("str4_index_text", f"with {values_sql('i', corpus.IDENTIFIER_COLUMNS, corpus.IDENTIFIERS)} select text, array_to_string({TOKENS.format(t='text')}, ' ') || ' ' || lower(text) as indexed from i")
+@query("str4_index_text", f"with {per_supplier_sql('i', corpus.IDENTIFIER_COLUMNS, corpus.IDENTIFIERS, corpus.IDENTIFIER_OF)} select text, array_to_string({TOKENS.format(t='text')}, ' ') || ' ' || lower(text) as indexed from i")
 def str4(spark, d):
-    return values(spark, corpus.IDENTIFIER_COLUMNS, corpus.IDENTIFIERS).select("text", t.index_text(F.col("text")).alias("indexed"))
+    return per_supplier(spark, d, corpus.IDENTIFIER_COLUMNS, corpus.IDENTIFIERS, corpus.IDENTIFIER_OF).select("text", t.index_text(F.col("text")).alias("indexed"))
 
 
-@query("str14_routes", f"with {CODE_SQL} select path, case when path = 'src/app/api/users/[id]/route.ts' then '/api/users/:id' end as route from code")
+@query("str14_routes", f"with {CODE_SQL} select path, case when base_path = 'src/app/api/users/[id]/route.ts' then '/api/users/:id' end as route from code")
 def str14(spark, d):
-    return code_files(spark).select("path", t.route_of_file(F.col("path")).alias("route"))
+    return code_files(spark, d).select("path", t.route_of_file(F.col("path")).alias("route"))
 
 
 @query("dat3_iso_times", "select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') as iso, epoch_us(ts) // 1000000 as seconds from events")
@@ -195,7 +203,7 @@ def dat4(spark, d):
 @query("arr1_membership", f"with {CONV_SQL} select id, list_has_all(scope, ['context:backend', 'context:api']) as every, list_has_any(scope, ['context:backend', 'context:api']) as some from conv")
 def arr1(spark, d):
     wanted = ["context:backend", "context:api"]
-    return values(spark, corpus.CONVENTION_COLUMNS, corpus.CONVENTIONS).select("id", memory.all_of(F.col("scope"), wanted).alias("every"), memory.any_of_or_empty(F.col("scope"), wanted).alias("some"))
+    return per_supplier(spark, d, corpus.CONVENTION_COLUMNS, corpus.CONVENTIONS, corpus.CONVENTION_OF).select("id", memory.all_of(F.col("scope"), wanted).alias("every"), memory.any_of_or_empty(F.col("scope"), wanted).alias("some"))
 
 
 @query("arr2_first_n", "select source, array_to_string((list(doc_id::varchar order by doc_id))[:5], ', ') || case when count(*) > 5 then ' and ' || (count(*) - 5) || ' more' else '' end as shown from documents group by source")
@@ -224,13 +232,13 @@ def jsn1(spark, d):
 def txt2(spark, d):
     from skein.operators.lexical import postings
 
-    s = values(spark, corpus.SYMBOL_COLUMNS, corpus.SYMBOLS).select(F.concat_ws("#", "path", "name").alias("key"), "name")
+    s = per_supplier(spark, d, corpus.SYMBOL_COLUMNS, corpus.SYMBOLS, corpus.SYMBOL_OF).select(F.concat_ws("#", "path", "name").alias("key"), "name")
     return postings(s, fields=("name",)).select("key", "term", "tf")
 
 
 @query("cg3_graph_import", f"with {CALL_SQL} select caller as src, 'calls' as rel, callee_file as dst, count(*) as n from calls group by 1, 3")
 def cg3(spark, d):
-    return calls(spark).groupBy(F.col("caller").alias("src"), F.lit("calls").alias("rel"), F.col("callee_file").alias("dst")).agg(F.count("*").alias("n"))
+    return calls(spark, d).groupBy(F.col("caller").alias("src"), F.lit("calls").alias("rel"), F.col("callee_file").alias("dst")).agg(F.count("*").alias("n"))
 
 
 @query("ir3_business_rules", f"with l as (select source || '/' || doc_id as path, {labels_sql('text', code.RULES)} as rules from documents) select * from l where rules <> ''")
@@ -245,7 +253,7 @@ def idx1(spark, d):
 
 @query("idx1_register_symbols")
 def idx1_symbols(spark, d):
-    return index.register(code_files(spark))["symbols"]
+    return index.register(code_files(spark, d))["symbols"]
 
 
 @query("idx3_missing_embeddings", "select doc_id as key from documents where doc_id not in (select vec_id from embeddings)")
@@ -260,11 +268,13 @@ def mem1(spark, d):
 
 CHECKS = [("a", "required", "x+"), ("", "required", "x"), ("b", "never", "x"), ("c", "optional", "(x"), ("d", "optional", r"\(x")]
 
+PROBLEMS = [("a", None), ("", "no_name"), ("b", "unknown_priority"), ("c", "bad_pattern"), ("d", None)]
+
 
-@query("cnv1_validation", "select * from (values ('a', null), ('', 'no_name'), ('b', 'unknown_priority'), ('c', 'bad_pattern'), ('d', null)) v(name, problem)")
+@query("cnv1_validation", f"with {per_supplier_sql('v', 'name string, problem string', PROBLEMS)} select k, name, problem from v")
 def cnv1(spark, d):
-    c = values(spark, "name string, priority string, pattern string", CHECKS)
-    return c.select("name", index.valid_convention(F.col("name"), F.col("priority"), F.col("pattern")).alias("problem"))
+    c = per_supplier(spark, d, "name string, priority string, pattern string", CHECKS, {"k": "k"})
+    return c.select("k", "name", index.valid_convention(F.col("name"), F.col("priority"), F.col("pattern")).alias("problem"))
 
 
 @query("stm2_turn_memories", "with t as (select conv_id, turn, role, text, sum(case when role = 'user' then 1 else 0 end) over (partition by conv_id order by turn) as k from conversations) select conv_id as session, k as turn_id, min(turn) as first_ord, sum(length(text))::bigint as characters from t where role = 'assistant' group by 1, 2")

@@ -9,7 +9,7 @@ from skein.functions.text import code_tokens, dedupe_key, file_key, flexible_pat
 from skein.functions.vectors import cosine_guarded, cosine_search, hashing_embedder, key_hash, norm
 from skein.operators import lexical, search
 from skein.plans import corpus
-from skein.plans.base import FILES_SQL, NOW, files, query, table, values, values_sql
+from skein.plans.base import FILES_SQL, NOW, files, per_supplier, per_supplier_sql, query, table
 
 COS = "(list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b)) + 1e-9))"
 E0 = "(select list_transform(embedding, lambda x: x::double) from embeddings where vec_id = 0)"
@@ -67,9 +67,9 @@ def mth1(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(cosine_search(v, q), 6).alias("additive"), F.round(cosine_guarded(v, q), 6).alias("guarded"), F.round(norm(v), 6).alias("norm"))
 
 
-@query("str3_tokens", f"with {values_sql('i', corpus.IDENTIFIER_COLUMNS, corpus.IDENTIFIERS)} select text, array_to_string({TOKENS.format(t='text')}, ' ') as tokens from i")
+@query("str3_tokens", f"with {per_supplier_sql('i', corpus.IDENTIFIER_COLUMNS, corpus.IDENTIFIERS, corpus.IDENTIFIER_OF)} select text, array_to_string({TOKENS.format(t='text')}, ' ') as tokens from i")
 def str3(spark, d):
-    return values(spark, corpus.IDENTIFIER_COLUMNS, corpus.IDENTIFIERS).select("text", F.array_join(code_tokens(F.col("text")), " ").alias("tokens"))
+    return per_supplier(spark, d, corpus.IDENTIFIER_COLUMNS, corpus.IDENTIFIERS, corpus.IDENTIFIER_OF).select("text", F.array_join(code_tokens(F.col("text")), " ").alias("tokens"))
 
 
 @query("txt1_postings", f"with {TERMS} select key, term, tf from terms")
@@ -195,25 +195,25 @@ def txt11(spark, d):
     return search.grep(files(spark, d), ["Licensed", "token = "])
 
 
-CODE_SQL = values_sql("code", corpus.CODE_COLUMNS, corpus.CODE)
+CODE_SQL = per_supplier_sql("code", corpus.CODE_COLUMNS, corpus.CODE, corpus.CODE_OF)
 
 
 @query("set3_grep_tiers", f"""with {CODE_SQL}, t as (select path, case when contains(content, 'make_token') and status = 'unstaged' then 1 when contains(content, 'make_token') and status = 'staged' then 2 when contains(content, 'make_token') then 3 end as tier from code)
 select path, tier from t where tier is not null""")
 def set3(spark, d):
-    return search.grep_tiers(values(spark, corpus.CODE_COLUMNS, corpus.CODE), "make_token")
+    return search.grep_tiers(per_supplier(spark, d, corpus.CODE_COLUMNS, corpus.CODE, corpus.CODE_OF), "make_token")
 
 
 @query("txt10_flexible", f"with {CODE_SQL} select path, 4 as tier from code where regexp_matches(content, '(?i)build[\\s_\\-.]*index')")
 def txt10(spark, d):
-    return search.grep_tiers(values(spark, corpus.CODE_COLUMNS, corpus.CODE), "build index")
+    return search.grep_tiers(per_supplier(spark, d, corpus.CODE_COLUMNS, corpus.CODE, corpus.CODE_OF), "build index")
 
 
 @query("top5_grep_rank", f"""with {CODE_SQL} select path, greatest(case when regexp_matches(lower(content), '(class|def|fn|struct|interface|type)\\s+(maketoken|make_token)\\b') then 1.0 else 0.2 end,
 case when contains(lower(content), 'maketoken') or contains(lower(content), 'make_token') then 0.8 else 0.2 end,
 case when contains(lower(path), 'make') and contains(lower(path), 'token') then 0.5 else 0.2 end)::double as score from code""")
 def top5(spark, d):
-    return values(spark, corpus.CODE_COLUMNS, corpus.CODE).select("path", search.grep_rank("make token", F.col("path"), F.col("content")).alias("score"))
+    return per_supplier(spark, d, corpus.CODE_COLUMNS, corpus.CODE, corpus.CODE_OF).select("path", search.grep_rank("make token", F.col("path"), F.col("content")).alias("score"))
 
 
 @query("prj2_truncate", """with r as (select doc_id as key, (doc_id % 17)::double as score, text as content from documents order by n_chars desc, doc_id limit 30),
@@ -262,9 +262,9 @@ def str11(spark, d):
     return hit.select("doc_id", snippet(F.col("text"), at, at + 8).alias("snippet"), line_of(F.col("text"), at).cast("long").alias("line"))
 
 
-@query("str13_remote", f"with {values_sql('r', corpus.REMOTE_COLUMNS, corpus.REMOTES)} select url, 'host.example/owner/repo' as slug from r")
+@query("str13_remote", f"with {per_supplier_sql('r', corpus.REMOTE_COLUMNS, corpus.REMOTES, corpus.REMOTE_OF)} select url, 'host.example/owner' || k || '/repo' as slug from r")
 def str13(spark, d):
-    return values(spark, corpus.REMOTE_COLUMNS, corpus.REMOTES).select("url", remote_slug(F.col("url")).alias("slug"))
+    return per_supplier(spark, d, corpus.REMOTE_COLUMNS, corpus.REMOTES, corpus.REMOTE_OF).select("url", remote_slug(F.col("url")).alias("slug"))
 
 
 @query("str13_project", """with s as (select c_custkey, 'host.example/' || lower(replace(c_name, '#', '/')) as slug, sha256('host.example/' || lower(replace(c_name, '#', '/'))) as h from customer)
@@ -285,7 +285,7 @@ def str17(spark, d):
 
 @query("str18_regex_risk")
 def str18(spark, d):
-    return values(spark, corpus.REGEX_COLUMNS, corpus.REGEXES).select("pattern", regex_risk(F.col("pattern")).alias("risk"))
+    return per_supplier(spark, d, corpus.REGEX_COLUMNS, corpus.REGEXES, corpus.REGEX_OF).select("pattern", regex_risk(F.col("pattern")).alias("risk"))
 
 
 @query("str1_key_hash")

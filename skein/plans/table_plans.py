@@ -9,7 +9,7 @@ from skein.functions.scores import needs_compaction, waste_ratio
 from skein.operators import graph, lexical, memory, patterns, taxonomy
 from skein.operators.patterns import PatternSet
 from skein.plans import corpus
-from skein.plans.base import FILES_SQL, files, query, table, values, values_sql
+from skein.plans.base import FILES_SQL, files, per_supplier, per_supplier_sql, query, table
 from skein.plans.search_plans import NOW_S
 
 # ---- memories: documents with labels; conventions: literals
@@ -38,20 +38,20 @@ def flt1_all(spark, d):
     return memory.query_memories(memories(spark, d), contexts=["context:src3"], tags=["quality", "toxic"], limit=100).select("id")
 
 
-CONV_SQL = values_sql("conv", corpus.CONVENTION_COLUMNS, corpus.CONVENTIONS)
+CONV_SQL = per_supplier_sql("conv", corpus.CONVENTION_COLUMNS, corpus.CONVENTIONS, corpus.CONVENTION_OF)
 RANK_SQL = "case priority when 'required' then 1 when 'recommended' then 2 when 'optional' then 3 else 4 end"
 
 
 @query("flt2_conventions", f"with {CONV_SQL} select id, name from conv where list_has_any(scope, ['context:backend', 'context:data']) or len(scope) = 0 order by {RANK_SQL}, name limit 3")
 def flt2(spark, d):
-    c = values(spark, corpus.CONVENTION_COLUMNS, corpus.CONVENTIONS)
+    c = per_supplier(spark, d, corpus.CONVENTION_COLUMNS, corpus.CONVENTIONS, corpus.CONVENTION_OF)
     return memory.query_conventions(c, scope=["context:backend", "context:data"], limit=3).select("id", "name")
 
 
 @query("set2_for_context", f"with {CONV_SQL} select distinct id, name from conv where list_has_any(scope, ['context:api', 'context:auth']) or len(scope) = 0")
 def set2(spark, d):
     contexts = spark.createDataFrame([("context:api",), ("context:auth",)], "context string")
-    return memory.for_contexts(values(spark, corpus.CONVENTION_COLUMNS, corpus.CONVENTIONS), contexts).select("id", "name")
+    return memory.for_contexts(per_supplier(spark, d, corpus.CONVENTION_COLUMNS, corpus.CONVENTIONS, corpus.CONVENTION_OF), contexts).select("id", "name")
 
 
 @query("cnv4_check", f"""with {FILES_SQL}, r(rule, pattern) as (values ('no-mail', '[a-z0-9]+@[a-z0-9.]+'), ('license', '(?i)\\blicen[cs]ed?\\b')),
@@ -74,14 +74,14 @@ def mem2(spark, d):
 
 @query("set5_merge", f"with {CONV_SQL} select name, id from conv union all select * from (values ('new-rule', 'conv:x')) v(name, id)")
 def set5(spark, d):
-    c = values(spark, corpus.CONVENTION_COLUMNS, corpus.CONVENTIONS)
-    extra = spark.createDataFrame([("conv:x", "new-rule"), ("conv:y", "no-print"), ("conv:z", "new-rule")], "id string, name string")
+    c = per_supplier(spark, d, corpus.CONVENTION_COLUMNS, corpus.CONVENTIONS, corpus.CONVENTION_OF)
+    extra = spark.createDataFrame([("conv:x", "new-rule"), ("conv:y", "no-print-0"), ("conv:z", "new-rule")], "id string, name string")
     return memory.merged(c.select("id", "name"), extra, "name")
 
 
 @query("snk1_export_roundtrip", f"with {CONV_SQL} select name, description, category, priority, array_to_string(scope, ',') as scope, pattern from conv")
 def snk1(spark, d):
-    again = memory.imported(memory.exported(values(spark, corpus.CONVENTION_COLUMNS, corpus.CONVENTIONS)))
+    again = memory.imported(memory.exported(per_supplier(spark, d, corpus.CONVENTION_COLUMNS, corpus.CONVENTIONS, corpus.CONVENTION_OF)))
     return again.withColumn("scope", F.array_join("scope", ","))
 
 
