@@ -32,7 +32,7 @@ def without(terms: DataFrame, keys: DataFrame) -> DataFrame:
     return terms.join(keys.select("key").distinct(), "key", "left_anti")
 
 
-def _part(tf: Column, df: Column, dl: Column, n: Column, avgdl: Column) -> Column:
+def bm25_part(tf: Column, df: Column, dl: Column, n: Column, avgdl: Column) -> Column:
     """What one term of one field adds to a score."""
     idf = F.log(F.lit(1.0) + (n - df + 0.5) / (df + 0.5))
     return idf * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl)))
@@ -58,7 +58,7 @@ def bm25(docs: DataFrame, query: list[str], boosts: dict[str, float] | None = No
     for i, weight in enumerate(boosts.values()):
         for j in range(len(terms)):
             tf = F.col(f"tf{i}_{j}")
-            score = score + F.when(tf > 0, F.lit(float(weight)) * _part(tf, F.col(f"dtf{i}_{j}"), F.col(f"dl{i}"), F.col(f"n{i}"), F.col(f"avg{i}"))).otherwise(0.0)
+            score = score + F.when(tf > 0, F.lit(float(weight)) * bm25_part(tf, F.col(f"dtf{i}_{j}"), F.col(f"dl{i}"), F.col(f"n{i}"), F.col(f"avg{i}"))).otherwise(0.0)
     some = F.greatest(*[F.col(c) for c in names], F.lit(0)) > 0
     # stats is a single row.
     return counted.crossJoin(F.broadcast(stats)).select("key", F.when(some, score).alias("score")).where("score is not null")
@@ -79,7 +79,7 @@ def bm25_of_postings(terms: DataFrame, query: list[str], boosts: dict[str, float
     df = hits.groupBy("field", "term").agg(F.count("*").alias("df"))
     # One row per field, and one per field and query term: bounded by the query.
     joined = hits.join(lengths, ["key", "field"]).join(F.broadcast(means), "field").join(F.broadcast(df), ["field", "term"])
-    part = _part(F.col("tf"), F.col("df"), F.col("dl"), F.col("n"), F.col("avgdl"))
+    part = bm25_part(F.col("tf"), F.col("df"), F.col("dl"), F.col("n"), F.col("avgdl"))
     return joined.groupBy("key").agg(F.sum(weight * part).alias("score"))
 
 

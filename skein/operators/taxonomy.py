@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.vectors import cosine_guarded
+from skein.operators.stored import written
 
 
 def classify(items: DataFrame, taxonomy: DataFrame, most: int = 3, least: float = 0.1) -> DataFrame:
@@ -85,25 +86,83 @@ def refine(items: DataFrame, taxonomy: DataFrame, rounds: int = 5) -> tuple[Data
     return taxonomy, seen
 
 
-def greedy_distinct(items: DataFrame, group: str, threshold: float = 0.85) -> DataFrame:
-    """Items (group, ord, key, vector) that no earlier kept item of their group resembles; in order, one group at a time.
+#: Items of a block; two blocks are what a task compares at a time.
+BLOCK = 256
 
-    The rule depends on the order, so a group is walked by one Python worker; a group is one file's questions and small.
+
+def _blocks(items: DataFrame, group: str, size: int) -> DataFrame:
+    """group, no, of, rows: the items (ord, key, unit) of every group dealt by their key into `of` blocks of about size."""
+    n = items.groupBy(group).agg(F.ceil(F.count("*") / size).cast("int").alias("of"))
+    dealt = items.join(n, group).withColumn("no", F.pmod(F.xxhash64("key"), F.col("of")).cast("int"))
+    return dealt.groupBy(group, "of", "no").agg(F.collect_list(F.struct("ord", "key", "unit")).alias("rows"))
+
+
+def _resembling(items: DataFrame, others: DataFrame, group: str, threshold: float, size: int) -> DataFrame:
+    """group, key, other: pairs of an item and an earlier one of others, in one group, whose cosine reaches the threshold.
+
+    Blocks of items are dealt to the blocks of others by number, so no task has a group to itself.
     """
     import numpy as np
     import pandas as pd
 
-    def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        frame, kept, rows = frame.sort_values("ord"), [], []
-        for i, v in enumerate(frame["vector"]):
-            v = np.asarray(v, dtype=float)
-            v = v / (np.sqrt((v * v).sum()) + 1e-9)
-            if not kept or float(np.max(np.stack(kept) @ v)) < threshold:
-                kept.append(v)
-                rows.append(i)
-        return frame.iloc[rows][[group, "key"]]
-
-    return items.groupBy(group).applyInPandas(walk, f"{group} {dict(items.dtypes)[group]}, key {dict(items.dtypes)['key']}")
+    mine, theirs = _blocks(items, group, size), _blocks(others, group, size)
+    count = theirs.groupBy(group).agg(F.max("of").alias("many"))
+    dealt = mine.select(group, "rows").join(count, group).withColumn("no", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
+    pairs = dealt.join(theirs.select(group, "no", F.col("rows").alias("others")), [group, "no"]).select(group, "rows", "others")
+
+    def compare(frames):
+        for frame in frames:
+            for g, rows, rest in zip(frame[group], frame["rows"], frame["others"], strict=True):
+                x, y = (np.array([list(r["unit"]) for r in part], dtype=float) for part in (rows, rest))
+                orders = [[(r["ord"], r["key"]) for r in part] for part in (rows, rest)]
+                hit = [(i, j) for i, j in np.argwhere(x @ y.T >= threshold).tolist() if orders[1][j] < orders[0][i]]
+                if hit:
+                    yield pd.DataFrame({group: [g] * len(hit), "key": [rows[i]["key"] for i, _ in hit], "other": [rest[j]["key"] for _, j in hit]})
+
+    kinds = dict(items.dtypes)
+    return pairs.mapInPandas(compare, f"{group} {kinds[group]}, key {kinds['key']}, other {kinds['key']}")
+
+
+def greedy_distinct(items: DataFrame, group: str, threshold: float = 0.85, size: int = BLOCK) -> DataFrame:
+    """group, key of the items (group, ord, key, vector) that no earlier kept item of their group resembles, in order.
+
+    The kept ones are the first maximal independent set of the pairs that resemble each other, in the order of (ord,
+    key). Prefixes of each group that double in length are decided one after the other: what resembles a kept item goes,
+    and only the few that are left are compared among themselves, in rounds in which every item without an undecided
+    earlier neighbour stays. No group is gathered, and pairs within a crowd of like items are never listed, since its
+    first one takes the others away. Equal vectors are one item; null vectors and those without length resemble nothing.
+    """
+    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    unit = F.transform("vector", lambda x: x.cast("double") / (length + 1e-9))
+    all_items = items.where("vector is not null").select(group, "ord", "key", unit.alias("unit"), (length > 0).alias("long"))
+    alone = items.where("vector is null").select(group, "key").unionByName(all_items.where("not long").select(group, "key"))
+    first = written(all_items.where("long").groupBy(group, "unit").agg(F.min(F.struct("ord", "key")).alias("x")).select(group, "x.ord", "x.key", "unit"))
+    most = first.groupBy(group).agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    steps = 0
+    while size << steps < most:
+        steps += 1
+    # Where the prefixes end: exact places do not matter, only that later prefixes hold the earlier ones.
+    shares = [F.lit(float(2**-i)) for i in range(steps, 0, -1)]
+    ends = first.groupBy(group).agg((F.percentile_approx(F.col("ord").cast("double"), F.array(*shares), F.lit(1000)) if shares else F.array().cast("array<double>")).alias("ends"))
+    step = F.size(F.filter("ends", lambda e: e < F.col("ord").cast("double")))
+    staged = written(first.join(ends, group).withColumn("step", step).drop("ends"))
+    kept = staged.where("false").drop("step")
+    for i in range(steps + 1):
+        left = staged.where(F.col("step") == i).drop("step")
+        if i:
+            left = left.join(_resembling(left, kept, group, threshold, size).select(group, "key").distinct(), [group, "key"], "left_anti")
+        left = written(left)
+        links = written(_resembling(left, left, group, threshold, size))
+        while True:
+            stay = written(left.join(links.select(group, "key").distinct(), [group, "key"], "left_anti"))
+            gone = links.join(stay.select(group, F.col("key").alias("other")), [group, "other"], "left_semi").select(group, "key").distinct()
+            kept = written(kept.unionByName(stay))
+            left = written(left.join(stay.select(group, "key").unionByName(gone), [group, "key"], "left_anti"))
+            if left.isEmpty():
+                break
+            open_ = left.select(group, "key")
+            links = written(links.join(open_, [group, "key"], "left_semi").join(open_.withColumnRenamed("key", "other"), [group, "other"], "left_semi").select(group, "key", "other"))
+    return kept.select(group, "key").unionByName(alone)
 
 
 def frequent_patterns(names: DataFrame, least_length: int = 3, least_count: int = 3, most: int = 10) -> DataFrame:
