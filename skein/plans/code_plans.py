@@ -222,12 +222,6 @@ def stm8(spark, d):
     return sessions.thread_files(e).drop("op")
 
 
-@query("stm3_thread_routing")
-def stm3(spark, d):
-    e = table(spark, d, "embeddings").select(F.col("label").alias("session"), F.col("vec_id").alias("ord"), F.col("embedding").alias("vector"))
-    return sessions.routed(e)
-
-
 @query("src11_stream_tail", "select event_type as kind, count(*) as n from events group by 1")
 def src11(spark, d):
     """Events as a file stream, counted by availableNow into a table; the checkpoint keeps the positions."""
