@@ -26,10 +26,40 @@ def vector_top_k(vectors: DataFrame, query: list[float], k: int, key: str = "key
     return scored.orderBy(F.col("score").desc(), "key").limit(k)
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """query, key, score, rank: top k for each query (query, q) over all vectors, as stated queries against all rows."""
-    # Queries are what a user asks, a bounded table; beyond Spark's own size limit for broadcasts it splits them instead.
-    scored = vectors.join(queries).select("query", "key", cosine_search(F.col("vector"), F.col("q")).alias("score"))
+def _dealt(rows: DataFrame, key: str, vector: str, size: int) -> tuple[DataFrame, int]:
+    """no, keys, flat: vectors of one width dealt by their key into blocks of about size, and how many blocks there are."""
+    many = max(1, -(-rows.count() // size))
+    dealt = rows.withColumn("no", F.pmod(F.xxhash64(key), F.lit(many)).cast("int"))
+    gathered = dealt.groupBy("no", F.size(vector).alias("width")).agg(F.collect_list(F.struct(F.col(key).alias("key"), F.transform(vector, lambda x: x.cast("double")).alias("v"))).alias("rows"))
+    return gathered, many
+
+
+def knn(queries: DataFrame, vectors: DataFrame, k: int, block: int = 4096) -> DataFrame:
+    """query, key, score, rank: top k for each query (query, q) over all vectors (key, vector), ties to the smaller key.
+
+    Blocks of queries are dealt to the blocks of vectors by number, and a pair of blocks gives the k best of each of its
+    queries; so rows are shuffled by block, and what meets to be ranked is k rows for each query and block of vectors.
+    Null vectors, and those of another width than the query's, take no part. Scores count to twelve decimals.
+    """
+    import numpy as np
+    import pandas as pd
+
+    kinds = {"query": dict(queries.dtypes)["query"], "key": dict(vectors.dtypes)["key"]}
+    asked, _ = _dealt(queries.where("q is not null"), "query", "q", max(1, block // 8))
+    held, many = _dealt(vectors.where("vector is not null"), "key", "vector", block)
+    pairs = asked.drop("no").withColumnRenamed("rows", "asked").withColumn("no", F.explode(F.sequence(F.lit(0), F.lit(many - 1)))).join(held, ["no", "width"])
+
+    def best(frames):
+        for frame in frames:
+            for asked_rows, rows in zip(frame["asked"], frame["rows"], strict=True):
+                q, v = (np.array([list(r["v"]) for r in part], dtype=float).reshape(len(part), -1) for part in (asked_rows, rows))
+                keys = np.array([r["key"] for r in rows])
+                norms = np.sqrt((q**2).sum(1))[:, None] * np.sqrt((v**2).sum(1))[None, :]
+                scores = np.round(q @ v.T / (norms + 1e-9), 12)
+                picks = [np.lexsort((keys, -row))[:k] for row in scores]
+                yield pd.DataFrame({"query": np.repeat([r["key"] for r in asked_rows], [len(p) for p in picks]), "key": np.concatenate([keys[p] for p in picks]), "score": np.concatenate([row[p] for row, p in zip(scores, picks, strict=True)])})
+
+    scored = pairs.select("asked", "rows").mapInPandas(best, f"query {kinds['query']}, key {kinds['key']}, score double")
     w = Window.partitionBy("query").orderBy(F.col("score").desc(), "key")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -108,3 +108,22 @@ def test_memory_extraction_reasons(spark):
 def test_greedy_dedupe_keeps_the_first(spark):
     items = spark.createDataFrame([("g", 1, 10, [1.0, 0.0]), ("g", 2, 11, [1.0, 0.01]), ("g", 3, 12, [0.0, 1.0])], "grp string, ord int, key long, vector array<double>")
     assert rows(taxonomy.greedy_distinct(items, "grp")) == [("g", 10), ("g", 12)]
+
+
+def test_knn_by_blocks_equals_brute_force_without_a_cross_join(spark):
+    import numpy as np
+
+    from skein.operators import search
+
+    x = np.random.default_rng(5).normal(0, 1, (90, 4))
+    x[40:60] = x[3]
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + [(900, None), (901, [1.0])], "key long, vector array<float>")
+    q = v.where("key % 7 = 0").selectExpr("key as query", "vector as q")
+    out = search.knn(q, v, 5, block=16)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+    f = x.astype(np.float32).astype(float)
+    for i in range(0, 90, 7):
+        s = np.round(f @ f[i] / (np.linalg.norm(f, axis=1) * np.linalg.norm(f[i]) + 1e-9), 12)
+        want = sorted(range(90), key=lambda j: (-s[j], j))[:5]
+        assert [r.key for r in sorted(out.where(f"query = {i}").collect(), key=lambda r: r["rank"])] == want
