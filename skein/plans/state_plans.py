@@ -1,16 +1,20 @@
-"""Queries with stored state: threads and search learning on streams, merges of streams into tables, the stored index."""
+"""Queries with stored state (threads and search learning on streams, merges of streams into tables, the stored index), and
+of the whole library of patterns in one pass."""
 
 from __future__ import annotations
 
+import itertools
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators import lexical, search
+from skein.operators.library import scan_library
+from skein.operators.patterns import PatternSet
 from skein.operators.stored import new_folder
 from skein.operators.term_index import TermIndex
-from skein.plans.base import files, query, table
+from skein.plans.base import FILES_SQL, files, query, quoted, table
 from skein.plans.search_plans import BM25, FUSED, QUERY, RANKED, SEM, TERMS, first_vector, vectors
 from skein.streaming import sessions, state
 from skein.streaming.store import KeyedStore, upsert_stream
@@ -113,3 +117,28 @@ def txt7_stored(spark, d):
 def txt8_stored(spark, d):
     sem, lex = stored_lists(spark, d)
     return lexical.hybrid(sem, lex, 10, fast_from=1e9).select("key", F.round("score", 6).alias("score"), "source")
+
+
+# ---- a library of three hundred patterns in one pass
+
+SYLLABLES = ["th", "er", "on", "in", "re", "an", "st"]
+LINES_OF_FILES = "ln as (select key, unnest(string_split(content, chr(10))) as text, unnest(range(1, len(string_split(content, chr(10))) + 1)) as line from files)"
+#: Sixty sets of five patterns, each of words that begin with three syllables.
+STEMS = ["".join(x) for x in itertools.product(SYLLABLES, repeat=3)][:300]
+LIBRARY = [PatternSet(f"stems:{i}", tuple(rf"(?i)\b{w}\w*" for w in STEMS[5 * i : 5 * i + 5])) for i in range(60)]
+
+
+@query("pat4_library_scan", f"""with p as (select 'stems:' || ((i - 1) // 5) as type_id, w from (select unnest({quoted(STEMS)}) as w, unnest(range(1, {len(STEMS) + 1})) as i))
+select doc_id as key, type_id, sum(len(regexp_extract_all(text, '(?i)\\b' || w || '\\w*')))::bigint as n from documents, p where contains(lower(text), w) group by all having n >= 2""")
+def pat4_library(spark, d):
+    return scan_library(files(spark, d), LIBRARY, ext="ext").select("key", "type_id", "n")
+
+
+@query("pat6_library_lines", f"""with {FILES_SQL}, {LINES_OF_FILES}, i(type_id, p) as (values ('insight:license', '(?i)\\blicen[cs]ed?\\b'), ('insight:token', 'token = '))
+select key, i.type_id, line, substr(trim(text, ' '), 1, 100) as text from ln, i where case i.type_id when 'insight:license' then regexp_matches(text, '(?i)\\blicen[cs]ed?\\b') else contains(text, 'token = ') end
+union all select doc_id, 'context:noise', null, null from documents where len(regexp_extract_all(text, '[*]{{3}}')) >= 2""")
+def pat6_library(spark, d):
+    """Contexts and insights of files from one pass."""
+    counted = [PatternSet("context:noise", (r"[*]{3}",))]
+    lines = [PatternSet("insight:license", (r"(?i)\blicen[cs]ed?\b",)), PatternSet("insight:token", (r"token = ",))]
+    return scan_library(files(spark, d), counted, lines).select("key", "type_id", "line", "text")
