@@ -66,10 +66,50 @@ def merged_categories(taxonomy: DataFrame, pairs: DataFrame) -> DataFrame:
     return taxonomy.join(gone, "category", "left_anti")
 
 
-def refine(items: DataFrame, taxonomy: DataFrame, rounds: int = 5) -> tuple[DataFrame, list[dict]]:
-    """The taxonomy after up to `rounds` rounds of classifying, discovering and merging, and the measures of each round.
+def halves(items: DataFrame, classes: DataFrame, taxonomy: DataFrame, more_than: int = 20, least: int = 3, apart: float = 0.9, rounds: int = 10) -> DataFrame:
+    """category, of, centre of the halves of categories with more than `more_than` items; `of` is what they take the place of.
 
-    A taxonomy is a few rows; it comes to the driver each round, so that the plan does not grow. Ends early where a round
+    All such categories are cut at once by two-means over the cosine: each starts from its item of least key and the item
+    least like that, and a round is one join with the centres, a few rows, and one aggregate of partial sums. A category
+    stays whole if a half has fewer than `least` items or the cosine of the halves is `apart` or above. The half with the
+    least key is "-1", the other "-2"; halves are not cut again. Null vectors belong to no half.
+    """
+    spark = items.sparkSession
+    large = classes.where(~F.contains("category", F.lit("-"))).groupBy("category").agg(F.count("*").alias("n")).where(F.col("n") > more_than).select("category")
+    members = written(classes.select("key", "category").join(large, "category", "left_semi").join(items.select("key", "vector").where("vector is not null"), "key"))
+    first = members.groupBy("category").agg(F.min_by("vector", "key").alias("a"))
+    # Categories are few, and so are their centres.
+    far = members.join(F.broadcast(first), "category").groupBy("category").agg(F.first("a").alias("a"), F.min_by("vector", F.struct(F.round(cosine_guarded(F.col("vector"), F.col("a")), 9), F.col("key"))).alias("b"))
+    rows = [(r["category"], list(map(float, r["a"])), list(map(float, r["b"]))) for r in far.collect()]
+    sizes: dict[tuple[str, bool], tuple] = {}
+    for _ in range(rounds):
+        if not rows:
+            break
+        centres = F.broadcast(spark.createDataFrame(rows, "category string, a array<double>, b array<double>"))
+        dealt = members.join(centres, "category").withColumn("near_b", F.round(cosine_guarded(F.col("vector"), F.col("b")), 9) > F.round(cosine_guarded(F.col("vector"), F.col("a")), 9))
+        dim = max(len(r[1]) for r in rows)
+        means = dealt.groupBy("category", "near_b").agg(F.count("*").alias("n"), F.min("key").alias("first"), F.bit_xor(F.xxhash64("key")).alias("mark"), F.array(*[F.avg(F.get("vector", F.lit(i)).cast("double")) for i in range(dim)]).alias("centre")).collect()
+        now = {(r["category"], r["near_b"]): r for r in means}
+        # Categories of which one side is empty are left as they are.
+        rows = [(c, list(now[c, False]["centre"]), list(now[c, True]["centre"])) for c, _, _ in rows if (c, False) in now and (c, True) in now]
+        marks = {k: (r["n"], r["mark"]) for k, r in now.items()}
+        if marks == {k: v[:2] for k, v in sizes.items()}:
+            break
+        sizes = {k: (r["n"], r["mark"], r["first"]) for k, r in now.items()}
+    out = []
+    for c, a, b in rows:
+        dot = sum(x * y for x, y in zip(a, b, strict=True))
+        length = (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+        if min(sizes[c, False][0], sizes[c, True][0]) >= least and dot < apart * length:
+            ordered = sorted([(sizes[c, False][2], a), (sizes[c, True][2], b)], key=lambda x: x[0])
+            out += [(f"{c}-{i}", c, centre) for i, (_, centre) in enumerate(ordered, 1)]
+    return spark.createDataFrame(out, "category string, of string, centre array<double>")
+
+
+def refine(items: DataFrame, taxonomy: DataFrame, rounds: int = 5, split_above: int | None = None) -> tuple[DataFrame, list[dict]]:
+    """The taxonomy after up to `rounds` rounds of classifying, discovering, splitting and merging, and the measures of each.
+
+    Categories with more than split_above items are split in halves, where that is given. A taxonomy is a few rows; it comes to the driver each round, so that the plan does not grow. Ends early where a round
     changes nothing.
     """
     spark, schema, total, seen = items.sparkSession, "category string, centre array<double>", items.count(), []
@@ -77,6 +117,9 @@ def refine(items: DataFrame, taxonomy: DataFrame, rounds: int = 5) -> tuple[Data
         classes = classify(items, taxonomy)
         seen.append(metrics(classes, total).first().asDict())
         grown = taxonomy.select("category", F.col("centre").cast("array<double>").alias("centre")).unionByName(discovered(items, classes, taxonomy))
+        if split_above is not None:
+            cut = halves(items, classes, taxonomy, split_above)
+            grown = grown.join(cut.select(F.col("of").alias("category")).distinct(), "category", "left_anti").unionByName(cut.select("category", "centre"))
         kept = merged_categories(grown, merge_candidates(classes).select("a", "b"))
         rows = sorted((r["category"], list(r["centre"])) for r in kept.collect())
         same = [r[0] for r in rows] == sorted(r["category"] for r in taxonomy.select("category").collect())

@@ -227,7 +227,7 @@ def cls2(spark, d):
     e = table(spark, d, "embeddings")
     names = table(spark, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name"))
     items = e.select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"), "label").join(names, "key")
-    refined, _ = taxonomy.refine(items, taxonomy.centroids(items.where("label < 3"), "label", "vector", 64), 3)
+    refined, _ = taxonomy.refine(items, taxonomy.centroids(items.where("label < 3"), "label", "vector", 64), 3, split_above=20)
     return refined.select("category", F.size("centre").alias("dims"))
 
 

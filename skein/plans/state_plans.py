@@ -9,13 +9,14 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.operators import lexical, search
+from skein.operators import lexical, packed_graph, search
 from skein.operators.library import scan_library
 from skein.operators.patterns import PatternSet
 from skein.operators.stored import new_folder
 from skein.operators.term_index import TermIndex
 from skein.plans.base import FILES_SQL, files, query, quoted, table
 from skein.plans.search_plans import BM25, FUSED, QUERY, RANKED, SEM, TERMS, first_vector, vectors
+from skein.plans.table_plans import EDGE_SQL, edges
 from skein.streaming import sessions, state
 from skein.streaming.store import KeyedStore, upsert_stream
 
@@ -142,3 +143,21 @@ def pat6_library(spark, d):
     counted = [PatternSet("context:noise", (r"[*]{3}",))]
     lines = [PatternSet("insight:license", (r"(?i)\blicen[cs]ed?\b",)), PatternSet("insight:token", (r"token = ",))]
     return scan_library(files(spark, d), counted, lines).select("key", "type_id", "line", "text")
+
+
+# ---- the packed graph
+
+PACKED_SQL = f"""{EDGE_SQL}, num as (select p_partkey as id, row_number() over (order by p_partkey) - 1 as number from part),
+live as (select distinct a.number as a, rel, b.number as b from edges join num a on a.id = src join num b on b.id = dst where not tombstone),
+links as (select 'out' as side, a as number, rel, b as other from live union all select 'into', b, rel, a from live),
+deg as (select side, number, count(*) as n from links group by all)"""
+
+
+@query("grf9_packed", f"with {PACKED_SQL} select num.id, side, case when n > 16 then other // 16 else 0 end as block, count(*) as n, min(other) as first, max(other) as last from links join deg using (side, number) join num using (number) group by all")
+def grf9_packed(spark, d):
+    """Blocks of links between parts; 16 links make a hub."""
+    ids = table(spark, d, "part").select(F.col("p_partkey").alias("id"))
+    numbers = packed_graph.numbered(ids)
+    blocks = packed_graph.link_blocks(numbers, edges(spark, d), 16).join(numbers, "number")
+    others = F.transform("links", lambda x: x["other"])
+    return blocks.select("id", "side", "block", F.size("links").cast("long").alias("n"), F.array_min(others).alias("first"), F.array_max(others).alias("last"))

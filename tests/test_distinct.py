@@ -1,11 +1,11 @@
-"""Greedy distinct items against a walk in order."""
+"""Greedy distinct items against a walk in order, and the halves of large categories against a plain two-means."""
 
 import random
 
 import numpy as np
 import pytest
 
-from skein.operators.taxonomy import greedy_distinct
+from skein.operators.taxonomy import greedy_distinct, halves, refine
 
 
 def walk(rows, threshold):
@@ -34,3 +34,38 @@ def test_greedy_distinct_equals_a_walk(spark, threshold, size):
     got = [tuple(r) for r in out.collect()]
     assert len(got) == len(set(got)) and set(got) == walk(rows, threshold)
     assert greedy_distinct(spark.createDataFrame([], "grp string, ord long, key long, vector array<double>"), "grp").count() == 0
+
+
+def plain_halves(vectors, rounds=10):
+    """Two-means over the cosine from the first item and the one least like it: sets of keys, that of the least first."""
+    cos = lambda x, y: round(float(x @ y / (np.linalg.norm(x) * np.linalg.norm(y))), 9)
+    keys = sorted(vectors)
+    a = vectors[keys[0]]
+    b = vectors[min(keys, key=lambda k: (cos(vectors[k], a), k))]
+    for _ in range(rounds):
+        side = {k: cos(vectors[k], b) > cos(vectors[k], a) for k in keys}
+        parts = [[k for k in keys if side[k] is s] for s in (False, True)]
+        a, b = (np.mean([vectors[k] for k in p], axis=0) for p in parts)
+    return sorted(parts), a, b
+
+
+def test_large_categories_are_cut_in_halves(spark):
+    rng = np.random.default_rng(3)
+    at = {"wide": [(1, 0.2, 0), (0.2, 1, 0)], "tight": [(0, 0, 1)], "small": [(1, 1, 1)]}
+    vectors, classes = {}, []
+    for c, centres in at.items():
+        for i in range({"wide": 60, "tight": 40, "small": 8}[c]):
+            k = len(vectors)
+            vectors[k] = np.array(centres[i % len(centres)]) + rng.normal(0, 0.05, 3)
+            classes.append((k, c, 1.0))
+    items = spark.createDataFrame([(k, f"name{k}", v.tolist()) for k, v in vectors.items()] + [(999, "none", None)], "key long, name string, vector array<double>")
+    frame = spark.createDataFrame([*classes, (999, "wide", 1.0)], "key long, category string, score double")
+    taxonomy = spark.createDataFrame([(c, [float(x) for x in centres[0]]) for c, centres in at.items()], "category string, centre array<double>")
+    out = {r.category: r for r in halves(items, frame, taxonomy).collect()}
+    assert sorted(out) == ["wide-1", "wide-2"] and {r.of for r in out.values()} == {"wide"}
+    (low, high), *_ = plain_halves({k: vectors[k] for k, c, _ in classes if c == "wide"})
+    for name, part in (("wide-1", low), ("wide-2", high)):
+        assert np.allclose(out[name].centre, np.mean([vectors[k] for k in part], axis=0))
+    refined, _ = refine(items.where("vector is not null"), taxonomy, 3, split_above=20)
+    assert {"wide-1", "wide-2"} <= {r.category for r in refined.collect()}
+    assert halves(items.where("false"), frame, taxonomy).count() == 0
