@@ -118,8 +118,14 @@ def sentence_snippet(text: Column, at: Column, most: int = SNIPPET_MOST) -> Colu
     Sentences are laid end to end without the white space between them; an offset beyond them counts as the first.
     """
     each = F.transform(sentences(text), F.length)
-    ends = F.transform(F.sequence(F.lit(1), F.greatest(F.size(each), F.lit(1))), lambda i: F.aggregate(F.slice(each, 1, i), F.lit(0), lambda s, x: s + x))
-    index = F.array_position(F.transform(ends, lambda e: e > at), F.lit(True))
+    # One running sum: the first sentence whose end lies behind the offset, from 1; 0 for none.
+    start = F.struct(F.lit(0).alias("total"), F.lit(0).alias("i"), F.lit(0).alias("found"))
+
+    def step(s: Column, x: Column) -> Column:
+        here = F.when((s["found"] == 0) & (s["total"] + x > at), s["i"] + 1).otherwise(s["found"])
+        return F.struct((s["total"] + x).alias("total"), (s["i"] + 1).alias("i"), here.alias("found"))
+
+    index = F.aggregate(each, start, step, lambda s: s["found"])
     first = F.greatest(F.when(index == 0, F.lit(1)).otherwise(index).cast("int") - 1, F.lit(1))
     last = F.when(index == 0, F.lit(1)).otherwise(index).cast("int") + 1
     near = F.array_join(F.filter(F.transform(F.slice(sentences(text), first, last - first + 1), F.trim), lambda s: s != ""), " ")

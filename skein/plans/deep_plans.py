@@ -209,7 +209,7 @@ def snk3(spark, d):
 @query("lkp4_content", f"with {FILES_SQL} select key, strlen(content) as length, md5(content) as digest from files where path = (select path from files where key = 3)")
 def lkp4(spark, d):
     f = files(spark, d)
-    found = f.where(F.col("path") == f.where("key = 3").first()["path"])
+    found = f.join(f.where("key = 3").select("path"), "path", "left_semi")
     return found.select("key", F.octet_length("content").cast("long").alias("length"), F.md5("content").alias("digest"))
 
 

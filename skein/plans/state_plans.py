@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from skein.operators import lexical, packed_graph, search
 from skein.operators.library import scan_library
+from skein.operators.pattern_cache import PatternCache
 from skein.operators.patterns import PatternSet
 from skein.operators.stored import new_folder
 from skein.operators.term_index import TermIndex
@@ -161,3 +162,19 @@ def grf9_packed(spark, d):
     blocks = packed_graph.link_blocks(numbers, edges(spark, d), 16).join(numbers, "number")
     others = F.transform("links", lambda x: x["other"])
     return blocks.select("id", "side", "block", F.size("links").cast("long").alias("n"), F.array_min(others).alias("first"), F.array_max(others).alias("last"))
+
+
+# ---- the pattern cache
+
+
+@query("txt12_pattern_cache", """with now as (select source || '/' || doc_id as path, case when doc_id % 10 = 0 then text || ' licensed' else text end as content from documents where doc_id % 10 <> 1),
+n as (select path, len(regexp_extract_all(content, '(?i)\\blicen[cs]ed?\\b')) as l, len(regexp_extract_all(content, 'token = ')) as t from now)
+select type_id, path, n from (select 'context:legal' as type_id, path, l as n from n union all select 'context:token', path, t from n) where n > 0""")
+def txt12(spark, d):
+    """Documents are scanned once; then every tenth changes and is scanned again, and every tenth goes."""
+    cache = PatternCache(spark, new_folder(spark, "cache"), [PatternSet("context:legal", (r"(?i)\blicen[cs]ed?\b",)), PatternSet("context:token", (r"token = ",))])
+    first = files(spark, d).select("path", "content", "key")
+    cache.refresh(first.drop("key"), 1, 1)
+    later = first.where("key % 10 <> 1").withColumn("content", F.when(F.col("key") % 10 == 0, F.concat("content", F.lit(" licensed"))).otherwise(F.col("content")))
+    cache.refresh(later.drop("key"), 2, 2)
+    return cache.matches()
