@@ -249,6 +249,25 @@ def safe_rlike(text: Column, pattern: Column) -> Column:
     return F.when(regex_risk(pattern) < UNSAFE_FROM, F.rlike(text, pattern))
 
 
+def _if_safe(pattern: Column, result: Column) -> Column:
+    return F.when(regex_risk(pattern) < UNSAFE_FROM, result)
+
+
+def safe_match(text: Column, pattern: Column) -> Column:
+    """Whether text begins with a match; null for unsafe patterns."""
+    return _if_safe(pattern, F.rlike(text, F.concat(F.lit(r"\A(?:"), pattern, F.lit(")"))))
+
+
+def safe_findall(text: Column, pattern: Column, group: int = 0) -> Column:
+    """All matches, or what a group of each holds; null for unsafe patterns."""
+    return _if_safe(pattern, F.regexp_extract_all(text, pattern, F.lit(group)))
+
+
+def safe_sub(text: Column, pattern: Column, by: Column) -> Column:
+    """text with every match put as by, in which $1 stands for the first group; null for unsafe patterns."""
+    return _if_safe(pattern, F.regexp_replace(text, pattern, by))
+
+
 def regex_risk(pattern: Column) -> Column:
     """Risk score of a regular expression; unsafe from UNSAFE_FROM on."""
     total = F.lit(0)

@@ -83,6 +83,16 @@ def accessed(memories: DataFrame, log: DataFrame) -> DataFrame:
     return out.withColumns({"access_count": F.col("access_count") + F.coalesce("_n", F.lit(0)), "last_accessed": F.greatest("last_accessed", "_last")}).drop("_n", "_last")
 
 
+def got(memories: DataFrame, ids: DataFrame) -> DataFrame:
+    """The memories of ids (id)."""
+    return memories.join(ids.select("id").distinct(), "id", "left_semi")
+
+
+def forgotten(memories: DataFrame, ids: DataFrame) -> DataFrame:
+    """memories without those of ids (id); unknown ids change nothing."""
+    return memories.join(ids.select("id").distinct(), "id", "left_anti")
+
+
 def coldest(memories: DataFrame, n: int, now: Column) -> DataFrame:
     """id, score of the n rows to evict: least eviction score; age counts from the last access, else from the creation."""
     age = now - F.coalesce("last_accessed", "created_at")

@@ -5,19 +5,22 @@ from __future__ import annotations
 
 import itertools
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.operators import lexical, packed_graph, search
+from skein.functions import text as t
+from skein.operators import graph, lexical, memory, packed_graph, patterns, search
 from skein.operators.library import scan_library
 from skein.operators.pattern_cache import PatternCache
 from skein.operators.patterns import PatternSet
 from skein.operators.stored import new_folder
 from skein.operators.term_index import TermIndex
 from skein.plans.base import FILES_SQL, files, query, quoted, table
+from skein.plans.code_plans import CALL_SQL, WEIGHTS, calls
 from skein.plans.search_plans import BM25, FUSED, QUERY, RANKED, SEM, TERMS, first_vector, vectors
-from skein.plans.table_plans import EDGE_SQL, edges
+from skein.plans.table_plans import EDGE_SQL, MEM_SQL, edges, memories
 from skein.streaming import sessions, state
 from skein.streaming.store import KeyedStore, upsert_stream
 
@@ -178,3 +181,36 @@ def txt12(spark, d):
     later = first.where("key % 10 <> 1").withColumn("content", F.when(F.col("key") % 10 == 0, F.concat("content", F.lit(" licensed"))).otherwise(F.col("content")))
     cache.refresh(later.drop("key"), 2, 2)
     return cache.matches()
+
+
+# ---- smaller ones: safe patterns, presets, upkeep of memories, call graphs as text
+
+
+@query("str19_safe_calls", "select doc_id, len(regexp_extract_all(text, '[0-9a-f]{32,}'))::bigint as n, regexp_matches(text, '^(?:[A-Z][a-z]+)') as starts, md5(regexp_replace(text, '[*]{3}', '', 'g')) as digest, null::varchar as refused from documents")
+def str19_calls(spark, d):
+    c, p = F.col("text"), F.lit
+    return table(spark, d, "documents").select("doc_id", F.size(t.safe_findall(c, p("[0-9a-f]{32,}"))).cast("long").alias("n"), t.safe_match(c, p("[A-Z][a-z]+")).alias("starts"), F.md5(t.safe_sub(c, p("[*]{3}"), p("")).cast("binary")).alias("digest"), t.safe_sub(c, p("(a+)+$"), p("")).alias("refused"))
+
+
+@query("pat11_presets", "select preset, count(*) filter (length(trim(text, ' ')) < least) as short, count(*) as turns from conversations, (values ('conservative', 100), ('moderate', 75), ('aggressive', 50)) p(preset, least) where role = 'assistant' group by preset")
+def pat11(spark, d):
+    """How many of the assistant's turns are too short for a memory, by preset."""
+    c = table(spark, d, "conversations").where("role = 'assistant'").select(F.col("conv_id").alias("session"), F.col("conv_id").alias("key"), F.col("turn").alias("ord"), "text", F.lit(False).alias("explores"))
+    each = [patterns.extract_memories(c, WEIGHTS, least_length=n).select(F.lit(preset).alias("preset"), "skip_reason") for preset, n in patterns.PRESETS.items()]
+    counts = reduce(DataFrame.unionByName, each).groupBy("preset")
+    return counts.agg(F.count_if(F.col("skip_reason") == "text_too_short").alias("short"), F.count("*").alias("turns"))
+
+
+@query("mem3_upkeep", f"with {MEM_SQL} select task, count(*) filter (id % 7 <> 0) as kept, count(*) filter (id % 7 = 0) as got, max(id) filter (id % 7 <> 0) as last from mem group by task having kept + got > 0")
+def mem3_upkeep(spark, d):
+    """Memories by task: those left when the ids of every seventh customer are forgotten, and those that the ids get."""
+    m, ids = memories(spark, d), table(spark, d, "documents").where("doc_id % 7 = 0").select(F.col("doc_id").alias("id"))
+    left = memory.forgotten(m, ids).groupBy("task").agg(F.count("*").alias("kept"), F.max("id").alias("last"))
+    found = memory.got(m, ids).groupBy("task").agg(F.count("*").alias("got"))
+    return left.join(found, "task", "full").select("task", F.coalesce("kept", F.lit(0).cast("long")).alias("kept"), F.coalesce("got", F.lit(0).cast("long")).alias("got"), "last")
+
+
+@query("snk5_dot", f"""with {CALL_SQL} select '  "' || caller || '" -> "' || callee_file || '" [label="' || count(*) || '"];' as line from calls group by caller, callee_file""")
+def snk5_dot(spark, d):
+    n = calls(spark, d).groupBy("caller", "callee_file").agg(F.count("*").alias("label"))
+    return graph.dot(n, "caller", "callee_file")
