@@ -9,7 +9,6 @@ inside a longer one are dropped.
 
 from __future__ import annotations
 
-import math
 import re
 from hashlib import blake2b
 
@@ -32,8 +31,8 @@ U = np.uint64
 BITS = 21
 #: Rows of the sketch, and the largest count of one of its cells, two of which share a byte.
 DEPTH, FULL = 2, 15
-#: Cells of the sketch at least and at most (128 MB), and of a slice of it.
-FEWEST, MOST, SLICE = 1 << 14, 1 << 28, 1 << 20
+#: Cells of the sketch (32 MB), and of a slice of it; tasks whose slices are added up in one place first.
+CELLS, SLICE, TOGETHER = 1 << 26, 1 << 20, 256
 #: Runs that a task holds before it hands them on.
 HELD = 2_000_000
 
@@ -127,11 +126,11 @@ def at_least(sketch: np.ndarray, h: np.ndarray, least: int) -> np.ndarray:
 
 
 def squeeze(data: np.ndarray) -> bytes:
-    return pa.compress(data.tobytes(), codec="lz4_raw", asbytes=True)
+    return pa.compress(data.tobytes(), codec="zstd", asbytes=True)
 
 
 def expand(data: bytes, size: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(data, size, codec="lz4_raw", asbytes=True), np.uint8)
+    return np.frombuffer(pa.decompress(data, size, codec="zstd", asbytes=True), np.uint8)
 
 
 def merged_sketch(texts: DataFrame, cells: int) -> np.ndarray:
@@ -148,7 +147,7 @@ def merged_sketch(texts: DataFrame, cells: int) -> np.ndarray:
             h = run_hashes(lang, np.array(words.hashes, U), keys)
             for row in range(DEPTH):
                 add(sketch, cells_of(h, cells, row), counts)
-        place = TaskContext.get().partitionId() % 64
+        place = TaskContext.get().partitionId() // TOGETHER
         for no in range(cells // size):
             if (own := sketch[no * size : (no + 1) * size]).any():
                 yield pd.DataFrame({"no": [no], "place": [place], "cells": [squeeze(packed(own))]})
@@ -207,22 +206,19 @@ def frequent_runs(texts: DataFrame, least: int, sketch: np.ndarray) -> DataFrame
     return runs.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).where((F.col("words") == 0) | (F.col("n") >= least))
 
 
-def collocations(docs: DataFrame, least: int = 10, first: int = 2000, inside_percent: int = 50, cells: int | None = None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def collocations(docs: DataFrame, least: int = 10, first: int = 2000, inside_percent: int = 50, cells: int = CELLS, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the best `first` phrases of two and three words of every language.
 
     a, l and r are the counts of the phrase and of the parts of its weakest cut, n all words of the language; score is
     floor(1000000 * a * a / (l * r)), exact. Order: score and a falling, then phrase. Phrases below `least` are none; one
     inside a longer phrase that has inside_percent of its occurrences goes. Null languages are "und"; null and empty
-    texts have no words; repeated rows count each; other columns are not read. Without `cells` the sketch has about one
-    cell for eight bytes of text, within FEWEST and MOST; beyond that it lets more of the rare through to the exact
-    counts, which are right for any sketch.
+    texts have no words; repeated rows count each; other columns are not read. The sketch has `cells` cells whatever the
+    input, so what a task hands on of it is bounded; the larger the corpus, the more of the rare it lets through to the
+    exact counts, which are right for any sketch, and the more cells are worth their room.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     texts = docs.select(F.coalesce(lang_col, F.lit("und")).alias("lang"), F.col(text_col).alias("text")).where("text <> ''")
-    if cells is None:
-        size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-        cells = min(MOST, max(FEWEST, 1 << math.ceil(math.log2(size / 8 + 1))))
     counts = materialize(frequent_runs(texts, least, merged_sketch(texts, cells)))
     phrases, parts = counts.where("words > 1"), counts.where("words in (1, 2)").select("lang", "phrase", "n")
 
