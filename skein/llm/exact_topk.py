@@ -5,12 +5,17 @@ bucket whose longest vector has length l, the query's local cosine threshold is
 is skipped as a whole; a high t prunes by coordinates, keeping vectors whose unit coordinates lie in the feasible
 interval of each of the query's largest coordinates; a low t prunes by length, keeping the vectors that are long enough.
 What is left is verified by whole inner products of integers.
+
+Queries meet the buckets in rounds: first a few buckets, then eight times as many, and so on. Each round raises the lower
+bounds to the k-th score so far, so that in the next one only about eight times k vectors per query pass, whatever the
+number of buckets, of tasks or the way Spark joins: what is shuffled grows with the number of queries.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +23,8 @@ from skein.llm.blocks import arrow_rows, chunks, pad, usable, widest
 from skein.llm.common import materialize
 
 BUCKET, QUERIES, HEAD = 1024, 512, 2048
+#: Each round has so many times the buckets of all before; the first one has as many at most.
+GROWTH = 8
 #: From this local cosine threshold on coordinates prune; below it only lengths do.
 COORDINATES_FROM, FOCUS = 0.4, 4
 #: Spark's floor() ends at the limits of long, so components beyond 2**62 are cut there.
@@ -78,9 +85,9 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str
     """query_id, rank, vec_id, score: each query's k highest inner products with other ids, ties to smaller ids.
 
     Unusable vectors and null ids take no part; a query with fewer than k others gets all. Shorter vectors end in zeros.
-    Rows that repeat an id are candidates each, but never of their own id. Blocks of queries meet blocks of vectors on a
-    grid by key, only where the lengths allow a hit, so no task holds more than a batch of blocks; a task returns at most k
-    rows per query for each run of blocks that it sees.
+    Rows that repeat an id are candidates each, but never of their own id. Blocks of queries meet blocks of vectors only
+    where the lengths allow a hit; there are as many places for that as blocks of vectors ask for, and a task holds one
+    pair of blocks at a time.
     """
     spark = vectors.sparkSession
     base = vectors.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col)).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
@@ -98,6 +105,7 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str
 
     def query_blocks(frames):
         ids_h, x_h = head.value
+        base, at = TaskContext.get().partitionId() << 32, 0
         for f in chunks(frames, QUERIES):
             x, ids = pad(list(f["v"]), width, np.int64), f["id"].to_numpy(np.int64)
             s = products(x, x_h)
@@ -106,57 +114,92 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str
                 others = s[i][ids_h != ids[i]]
                 if len(others) >= k:
                     bound[i] = np.partition(others, len(others) - k)[len(others) - k]
-            need = np.where(bound > 0, bound / np.maximum(norms(x), 1e-300), 0.0)
-            yield pd.DataFrame({"need": [float(need.min(initial=np.inf)) * (1 - 1e-9)], "q_ids": [ids.tobytes()], "q_rows": [x.tobytes()], "bounds": [bound.tobytes()]})
+            at += 1
+            yield pd.DataFrame({"block": [base + at], "need": [need_of(x, bound)], "q_ids": [ids.tobytes()], "q_rows": [x.tobytes()], "bounds": [bound.tobytes()]})
 
     ordered = lambda df: df.repartitionByRange(F.col("n2").desc(), F.col("id")).sortWithinPartitions(F.col("n2").desc(), F.col("id")).select("id", "v")
     data = materialize(ordered(base).mapInPandas(data_blocks, "longest double, ids binary, rows binary"))
-    queries = materialize(ordered(base.where("asks")).mapInPandas(query_blocks, "need double, q_ids binary, q_rows binary, bounds binary"))
-
-    # Every block of queries goes to every cell, a block of vectors to one: the stated queries against all rows.
-    cells = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    pairs = queries.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))).join(data.withColumn("cell", F.pmod(F.xxhash64("ids"), F.lit(cells)).cast("int")), "cell").where("longest >= need").drop("cell", "need", "longest")
+    queries = materialize(ordered(base.where("asks")).mapInPandas(query_blocks, QUERY_BLOCK))
+    rounds = 1
+    while GROWTH**rounds < data.count():
+        rounds += 1
+    draw = F.pmod(F.xxhash64("ids", F.lit(1)), F.lit(GROWTH ** (rounds - 1)))
+    hits = None
+    for i in range(rounds):
+        # The blocks whose draw GROWTH ** (rounds - 1 - i) divides and no greater power that an earlier round had.
+        new = draw % (GROWTH ** (rounds - 1 - i)) == 0
+        own = data.where(new if i == 0 else new & (draw % (GROWTH ** (rounds - i)) != 0))
+        with arrow_rows(spark, 16):
+            found = materialize(_met(queries, own).mapInPandas(_scanner(width, k), "block long, query_id long, vec_id long, score long"))
+        if hits is not None:
+            found = found.unionByName(hits)
+        best_of = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+        ranked = found.withColumn("rank", F.row_number().over(best_of).cast("int")).where(F.col("rank") <= k)
+        if i == rounds - 1:
+            return ranked.select("query_id", "rank", "vec_id", "score")
+        hits = materialize(ranked)
+        raised = hits.where(F.col("rank") == k).groupBy("block").agg(F.collect_list(F.struct("query_id", "score")).alias("raised"))
+        hits = hits.drop("rank")
+        with arrow_rows(spark, 16):
+            queries = materialize(queries.join(raised, "block", "left").mapInPandas(_raiser(width), QUERY_BLOCK))
+
+
+QUERY_BLOCK = "block long, need double, q_ids binary, q_rows binary, bounds binary"
+
+
+def need_of(x: np.ndarray, bound: np.ndarray) -> float:
+    """The length that a vector needs to be of use to any of a block's queries."""
+    need = np.where(bound > 0, bound / np.maximum(norms(x), 1e-300), 0.0)
+    return float(need.min(initial=np.inf)) * (1 - 1e-9)
+
+
+def _met(queries: DataFrame, data: DataFrame) -> DataFrame:
+    """Pairs of blocks. Every block of queries goes to every place, a block of vectors to one: the stated queries against
+    all rows. A place has some blocks of vectors."""
+    places = max(8, data.count() // 4)
+    wide = queries.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(places - 1))))
+    return wide.join(data.withColumn("place", F.pmod(F.xxhash64("ids"), F.lit(places)).cast("int")), "place").where("longest >= need").drop("place", "need", "longest")
+
+
+def _scanner(width: int, k: int):
+    """The at most k vectors of a block of vectors that reach each query's bound, for pairs of blocks."""
 
     def scan(frames):
-        """The k best of a block of queries over the blocks that it meets in a row; each block raises their bounds."""
-        at, q_ids, q, q_norm, bounds, kept = None, None, None, None, None, []
-
-        def result():
-            full = [(np.full(len(i), query), i, s) for query, (i, s) in zip(q_ids, kept, strict=True) if len(i)]
-            if full:
-                yield pd.DataFrame({n: np.concatenate(x) for n, x in zip(("query_id", "vec_id", "score"), zip(*full, strict=True), strict=True)})
-
         for frame in frames:
             for r in frame.itertuples():
-                if at != (r.q_ids, r.q_rows):
-                    if at is not None:
-                        yield from result()
-                    at, q_ids = (r.q_ids, r.q_rows), np.frombuffer(r.q_ids, np.int64)
-                    q, bounds = np.frombuffer(r.q_rows, np.int64).reshape(len(q_ids), width), np.frombuffer(r.bounds, np.float64).copy()
-                    q_norm, kept = norms(q), [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(q_ids)
-                ids = np.frombuffer(r.ids, np.int64)
+                q_ids, ids = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.ids, np.int64)
+                q, bounds = np.frombuffer(r.q_rows, np.int64).reshape(len(q_ids), width), np.frombuffer(r.bounds, np.float64)
                 p = np.frombuffer(r.rows, np.int64).reshape(len(ids), width)
-                length = norms(p)
-                unit = p / np.maximum(length, 1e-300)[:, None]
+                q_norm, length = norms(q), norms(p)
+                unit, out = p / np.maximum(length, 1e-300)[:, None], []
                 for i in range(len(q_ids)):
                     rows = survivors(q[i].astype(np.float64), q_norm[i], bounds[i], unit, length)
                     rows = rows[ids[rows] != q_ids[i]]
-                    if not len(rows):
-                        continue
-                    s = products(q[i : i + 1], p[rows])[0]
-                    high = s >= bounds[i]
-                    all_ids, all_s = np.concatenate([kept[i][0], ids[rows[high]]]), np.concatenate([kept[i][1], s[high]])
-                    pick = best(all_s, all_ids, k)
-                    kept[i] = (all_ids[pick], all_s[pick])
-                    if len(pick) == k:
-                        bounds[i] = max(bounds[i], float(all_s[pick[-1]]))
-        if at is not None:
-            yield from result()
-
-    with arrow_rows(spark, 16):
-        hits = materialize(pairs.mapInPandas(scan, "query_id long, vec_id long, score long"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return hits.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                    if len(rows):
+                        s = products(q[i : i + 1], p[rows])[0]
+                        high = np.flatnonzero(s >= bounds[i])
+                        pick = high[best(s[high], ids[rows][high], k)]
+                        out.append((np.full(len(pick), q_ids[i]), ids[rows][pick], s[pick]))
+                if out:
+                    yield pd.DataFrame({"block": r.block} | {n: np.concatenate(x) for n, x in zip(("query_id", "vec_id", "score"), zip(*out, strict=True), strict=True)})
+
+    return scan
+
+
+def _raiser(width: int):
+    """Blocks of queries with bounds raised to the k-th scores that are known."""
+
+    def lift(frames):
+        for frame in frames:
+            for r in frame.itertuples():
+                q_ids, bounds = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.bounds, np.float64)
+                known = {x["query_id"]: float(x["score"]) for x in (r.raised if r.raised is not None else [])}
+                # Whole numbers beyond 2**53 may be rounded up; the bound stays below.
+                bounds = np.array([max(b, np.nextafter(known[q], -np.inf)) if q in known else b for q, b in zip(q_ids.tolist(), bounds.tolist(), strict=True)])
+                x = np.frombuffer(r.q_rows, np.int64).reshape(len(q_ids), width)
+                yield pd.DataFrame({"block": [r.block], "need": [need_of(x, bounds)], "q_ids": [r.q_ids], "q_rows": [r.q_rows], "bounds": [bounds.tobytes()]})
+
+    return lift
 
 
 #: top_products() over embeddings in DuckDB, for vectors of one width.

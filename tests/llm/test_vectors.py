@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 SCHEMA = "vec_id long, embedding array<float>, label int, score string"
@@ -51,6 +52,39 @@ def test_top_products_equal_brute_force(spark):
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in few] == [(0, 1, 1, 64 * 128)]
 
 
+@pytest.mark.parametrize("broadcast", ["-1", "10m"])
+def test_rows_of_hits_grow_with_the_queries_under_any_join(spark, monkeypatch, broadcast):
+    from skein.llm import exact_topk
+
+    for name, value in (("BUCKET", 32), ("QUERIES", 32), ("HEAD", 64)):
+        monkeypatch.setattr(exact_topk, name, value)
+    made, write = [], exact_topk.materialize
+
+    def counted(df, *args):
+        out = write(df, *args)
+        if "score" in out.columns:
+            made[-1] += out.count()
+        return out
+
+    monkeypatch.setattr(exact_topk, "materialize", counted)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        for n in (1000, 5000):
+            x = np.random.default_rng(n).normal(0, 1, (n, 12))
+            x /= np.linalg.norm(x, axis=1)[:, None]
+            made.append(0)
+            rows = exact_topk.top_products(vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)]), F.col("vec_id") % 20 == 0, 5).collect()
+            assert len(rows) == n // 20 * 5
+            q = np.floor(64.0 * x.astype(np.float32)).astype(np.int64)
+            for i in (0, 20):
+                best = sorted(((-int(q[i] @ q[j]), j) for j in range(n) if j != i))[:5]
+                assert [(r.vec_id, r.score) for r in sorted((r for r in rows if r.query_id == i), key=lambda r: r.rank)] == [(j, -s) for s, j in best]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert made[1] < 6 * made[0], made
+
+
 def test_coordinate_pruning_keeps_every_hit():
     from skein.llm.exact_topk import norms, survivors
 
