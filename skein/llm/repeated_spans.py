@@ -2,7 +2,8 @@
 
 A text is cut into units: sentences and clauses, which end after a word with one of . ! ? ; : , behind it or before a line
 feed; a clause of more than LONG words is cut again after words that a rule on their last character and length picks, so
-that a passage has the same units wherever it stands. From every unit on, the run of the next units that number SPAN and
+that a passage has the same units wherever it stands, and what is then still longer, as one word repeated may be, after
+every LONG words from its start. From every unit on, the run of the next units that number SPAN and
 hold LEAST words at least is hashed; hashes are joined over all documents, and the words that any run but the first of
 its hash covers are removed. The first one is that of least id, then of least position. White space between words does
 not count, and that behind a removed word goes with it.
@@ -67,6 +68,8 @@ class Layout:
         cut = ends_text | np.isin(last, STOPS) | (lines[after - 1] > lines[self.end - 1])
         clause = np.cumsum(cut) - cut
         stop = cut | ((np.bincount(clause)[clause] > LONG) & ((last + size) % EVERY == 0))
+        since = np.arange(n) - np.maximum.accumulate(np.where(np.append(True, stop[:-1]), np.arange(n), 0))
+        stop |= since % LONG == LONG - 1
         ends = np.flatnonzero(stop) + 1
         starts = np.append(0, ends[:-1])
         reach = np.maximum(np.arange(len(starts)) + SPAN - 1, np.searchsorted(ends, starts + LEAST))
@@ -200,7 +203,9 @@ v as (select *, regexp_replace(p, '[\\x20\\x09-\\x0D]+$', '') as s from w),
 x as (select *, (i = n - 1 or regexp_matches(s, '[.!?;:,]$') or contains(p, chr(10))) as cut from v),
 y as (select *, coalesce(sum(cut::int) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as clause from x),
 z as (select *, count(*) over (partition by doc_id, clause) as size from y),
-b as (select *, cut or (size > {LONG} and (unicode(right(s, 1)) + length(s)) % {EVERY} = 0) as stop from z),
+o as (select *, cut or (size > {LONG} and (unicode(right(s, 1)) + length(s)) % {EVERY} = 0) as picked from z),
+l as (select *, coalesce(sum(picked::int) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as stretch from o),
+b as (select *, picked or row_number() over (partition by doc_id, stretch order by i) % {LONG} = 0 as stop from l),
 e as (select doc_id, list(s order by i) as ws, list(i + 1 order by i) filter (stop) as ends from b group by doc_id),
 u as (select doc_id, ws, ends, unnest(list_prepend(0, ends[:-2])) as s, unnest(range(len(ends))) as k from e),
 r as (select doc_id, s, list_filter(ends[k + {SPAN}:], lambda q: q >= s + {LEAST})[1] as t, ws from u),
