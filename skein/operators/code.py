@@ -176,3 +176,67 @@ def turn_ids(lines: DataFrame) -> DataFrame:
     """lines (session, ord, role) with turn: how many user lines came up to here in the session."""
     upto = Window.partitionBy("session").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return lines.withColumn("turn_id", F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(upto).cast("long"))
+
+
+#: Lines of an entity's window at most.
+ENTITY_LINES = 50
+# Lines at the left margin that open a definition, and those of them that open an entity, with the group of its name.
+DEFINITION = r"^(?:export\s+|abstract\s+|async\s+)*(?:class|def|function|const|let|model|enum|interface|type|struct|fn|@Entity)\b"
+ENTITY = r"^(?:export\s+)?(?:class\s+(\w+)|const\s+(\w+)\s*=\s*(?:(?:pg|mysql|sqlite)Table|z\.object)\b|model\s+(\w+)\s*\{)"
+# Fields of five families of schemas, with the group of the type; that of the name is 1.
+SCHEMA_FIELDS = {
+    "drizzle": [(r"(\w+):\s*(serial|varchar|text|integer|boolean|timestamp|uuid)\s*\(", 2)],
+    "sqlalchemy": [(r"(\w+)\s*=\s*(?:db\.)?Column\s*\(\s*(?:db\.)?(Integer|String|Text|Boolean|DateTime)\b", 2)],
+    "pydantic": [(r"(\w+):\s*(str|int|bool|float|list|dict)\s*(?:=|\[|$|\n)", 2)],
+    "zod": [(r"(\w+):\s*z\.(string|number|boolean|array|object)\s*\(", 2)],
+    "prisma": [(r"(\w+)[ \t]+(String|Int|Boolean|DateTime|Float)(?:\s|$|\?)", 2)],
+}
+# Names of the types of all families.
+SCHEMA_TYPES = {"varchar": "string", "Integer": "integer", "String": "string", "Text": "text", "Boolean": "boolean", "DateTime": "datetime", "str": "string", "int": "integer", "bool": "boolean", "list": "array", "dict": "object", "Int": "integer", "Float": "float"}
+# Forms of a relation in the order in which they count, with its type.
+RELATIONS = [
+    (r"Column\s*\([^)]*ForeignKey\s*\(\s*[\"'](\w+)\.", "belongs_to"),
+    (r"\w+[ \t]+([A-Z]\w+)\[\]", "has_many"),
+    (r"\w+[ \t]+([A-Z]\w+)[ \t]+@relation", "belongs_to"),
+    (r"@OneToMany\s*\(\s*\(\)\s*=>\s*(\w+)", "has_many"),
+    (r"@ManyToOne\s*\(\s*\(\)\s*=>\s*(\w+)", "belongs_to"),
+    (r"@ManyToMany\s*\(\s*\(\)\s*=>\s*(\w+)", "many_to_many"),
+    (r"relationship\s*\(\s*[\"'](\w+)[\"']", "has_many"),
+]
+
+
+def entity_windows(files: DataFrame) -> DataFrame:
+    """path, line, entity, body: every definition of an entity with its lines up to the next definition at the margin.
+
+    Lines of a file are numbered islands that begin at such definitions; a file is the unit of the window.
+    """
+    lines = files.where(F.col("content").rlike("(?m)" + ENTITY)).select("path", F.posexplode(F.split("content", "\n")).alias("at", "text"))
+    upto = Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    islands = lines.withColumn("island", F.sum(F.when(F.col("text").rlike(DEFINITION), 1).otherwise(0)).over(upto)).where("island > 0")
+    each = islands.groupBy("path", "island").agg(F.min("at").alias("at"), F.array_sort(F.collect_list(F.struct("at", "text"))).alias("rows"))
+    own = F.slice(F.transform("rows", lambda r: r["text"]), 1, ENTITY_LINES)
+    name = F.concat(*[F.regexp_extract(F.element_at("rows", 1)["text"], ENTITY, g) for g in (1, 2, 3)])
+    pascal = F.concat(F.upper(F.substring(name, 1, 1)), F.substring(name, F.lit(2), F.length(name)))
+    return each.select("path", (F.col("at") + 1).alias("line"), pascal.alias("entity"), F.array_join(own, "\n").alias("body")).where("entity <> ''")
+
+
+def entity_fields(windows: DataFrame) -> DataFrame:
+    """entity, path, family, fields (name:type, in the order of the text) of windows that show fields of a family."""
+    types = F.create_map(*[F.lit(x) for pair in SCHEMA_TYPES.items() for x in pair])
+    found = []
+    for family, forms in SCHEMA_FIELDS.items():
+        for pattern, group in forms:
+            pairs = F.zip_with(F.regexp_extract_all("body", F.lit(pattern), F.lit(1)), F.regexp_extract_all("body", F.lit(pattern), F.lit(group)), lambda n, t: F.concat(n, F.lit(":"), F.coalesce(F.element_at(types, t), t)))
+            found.append(F.struct(F.lit(family).alias("family"), F.array_join(pairs, ",").alias("fields")))
+    return windows.select("entity", "path", F.inline(F.array(*found))).where("fields <> ''")
+
+
+def entity_relations(windows: DataFrame) -> DataFrame:
+    """entity, path, type, target of what windows relate to; of several relations to a target the first form's counts."""
+
+    def named(i: int, kind: str):
+        return lambda x: F.struct(F.lit(i).alias("form"), F.lit(kind).alias("type"), F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, F.lit(2), F.length(x))).alias("target"))
+
+    forms = [F.transform(F.regexp_extract_all("body", F.lit(p), F.lit(1)), named(i, kind)) for i, (p, kind) in enumerate(RELATIONS)]
+    each = windows.select("entity", "path", "line", F.inline(F.concat(*forms)))
+    return each.groupBy("path", "line", "entity", "target").agg(F.min(F.struct("form", "type")).alias("x")).select("entity", "path", "x.type", "target")

@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions import text as t
-from skein.operators import graph, lexical, memory, packed_graph, patterns, search
+from skein.operators import code, graph, lexical, memory, packed_graph, patterns, search
 from skein.operators.library import scan_library
 from skein.operators.pattern_cache import PatternCache
 from skein.operators.patterns import PatternSet
 from skein.operators.stored import new_folder
 from skein.operators.term_index import TermIndex
-from skein.plans.base import FILES_SQL, files, query, quoted, table
+from skein.plans import corpus
+from skein.plans.base import FILES_SQL, files, per_supplier, per_supplier_sql, query, quoted, table
 from skein.plans.code_plans import CALL_SQL, WEIGHTS, calls
 from skein.plans.search_plans import BM25, FUSED, QUERY, RANKED, SEM, TERMS, first_vector, vectors
 from skein.plans.table_plans import EDGE_SQL, MEM_SQL, edges, memories
@@ -214,3 +215,37 @@ def mem3_upkeep(spark, d):
 def snk5_dot(spark, d):
     n = calls(spark, d).groupBy("caller", "callee_file").agg(F.count("*").alias("label"))
     return graph.dot(n, "caller", "callee_file")
+
+
+# ---- entities in windows, five families, and their relations
+
+SCHEMAS = [
+    ("models.py", "class User(Base):\n    id = Column(Integer, primary_key=True)\n    name = Column(String(50))\n    team_id = Column(Integer, ForeignKey('teams.id'))\n    posts = relationship('Post')\n\n\nclass Note(BaseModel):\n    title: str\n    count: int = 0\n    tags: list[str]\n\n\ndef helper():\n    x = Column(Text)\n"),
+    ("schema.prisma", "model Post {\n  id Int @id\n  title String\n  author User @relation(fields: [authorId])\n  tags Tag[]\n}\n\nmodel Tag {\n  name String?\n}\n"),
+    ("schema.ts", "export const orders = pgTable('orders', {\n  id: serial('id'),\n  label: varchar('label'),\n})\n\nexport const item = z.object({\n  sku: z.string(),\n  n: z.number(),\n})\n\nexport class Cart {\n  @OneToMany(() => line)\n  lines\n  @ManyToOne(() => User)\n  owner\n}\n"),
+    ("plain.py", "x = 1\nclass_name = 'User'\n"),
+]
+_UPPER = lambda x: f"upper({x}[1]) || {x}[2:]"
+WINDOW_SQL = f"""{per_supplier_sql('code', 'path string, content string', SCHEMAS, corpus.PATH_OF)},
+sl as (select path, unnest(string_split(content, chr(10))) as text, unnest(range(len(string_split(content, chr(10))))) as pos from code where regexp_matches(content, {quoted('(?m)' + code.ENTITY)})),
+si as (select *, sum(case when regexp_matches(text, {quoted(code.DEFINITION)}) then 1 else 0 end) over (partition by path order by pos) as island from sl),
+sw as (select path, min(pos) as pos, arg_min(text, pos) as head, array_to_string((list(text order by pos))[:50], chr(10)) as body from si where island > 0 group by path, island),
+sn as (select path, pos, body, regexp_extract(head, {quoted(code.ENTITY)}, 1) || regexp_extract(head, {quoted(code.ENTITY)}, 2) || regexp_extract(head, {quoted(code.ENTITY)}, 3) as n from sw),
+w as (select path, pos, body, {_UPPER('n')} as entity from sn where n <> '')"""
+_TYPE = "case t " + " ".join(f"when {quoted(a)} then {quoted(b)}" for a, b in code.SCHEMA_TYPES.items()) + " else t end"
+_FIELDS = " union all ".join(f"select entity, path, {quoted(family)} as family, unnest(regexp_extract_all(body, {quoted(p)}, 1)) as f, unnest(regexp_extract_all(body, {quoted(p)}, {g})) as t, unnest(range(len(regexp_extract_all(body, {quoted(p)})))) as i from w" for family, forms in code.SCHEMA_FIELDS.items() for p, g in forms)
+_RELATED = " union all ".join(f"select entity, path, pos, {i} as form, {quoted(kind)} as type, unnest(regexp_extract_all(body, {quoted(p)}, 1)) as t from w" for i, (p, kind) in enumerate(code.RELATIONS))
+
+
+def schema_windows(spark, d):
+    return code.entity_windows(per_supplier(spark, d, "path string, content string", SCHEMAS, corpus.PATH_OF))
+
+
+@query("ir1_entity_fields", f"with {WINDOW_SQL} select entity, path, family, string_agg(f || ':' || {_TYPE}, ',' order by i) as fields from ({_FIELDS}) group by entity, path, family")
+def ir1_fields(spark, d):
+    return code.entity_fields(schema_windows(spark, d))
+
+
+@query("ir1_relations", f"with {WINDOW_SQL}, r as (select entity, path, pos, form, type, {_UPPER('t')} as target from ({_RELATED})) select entity, path, arg_min(type, form) as type, target from r group by entity, path, pos, target")
+def ir1_relations(spark, d):
+    return code.entity_relations(schema_windows(spark, d))
