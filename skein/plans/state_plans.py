@@ -92,7 +92,7 @@ _INDEXES: dict[tuple[str, str], str] = {}
 def stored_index(spark, d: str) -> TermIndex:
     """The keyword index over documents: built at its first use by an application, then read where it lies."""
     name = (spark.sparkContext.applicationId, d)
-    if name not in _INDEXES:
+    if name not in _INDEXES or TermIndex(spark, _INDEXES[name]).state() is None:
         folder = f"{new_folder(spark, 'terms')}/{uuid.uuid4().hex}"
         TermIndex(spark, folder).commit(files(spark, d).select("key", "content"), 1)
         _INDEXES[name] = folder
