@@ -182,43 +182,76 @@ class _Block:
         self.sig = (mix(signatures(doc, h, weight, len(texts)).view(U)) >> U(32)).astype(np.uint32)
         self.sets = elements(texts)
 
-    def links(self, threshold: float) -> pd.DataFrame:
+    def links(self, threshold: float) -> tuple[pd.DataFrame, np.ndarray]:
+        """Links of the block's own pairs, and for every position the root of what they connect."""
         close = np.triu((agreeing(self.sig, self.sig) >= AGREE) & (self.clusters[:, None] == self.clusters[None, :]), 1)
-        found = link_labels(self.nodes, np.argwhere(close), self.sets, threshold)
-        return pd.DataFrame({"a": self.nodes[list(found)], "b": self.nodes[list(found.values())]})
+        found, roots = link_labels(self.nodes, np.argwhere(close), self.sets, threshold), np.arange(len(self.nodes))
+        roots[list(found)] = list(found.values())
+        return pd.DataFrame({"a": self.nodes[list(found)], "b": self.nodes[list(found.values())]}), roots
 
-    def packed(self, cluster: int, seq: int) -> dict:
-        at = np.flatnonzero(self.clusters == cluster)
+    def packed(self, at: np.ndarray) -> dict:
+        """Documents of the block, by position, as bytes."""
         sizes = np.array([len(self.sets[i]) for i in at], dtype=np.int64)
-        return {"cluster": cluster, "seq": seq, "nodes": self.nodes[at].tobytes(), "sig": self.sig[at].tobytes(), "sizes": sizes.tobytes(), "sets": b"".join(self.sets[i].tobytes() for i in at)}
+        return {"nodes": self.nodes[at].tobytes(), "sig": self.sig[at].tobytes(), "sizes": sizes.tobytes(), "sets": b"".join(self.sets[i].tobytes() for i in at)}
 
 
-def _unpacked(nodes: bytes, sig: bytes, sizes: bytes, sets: bytes) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    ends = np.cumsum(np.frombuffer(sizes, np.int64))
-    return np.frombuffer(nodes, np.int64), np.frombuffer(sig, np.uint32).reshape(-1, M), np.split(np.frombuffer(sets, U), ends[:-1])
+class _Part:
+    """Documents: nodes, signatures and element sets."""
 
+    def __init__(self, nodes: np.ndarray, sig: np.ndarray, sets: list[np.ndarray]):
+        self.nodes, self.sig, self.sets = nodes, sig, sets
 
-PACKED = "cluster long, seq long, nodes binary, sig binary, sizes binary, sets binary"
+    @classmethod
+    def read(cls, nodes: bytes, sig: bytes, sizes: bytes, sets: bytes) -> "_Part":
+        """What packed() has written."""
+        ends = np.cumsum(np.frombuffer(sizes, np.int64))
+        return cls(np.frombuffer(nodes, np.int64), np.frombuffer(sig, np.uint32).reshape(-1, M), np.split(np.frombuffer(sets, U), ends[:-1]))
 
+    def links_to(self, other: "_Part", threshold: float) -> tuple[np.ndarray, pd.DataFrame]:
+        """One's own documents that verified pairs connect with some of other's, by position, and a forest of the links."""
+        close = np.argwhere(agreeing(self.sig, other.sig) >= AGREE) + [0, len(self.nodes)]
+        nodes = np.concatenate([self.nodes, other.nodes])
+        found = link_labels(nodes, close, self.sets + other.sets, threshold)
+        at = np.array([*found, *found.values()], dtype=np.int64)
+        return at[at < len(self.nodes)], pd.DataFrame({"a": nodes[list(found)], "b": nodes[list(found.values())]})
 
-def _blocks_of(frames):
-    """Frames of at most BLOCK rows, cut between clusters where that is possible; rows come sorted by cluster."""
-    for frame in chunks(frames, 4 * BLOCK):
+
+#: Documents of a cluster's first part that every other part is compared with first.
+LEADERS = 16
+#: Parts that meet one copy of their cluster's leaders.
+TOGETHER = 64
+PACKED = "nodes binary, sig binary, sizes binary, sets binary"
+HELD = ("nodes", "sig", "sizes", "sets")
+LEAD = tuple(f"lead_{c}" for c in HELD)
+
+
+def _blocks_of(frames, size: int):
+    """Frames of at most size rows, cut between clusters where that is possible; rows come sorted by cluster."""
+    for frame in chunks(frames, 4 * size):
         starts = np.flatnonzero(np.diff(frame["cluster"].to_numpy(), prepend=-1, append=-1) != 0)
         lo = 0
         while lo < len(frame):
-            fitting = starts[(starts > lo) & (starts <= lo + BLOCK)]
-            hi = int(fitting[-1]) if len(fitting) else min(lo + BLOCK, len(frame))
+            fitting = starts[(starts > lo) & (starts <= lo + size)]
+            hi = int(fitting[-1]) if len(fitting) else min(lo + size, len(frame))
             yield frame.iloc[lo:hi]
             lo = hi
 
 
-def links_in_clusters(texts: DataFrame, threshold: float) -> DataFrame:
+def _largest(roots: np.ndarray) -> np.ndarray:
+    """Positions of the most frequent root, the least of several."""
+    values, counts = np.unique(roots, return_counts=True)
+    return np.flatnonzero(roots == values[np.argmax(counts)])
+
+
+def links_in_clusters(texts: DataFrame, threshold: float, size: int, together: int) -> DataFrame:
     """a, b: links of similarity >= threshold that connect what the pairs of a cluster connect; texts (node, cluster,
     size, text). A block returns a forest of its links, one row per document at most.
 
-    Documents sorted by cluster are cut into blocks. A block compares its own pairs; the part of a cluster that reaches
-    beyond it is written, and parts of one cluster meet in pairs of blocks.
+    Documents sorted by cluster are cut into blocks of `size`. A block compares its own pairs; the part of a cluster that reaches
+    beyond it is written. Every part is then compared with some leaders, documents of the cluster's first part that are
+    connected among themselves (up to `together` parts meet one copy of them); what links connect with a leader, in its part, is settled. Two settled documents need no
+    comparison, so only the rest moves: it meets all parts of its cluster. A group of near copies leaves next to no rest,
+    so what it moves grows with its size and not with the square.
     """
     spark = texts.sparkSession
 
@@ -226,36 +259,66 @@ def links_in_clusters(texts: DataFrame, threshold: float) -> DataFrame:
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << 32
-        for at, frame in enumerate(_blocks_of(frames)):
+        for at, frame in enumerate(_blocks_of(frames, size)):
             block = _Block(frame)
-            links = block.links(threshold)
-            yield links.assign(cluster=None, seq=None, nodes=None, sig=None, sizes=None, sets=None)
+            links, roots = block.links(threshold)
+            yield links.assign(**dict.fromkeys(("cluster", "seq", "least", "places", "roots", "lead", *HELD, *LEAD)))
             whole = frame.groupby("cluster")["size"].agg(["first", "count"])
             for cluster in whole.index[whole["first"] > whole["count"]]:
-                yield pd.DataFrame([{"a": None, "b": None} | block.packed(int(cluster), base + at)])
+                own = np.flatnonzero(block.clusters == cluster)
+                kept, places = block.packed(own), 1 + int(whole["first"][cluster]) // (size * together)
+                lead = _largest(roots[own])[:LEADERS]
+                named = {"a": None, "b": None, "cluster": int(cluster), "seq": base + at, "least": int(block.nodes[own].min()), "places": places, "roots": roots[own].tobytes(), "lead": int(lead[0])}
+                yield pd.DataFrame([named | kept | {f"lead_{k}": v for k, v in block.packed(own[lead]).items()}])
 
     ordered = texts.repartitionByRange("cluster", "node").sortWithinPartitions("cluster", "node").select("node", "cluster", "size", "text")
-    out = materialize(ordered.mapInPandas(inside, f"a long, b long, {PACKED}"))
-    parts = out.where("seq is not null").drop("a", "b")
-    # Pairs of blocks by their places first; what they hold is fetched by block, so that no task has a cluster to itself.
-    named = parts.select("cluster", "seq")
-    pairs = named.withColumnRenamed("seq", "seq_x").join(named.withColumnRenamed("seq", "seq_y"), "cluster").where("seq_x < seq_y")
-    held = ("nodes", "sig", "sizes", "sets")
-    for side in "xy":
-        pairs = pairs.join(parts.select("cluster", F.col("seq").alias(f"seq_{side}"), *[F.col(c).alias(f"{c}_{side}") for c in held]), ["cluster", f"seq_{side}"])
+    out = materialize(ordered.mapInPandas(inside, f"a long, b long, cluster long, seq long, least long, places int, roots binary, lead int, {PACKED}, {', '.join(f'{c} binary' for c in LEAD)}"))
+    written = out.where("seq is not null").drop("a", "b").withColumn("place", F.pmod(F.xxhash64("seq"), F.col("places")).cast("int"))
+    # A cluster's leaders come from its part of least node; copies of them lie in as many places as its size asks for.
+    parts = written.drop(*LEAD)
+    firsts = written.groupBy("cluster").agg(F.min_by("seq", "least").alias("seq"))
+    leaders = written.join(firsts, ["cluster", "seq"], "left_semi").select("cluster", F.col("seq").alias("of"), F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"), *LEAD)
+
+    def settle(frames):
+        for frame in frames:
+            for r in frame.itertuples():
+                part, roots = _Part.read(r.nodes, r.sig, r.sizes, r.sets), np.frombuffer(r.roots, np.int64)
+                if r.of == r.seq:
+                    # The leaders' own component is settled in their part.
+                    rest = np.flatnonzero(roots != roots[r.lead])
+                else:
+                    at, links = part.links_to(_Part.read(r.lead_nodes, r.lead_sig, r.lead_sizes, r.lead_sets), threshold)
+                    rest = np.flatnonzero(~np.isin(roots, roots[at]))
+                    yield links.assign(cluster=None, node=None, sig=None, held=None)
+                yield pd.DataFrame({"a": None, "b": None, "cluster": r.cluster, "node": part.nodes[rest], "sig": [part.sig[i].tobytes() for i in rest], "held": [part.sets[i].tobytes() for i in rest]})
+
+    with arrow_rows(spark, 8):
+        settled = materialize(parts.join(leaders, ["cluster", "place"]).mapInPandas(settle, "a long, b long, cluster long, node long, sig binary, held binary"))
+    rest = settled.where("node is not null")
+
+    # The rest is dealt into blocks by number, whatever partitions it lies in, and each block goes to all places of its
+    # cluster, a part to one of them; there are as many places as let one have some `together` pairs of block and part.
+    names = parts.groupBy("cluster").agg(F.count("*").alias("many"))
+    number = rest.groupBy("cluster").agg(F.ceil(F.count("*") / size).cast("int").alias("of")).join(names, "cluster")
+    number = number.select("cluster", "of", F.least("many", 1 + F.floor(F.col("many") * F.col("of") / together)).cast("int").alias("spots"))
+    dealt = rest.join(number, "cluster").withColumn("no", F.pmod(F.xxhash64("node"), F.col("of")))
+    blocks = materialize(dealt.groupBy("cluster", "no", "spots").agg(F.collect_list(F.struct("node", "sig", "held")).alias("docs")))
+    wide = blocks.select("cluster", "docs", F.explode(F.sequence(F.lit(0), F.col("spots") - 1)).alias("spot"))
+    placed = parts.select("cluster", "seq").join(number, "cluster").select("cluster", "seq", F.pmod(F.xxhash64("seq"), F.col("spots")).cast("int").alias("spot"))
+    pairs = parts.select("cluster", "seq", *HELD).join(placed, ["cluster", "seq"]).join(wide, ["cluster", "spot"]).select("docs", *HELD)
 
     def across(frames):
         for frame in frames:
             for r in frame.itertuples():
-                (na, sa, ea), (nb, sb, eb) = _unpacked(r.nodes_x, r.sig_x, r.sizes_x, r.sets_x), _unpacked(r.nodes_y, r.sig_y, r.sizes_y, r.sets_y)
-                close = np.argwhere(agreeing(sa, sb) >= AGREE) + [0, len(na)]
-                nodes = np.concatenate([na, nb])
-                found = link_labels(nodes, close, ea + eb, threshold)
-                yield pd.DataFrame({"a": nodes[list(found)], "b": nodes[list(found.values())]})
+                nodes, sig = np.array([x["node"] for x in r.docs], dtype=np.int64), np.frombuffer(b"".join(x["sig"] for x in r.docs), np.uint32)
+                own = _Part(nodes, sig.reshape(-1, M), [np.frombuffer(x["held"], U) for x in r.docs])
+                links = own.links_to(_Part.read(r.nodes, r.sig, r.sizes, r.sets), threshold)[1]
+                # A document of the rest is in its own part as well.
+                yield links[links["a"] != links["b"]]
 
     with arrow_rows(spark, 8):
-        more = materialize(pairs.repartition("cluster", "seq_x", "seq_y").mapInPandas(across, "a long, b long"))
-    return out.where("a is not null").select("a", "b").unionByName(more)
+        more = materialize(pairs.mapInPandas(across, "a long, b long"))
+    return out.where("a is not null").select("a", "b").unionByName(settled.where("a is not null").select("a", "b")).unionByName(more)
 
 
 #: Nodes without an id of their own are numbered from here on by a hash of their text; ids lie below.
@@ -304,7 +367,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     own = own.unionByName(once(base.where("doc_id is null")))
     if not one_each:
         own = own.unionByName(once(base.join(shared, F.col("doc_id") == F.col("id"), "left_semi")))
-    links = links_in_clusters(own.dropDuplicates(["node"]), threshold)
+    links = links_in_clusters(own.dropDuplicates(["node"]), threshold, BLOCK, TOGETHER)
     labels = components(links)
 
     named = nodes.join(labels, "node", "left").select("key", "node", "own", "n_copies", F.coalesce("label", "node").alias("class_id"))

@@ -140,6 +140,48 @@ def test_near_duplicates_equal_brute_force(spark, docs):
     assert sorted(r.class_id for r in nulls if r.class_id == 7) == [7, 7] and len(nulls) == 3
 
 
+def brute_classes(rows, threshold=0.8):
+    """Least id of what links of weighted Jaccard similarity connect; rows (id, text)."""
+    bags = [collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in (WORD.findall(t) for _, t in rows)]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        x, y = find(a), find(b)
+        if x != y:
+            both = sum((bags[a] & bags[b]).values())
+            if both >= threshold * (sum(bags[a].values()) + sum(bags[b].values()) - both):
+                root[max(x, y)] = min(x, y)
+    return {i: rows[find(k)][0] for k, (i, _) in enumerate(rows)}
+
+
+@pytest.mark.parametrize("kind", ["copies", "chain"])
+def test_groups_of_near_copies_beyond_one_block_lose_no_link(spark, docs, monkeypatch, kind):
+    from skein.llm import near_text
+
+    monkeypatch.setattr(near_text, "BLOCK", 16)
+    monkeypatch.setattr(near_text, "TOGETHER", 2)
+    rng, base = random.Random(8), prose(70, 99).split()
+    rows = []
+    for i in range(150):
+        words = list(base)
+        if kind == "copies":
+            # Most are near the base, some only near such a copy, some near nothing but in the same cluster.
+            for _ in range(rng.choice([0, 1, 1, 2, 3, 6])):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(1000)}"
+        else:
+            # Each is near the next ones only, in an order that has nothing to do with the ids.
+            words = [f"c{(i * 7 % 150) // 2 + k}" for k in range(70)]
+        rows.append((1000 - i * 3, " ".join(words), "s"))
+    out = {r.doc_id: r.class_id for r in near_text.near_duplicates(docs(rows)).collect()}
+    assert out == brute_classes(sorted((i, t) for i, t, _ in rows))
+
+
 def test_near_duplicates_of_repeated_and_missing_ids(spark, docs):
     from skein.llm.near_text import UNNAMED, near_duplicates
 
@@ -215,6 +257,7 @@ def brute_left(rows):
             if cut[k]:
                 bounds += [j + 1 for j in clause if j == k or (len(clause) > 18 and (ord(words[j][-1]) + len(words[j])) % 5 == 0)]
                 clause = []
+        bounds = [b for a, e in zip([0, *bounds], bounds) for b in (*range(a + 18, e, 18), e)]  # noqa: B905
         lost = set()
         for u, s in enumerate([0, *bounds[:-1]]):
             t = next((b for b in bounds[u + 2 :] if b >= s + 30), None)
@@ -232,9 +275,20 @@ def test_repeated_spans_equal_brute_force(spark, docs):
     rng, pool = random.Random(8), [prose(n, n) for n in (20, 29, 35, 60, 90)]
     pieces = lambda: [rng.choice(pool) if rng.random() < 0.5 else prose(rng.randint(1, 40), rng.randint(0, 10**6)) for _ in range(rng.randint(1, 6))]
     rows = [(i, rng.choice(["", " ", "\n"]) + rng.choice([" ", "\n", ". ", "  "]).join(pieces()), "s") for i in range(120)]
+    # Stretches without a word that the rule picks.
+    rows += [(200 + i, " ".join(rng.choice(["lorem"] * 9 + ["lorem."]) for _ in range(rng.randint(0, 150))), "s") for i in range(10)]
     assert {r.doc_id: r.text for r in remove_repeated(docs(rows)).collect()} == brute_left(rows)
 
 
+@pytest.mark.parametrize("word", ["lorem", "word", "x", "no", "ab", "abcd"])
+def test_texts_of_one_word_repeated_are_found(spark, docs, word):
+    from skein.llm.repeated_spans import remove_repeated
+
+    rows = [(1, " ".join([word] * 500), "s"), (2, " ".join([word] * 500), "s"), (3, f"{word} here is other prose", "s")]
+    left = {r.doc_id: r.n_words - r.n_removed for r in remove_repeated(docs(rows)).collect()}
+    assert 1 <= left[1] <= 90 and left[2] <= 60 and left[3] == 5
+
+
 def longest_shared(text, earlier):
     """Words of the longest run that text shares with earlier ones."""
     runs, best = {}, 0
