@@ -8,7 +8,8 @@ What is left is verified by whole inner products of integers.
 
 Queries meet the buckets in rounds: first a few buckets, then eight times as many, and so on. Each round raises the lower
 bounds to the k-th score so far, so that in the next one only about eight times k vectors per query pass, whatever the
-number of buckets, of tasks or the way Spark joins: what is shuffled grows with the number of queries.
+number of buckets, of tasks or the way Spark joins: what is shuffled grows with the number of queries. Blocks travel as
+the narrowest integers that hold them, and are never broadcast: as files they are far smaller than as rows.
 """
 
 from __future__ import annotations
@@ -29,12 +30,24 @@ GROWTH = 8
 COORDINATES_FROM, FOCUS = 0.4, 4
 #: Spark's floor() ends at the limits of long, so components beyond 2**62 are cut there.
 TOP = 1 << 62
+#: A block of queries meets the blocks of vectors in so many places at most, so copies of it grow no faster than queries.
+PLACES = 64
 
 
 def quantised(vector: Column) -> Column:
     return F.transform(vector, lambda x: F.least(F.greatest(F.floor(F.lit(64.0) * x.cast("double")).cast("long"), F.lit(-TOP)), F.lit(TOP)))
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Rows of integers as bytes, in the narrowest kind that holds all of them."""
+    low, high = int(x.min(initial=0)), int(x.max(initial=0))
+    return x.astype(next(k for k in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(k).min <= low and high <= np.iinfo(k).max)).tobytes()
+
+
+def unpacked(rows: bytes, n: int, width: int) -> np.ndarray:
+    return np.frombuffer(rows, f"i{len(rows) // (n * width)}" if n * width else np.int64).reshape(n, width).astype(np.int64)
+
+
 def products(q: np.ndarray, p: np.ndarray) -> np.ndarray:
     """Exact integer inner products: by doubles where no partial sum reaches 2**53, else by Python's integers."""
     bound = float(np.abs(q.astype(np.float64)).max(initial=0)) * float(np.abs(p.astype(np.float64)).max(initial=0)) * max(1, q.shape[1])
@@ -81,13 +94,48 @@ def survivors(q: np.ndarray, q_norm: float, bound: float, unit: np.ndarray, leng
     return np.flatnonzero(mask)
 
 
+def long_enough(q_norm: np.ndarray, bound: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """How many rows of a bucket, whose lengths fall, are long enough for each query; 0 where the bucket is skipped."""
+    need = np.where(bound > 0, bound / np.maximum(q_norm, 1e-300), -np.inf)
+    return np.searchsorted(-length, -need, side="right")
+
+
+def worth_focus(q: np.ndarray, q_norm: np.ndarray, bound: np.ndarray, unit: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Queries for which a feasible interval leaves out about a quarter of a bucket or more; for others coordinates cost
+    more than they save, and lengths alone prune."""
+    t = bound / np.maximum(q_norm * length[0], 1e-300)
+    out = (bound > 0) & (t >= COORDINATES_FROM) & (t <= 1)
+    if not out.any():
+        return out
+    low, high = np.quantile(unit[:: max(1, len(unit) // 128)], [0.25, 0.75], axis=0)
+    direction = q / np.maximum(q_norm, 1e-300)[:, None]
+    f = np.argsort(-np.abs(direction), axis=1)[:, :FOCUS]
+    d, t = np.take_along_axis(direction, f, 1), np.clip(t, 0, 1)[:, None]
+    reach = np.sqrt(np.maximum(0.0, (1 - d * d) * (1 - t * t)))
+    return out & (((d > -t) & (d * t - reach > low[f])) | ((d < t) & (d * t + reach < high[f]))).any(1)
+
+
+def reaching(q: np.ndarray, q_ids: np.ndarray, bound: np.ndarray, p: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """query id, vector id, score of the at most k best rows of each query that reach its bound, never its own id."""
+    s = products(q, p)
+    at, row = np.nonzero((s >= bound[:, None]) & (ids != q_ids[:, None]))
+    keep = np.ones(len(at), dtype=bool)
+    first = np.searchsorted(at, np.arange(len(q) + 1))
+    for i in np.flatnonzero(np.diff(first) > k):
+        mine = slice(first[i], first[i + 1])
+        keep[mine] = False
+        keep[first[i] + best(s[i, row[mine]], ids[row[mine]], k)] = True
+    at, row = at[keep], row[keep]
+    return q_ids[at], ids[row], s[at, row]
+
+
 def top_products(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest inner products with other ids, ties to smaller ids.
 
     Unusable vectors and null ids take no part; a query with fewer than k others gets all. Shorter vectors end in zeros.
     Rows that repeat an id are candidates each, but never of their own id. Blocks of queries meet blocks of vectors only
-    where the lengths allow a hit; there are as many places for that as blocks of vectors ask for, and a task holds one
-    pair of blocks at a time.
+    where the lengths allow a hit; there are as many places for that as blocks of vectors ask for, PLACES at most, and a
+    task compares one pair of blocks at a time.
     """
     spark = vectors.sparkSession
     base = vectors.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col)).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
@@ -101,7 +149,7 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str
     def data_blocks(frames):
         for f in chunks(frames, BUCKET):
             x = pad(list(f["v"]), width, np.int64)
-            yield pd.DataFrame({"longest": [float(norms(x).max(initial=0))], "ids": [f["id"].to_numpy(np.int64).tobytes()], "rows": [x.tobytes()]})
+            yield pd.DataFrame({"longest": [float(norms(x).max(initial=0))], "ids": [f["id"].to_numpy(np.int64).tobytes()], "rows": [packed(x)]})
 
     def query_blocks(frames):
         ids_h, x_h = head.value
@@ -115,7 +163,7 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str
                 if len(others) >= k:
                     bound[i] = np.partition(others, len(others) - k)[len(others) - k]
             at += 1
-            yield pd.DataFrame({"block": [base + at], "need": [need_of(x, bound)], "q_ids": [ids.tobytes()], "q_rows": [x.tobytes()], "bounds": [bound.tobytes()]})
+            yield pd.DataFrame({"block": [base + at], "need": [need_of(x, bound)], "q_ids": [ids.tobytes()], "q_rows": [packed(x)], "bounds": [bound.tobytes()]})
 
     ordered = lambda df: df.repartitionByRange(F.col("n2").desc(), F.col("id")).sortWithinPartitions(F.col("n2").desc(), F.col("id")).select("id", "v")
     data = materialize(ordered(base).mapInPandas(data_blocks, "longest double, ids binary, rows binary"))
@@ -141,7 +189,7 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str
         raised = hits.where(F.col("rank") == k).groupBy("block").agg(F.collect_list(F.struct("query_id", "score")).alias("raised"))
         hits = hits.drop("rank")
         with arrow_rows(spark, 16):
-            queries = materialize(queries.join(raised, "block", "left").mapInPandas(_raiser(width), QUERY_BLOCK))
+            queries = materialize(queries.join(raised.hint("merge"), "block", "left").mapInPandas(_raiser(width), QUERY_BLOCK))
 
 
 QUERY_BLOCK = "block long, need double, q_ids binary, q_rows binary, bounds binary"
@@ -156,9 +204,10 @@ def need_of(x: np.ndarray, bound: np.ndarray) -> float:
 def _met(queries: DataFrame, data: DataFrame) -> DataFrame:
     """Pairs of blocks. Every block of queries goes to every place, a block of vectors to one: the stated queries against
     all rows. A place has some blocks of vectors."""
-    places = max(8, data.count() // 4)
-    wide = queries.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(places - 1))))
-    return wide.join(data.withColumn("place", F.pmod(F.xxhash64("ids"), F.lit(places)).cast("int")), "place").where("longest >= need").drop("place", "need", "longest")
+    places = min(PLACES, max(8, data.count() // 4))
+    wide = queries.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(places - 1)))).repartition(places, "place")
+    own = data.withColumn("place", F.pmod(F.xxhash64("ids"), F.lit(places)).cast("int")).repartition(places, "place")
+    return wide.join(own.hint("merge"), "place").where("longest >= need").drop("place", "need", "longest")
 
 
 def _scanner(width: int, k: int):
@@ -168,18 +217,22 @@ def _scanner(width: int, k: int):
         for frame in frames:
             for r in frame.itertuples():
                 q_ids, ids = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.ids, np.int64)
-                q, bounds = np.frombuffer(r.q_rows, np.int64).reshape(len(q_ids), width), np.frombuffer(r.bounds, np.float64)
-                p = np.frombuffer(r.rows, np.int64).reshape(len(ids), width)
+                q, bounds = unpacked(r.q_rows, len(q_ids), width), np.frombuffer(r.bounds, np.float64)
+                p = unpacked(r.rows, len(ids), width)
                 q_norm, length = norms(q), norms(p)
                 unit, out = p / np.maximum(length, 1e-300)[:, None], []
-                for i in range(len(q_ids)):
+                focused = worth_focus(q, q_norm, bounds, unit, length)
+                for i in np.flatnonzero(focused):
                     rows = survivors(q[i].astype(np.float64), q_norm[i], bounds[i], unit, length)
-                    rows = rows[ids[rows] != q_ids[i]]
                     if len(rows):
-                        s = products(q[i : i + 1], p[rows])[0]
-                        high = np.flatnonzero(s >= bounds[i])
-                        pick = high[best(s[high], ids[rows][high], k)]
-                        out.append((np.full(len(pick), q_ids[i]), ids[rows][pick], s[pick]))
+                        out.append(reaching(q[i : i + 1], q_ids[i : i + 1], bounds[i : i + 1], p[rows], ids[rows], k))
+                # The others keep what is long enough, so they meet the longest rows at once.
+                enough = long_enough(q_norm, bounds, length)
+                at = np.flatnonzero(~focused & (enough > 0))
+                if len(at):
+                    rows = enough[at].max()
+                    out.append(reaching(q[at], q_ids[at], bounds[at], p[:rows], ids[:rows], k))
+                out = [x for x in out if len(x[0])]
                 if out:
                     yield pd.DataFrame({"block": r.block} | {n: np.concatenate(x) for n, x in zip(("query_id", "vec_id", "score"), zip(*out, strict=True), strict=True)})
 
@@ -196,7 +249,7 @@ def _raiser(width: int):
                 known = {x["query_id"]: float(x["score"]) for x in (r.raised if r.raised is not None else [])}
                 # Whole numbers beyond 2**53 may be rounded up; the bound stays below.
                 bounds = np.array([max(b, np.nextafter(known[q], -np.inf)) if q in known else b for q, b in zip(q_ids.tolist(), bounds.tolist(), strict=True)])
-                x = np.frombuffer(r.q_rows, np.int64).reshape(len(q_ids), width)
+                x = unpacked(r.q_rows, len(q_ids), width)
                 yield pd.DataFrame({"block": [r.block], "need": [need_of(x, bounds)], "q_ids": [r.q_ids], "q_rows": [r.q_rows], "bounds": [bounds.tobytes()]})
 
     return lift

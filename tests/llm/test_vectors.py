@@ -137,3 +137,28 @@ def test_repeated_vector_rows_count_as_links(spark):
 
     out = near_vectors(vectors(spark, [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.01]), (None, [1.0, 0.0])])).collect()
     assert sorted((r.vec_id or 0, r.n_links, r.component_id) for r in out) == [(0, 0, None), (1, 2, 1), (1, 2, 1), (2, 2, 1)]
+
+
+def blocks_of(spark, columns, n=12):
+    return spark.createDataFrame([(i, *[bytearray(b"x" * 40)] * (len(columns) - 1)) for i in range(n)], f"{columns[0]} long, " + ", ".join(f"{c} binary" for c in columns[1:]))
+
+
+def test_blocks_of_vectors_are_never_broadcast(spark):
+    """As compressed files they look small; as rows they filled the driver."""
+    from skein.llm import exact_topk
+
+    queries = blocks_of(spark, ["block", "q_ids", "q_rows", "bounds"]).withColumn("need", F.lit(0.0))
+    data = blocks_of(spark, ["at", "ids", "rows"]).select(F.lit(1.0).alias("longest"), "ids", "rows")
+    met = exact_topk._met(queries, data)
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+    assert met.count() == 144
+
+
+@pytest.mark.parametrize("top", [3, 300, 70_000, 1 << 40])
+def test_packed_rows_come_back_whole(top):
+    from skein.llm.exact_topk import packed, unpacked
+
+    x = np.array([[top, -top, 0], [1, 2, -1]], dtype=np.int64)
+    assert (unpacked(packed(x), 2, 3) == x).all()
+    assert len(packed(x)) <= 6 * (1 if top < 128 else 2 if top < 32_768 else 4 if top < 1 << 31 else 8)
+    assert unpacked(packed(np.zeros((2, 0), dtype=np.int64)), 2, 0).shape == (2, 0)
