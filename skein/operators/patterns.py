@@ -152,17 +152,17 @@ def check_rules(rules: list[tuple[str, str]], docs: DataFrame, key: str = "key",
 PRESETS = {"conservative": 100, "moderate": 75, "aggressive": 50}
 
 
-def extract_memories(turns: DataFrame, weights: list[tuple[str, str, float]], least_length: int = 75, threshold: float = 0.3, explore_threshold: float = 0.35) -> DataFrame:
+def extract_memories(turns: DataFrame, weights: list[tuple[str, str, float]], least_length: int = 75, threshold: float = 0.3, explore_threshold: float = 0.35, narration: bool = True) -> DataFrame:
     """turns (key, session, ord, text, explores: boolean) with insights, confidence, skip_reason and should_create.
 
     weights: (insight, pattern, confidence). The first reason that applies is given: too short, no pattern, confidence
-    below the threshold, mere narration, duplicate of an earlier accepted text of the session.
+    below the threshold, mere narration (unless narration is False), duplicate of an earlier accepted text of the session.
     """
     hits = F.array_compact(F.array(*[F.when(F.col("text").rlike(p), F.struct(F.lit(i).alias("insight"), F.lit(w).alias("w"))) for i, p, w in weights]))
     scored = turns.withColumn("_hits", hits).withColumn("confidence", F.round(F.least(F.lit(1.0), F.aggregate("_hits", F.lit(0.0), lambda s, x: s + x["w"])), 6))
     scored = scored.withColumn("insights", F.array_join(F.array_sort(F.array_distinct(F.transform("_hits", lambda x: x["insight"]))), ","))
     bar = F.when(F.col("explores"), explore_threshold).otherwise(threshold)
-    reason = F.when(F.length(F.trim("text")) < least_length, "text_too_short").when(F.size("_hits") == 0, "no_patterns_matched").when(F.col("confidence") < bar, "below_confidence_threshold").when(is_narration(F.col("text")), "process_narration")
+    reason = F.when(F.length(F.trim("text")) < least_length, "text_too_short").when(F.size("_hits") == 0, "no_patterns_matched").when(F.col("confidence") < bar, "below_confidence_threshold").when(is_narration(F.col("text")) if narration else F.lit(False), "process_narration")
     gated = scored.withColumn("_reason", reason).withColumn("_same", dedupe_key(F.col("text")))
     again = F.row_number().over(Window.partitionBy("session", "_same", F.col("_reason").isNull()).orderBy("ord")) > 1
     out = gated.withColumn("skip_reason", F.coalesce("_reason", F.when(again, "duplicate")))

@@ -46,3 +46,16 @@ def test_query(spark, duck, name):
 def test_memory_tiers_label_every_vector(spark):
     plan = QUERIES["flt6_memory_tiers"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "Limit" not in plan
+
+
+def test_memories_equal_their_sql_on_texts_that_open_like_narration(spark, duck, tmp_path):
+    """Prose may open with "On it" by chance; line ends are line feeds, and the end of a text is its last character."""
+    texts = ["On it went the day, and then?\n" + "more of it, and of that " * 4, "Let me see, or not, or so, is it? " * 3, "a, b, c, d " * 9 + "\n", "one, two\r, three, four " * 4, "x? y\u2028z " * 9, "plain " * 20, "plain, " * 20, "short?"]
+    rows = [(c, t, "assistant", x) for c in (1, 2) for t, x in enumerate(texts)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = QUERIES["pat10_memory_extract"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.execute(f"select {', '.join(got.columns)} from ({ORACLE_SQL['pat10_memory_extract']})").fetchall()
+    assert sort(got.collect()) == sort(want)
+    assert any(r.skip_reason is None for r in got.where("ord = 0").collect())
