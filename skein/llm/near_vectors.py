@@ -4,6 +4,9 @@ Unit vectors of cosine c lie sqrt(2 - 2c) apart; with epsilon the distance at th
 wide on the leading principal dimensions. Vectors are sorted by their cells, the sequence is cut into blocks, and
 intervals of the sequence are joined recursively: a pair of intervals whose boxes are further apart than epsilon is
 skipped with all that it holds, another is split into pairs of its parts, down to blocks, which are compared in full.
+
+Blocks are dealt to a fixed number of groups, and each pair of groups is met in a place of its own: a block travels once
+to each of these places, not once with every block that it is compared with, so what is shuffled grows as the vectors do.
 """
 
 from __future__ import annotations
@@ -22,10 +25,16 @@ from skein.llm.components import components
 BLOCK, LEADING, FAN = 1024, 6, 16
 #: Numbers of a sample of vectors that come to the driver.
 SAMPLE = 1 << 20
+#: Groups of blocks; every block is copied to GROUPS + 1 places of all GROUPS * (GROUPS + 1) / 2.
+GROUPS = 6
 
 
 def units(vectors: list[np.ndarray], width: int) -> np.ndarray:
-    x = pad(vectors, width, np.float64)
+    return normalised(pad(vectors, width, np.float64))
+
+
+def normalised(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
     x /= np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
@@ -43,7 +52,15 @@ def principal(df: DataFrame, width: int) -> np.ndarray:
 
 
 def linked(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
-    return a @ b.T >= least
+    """Where unit vectors have a cosine of at least `least`: in doubles, but only for rows and columns that single
+    precision, with its largest error allowed for, does not rule out."""
+    slack = (a.shape[1] + 8) * 2.0**-22
+    near = a.astype(np.float32) @ b.astype(np.float32).T >= np.float32(least - slack)
+    rows, columns = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+    if len(rows):
+        near[:] = False
+        near[np.ix_(rows, columns)] = a[rows] @ b[columns].T >= least
+    return near
 
 
 def forest(mask: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,6 +74,30 @@ def forest(mask: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
         la, lb = la2, lb2
 
 
+def _dealt(pairs: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Blocks as a and as b of pairs (a, b) of places in the sequence, copied to the places where they meet.
+
+    Places for pairs of groups take the lesser group as a, the other as b. What a block is to meet goes along as numbers.
+    """
+    group = lambda c: F.pmod(F.col(c), F.lit(GROUPS))
+    turned = group("a") > group("b")
+    ends = pairs.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b"))
+    wanted = ends.groupBy(F.col("a").alias("seq")).agg(F.collect_list("b").alias("wanted"))
+    held = lambda s: [F.col("seq").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("nodes", "counts", "rows")]]
+    last = F.lit(GROUPS - 1).cast("long")
+    place = lambda low, high: (low * GROUPS + high).cast("int").alias("place")
+    left = blocks.join(wanted.hint("merge"), "seq").withColumn("other", F.explode(F.sequence(group("seq"), last))).select(place(group("seq"), F.col("other")), "wanted", *held("a"))
+    right = blocks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), group("seq")))).select(place(F.col("other"), group("seq")), *held("b"))
+    return left, right
+
+
+def _met(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The pairs (a, b) with what their blocks hold; either block of a pair may come as a."""
+    left, right = _dealt(pairs, blocks)
+    places = 4 * GROUPS * (GROUPS + 1) // 2
+    return left.repartition(places, "place").join(right.repartition(places, "place").hint("merge"), "place").where(F.array_contains("wanted", F.col("b"))).drop("place", "wanted")
+
+
 def near_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept of every row; links are cosines >= threshold, in double precision.
 
@@ -74,6 +115,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_
     directions = principal(groups, width) if width else np.zeros((0, 0))
     epsilon = math.sqrt(max(0.0, 2 - 2 * threshold))
     shown = directions.shape[1]
+    # Blocks hold the vectors as they came: floats need half the room of unit vectors in doubles.
+    kind = np.float32 if groups.schema["v"].dataType.elementType.typeName() == "float" else np.float64
 
     def placed(frames):
         for f in frames:
@@ -88,7 +131,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_
     def cut(frames):
         for at, f in enumerate(chunks(frames, BLOCK)):
             p = np.stack(f["p"].to_numpy())
-            x = units(list(f["v"]), width)
+            x = pad(list(f["v"]), width, kind)
             yield pd.DataFrame({"part": [int(f["part"].iloc[0])], "at": [at], "low": [p.min(0)], "high": [p.max(0)], "nodes": [f["node"].to_numpy(np.int64).tobytes()], "counts": [f["n"].to_numpy(np.int64).tobytes()], "rows": [x.tobytes()]})
 
     blocks = materialize(order.select("part", "node", "n", "v", "p").mapInPandas(cut, "part int, at int, low array<double>, high array<double>, nodes binary, counts binary, rows binary"))
@@ -116,15 +159,14 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_
         up = pairs.withColumnsRenamed({"a": "up_a", "b": "up_b"})
         pairs = materialize(up.join(box(level, "a"), "up_a").join(box(level, "b"), "up_b").where((F.col("a") <= F.col("b")) & close).select("a", "b"))
 
-    side = lambda s: blocks.select(F.col("seq").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("nodes", "counts", "rows")])
-    loaded = pairs.join(side("a"), "a").join(side("b"), "b")
+    loaded = _met(pairs, blocks)
 
     def compare(frames):
         for frame in frames:
             for r in frame.itertuples():
                 na, nb = np.frombuffer(r.nodes_a, np.int64), np.frombuffer(r.nodes_b, np.int64)
                 ca, cb = np.frombuffer(r.counts_a, np.int64), np.frombuffer(r.counts_b, np.int64)
-                a, b = (np.frombuffer(x, np.float64).reshape(-1, width) for x in (r.rows_a, r.rows_b))
+                a, b = (normalised(np.frombuffer(x, kind).reshape(-1, width)) for x in (r.rows_a, r.rows_b))
                 mask = linked(a, b, threshold)
                 if r.a == r.b:
                     np.fill_diagonal(mask, False)

@@ -162,3 +162,16 @@ def test_packed_rows_come_back_whole(top):
     assert (unpacked(packed(x), 2, 3) == x).all()
     assert len(packed(x)) <= 6 * (1 if top < 128 else 2 if top < 32_768 else 4 if top < 1 << 31 else 8)
     assert unpacked(packed(np.zeros((2, 0), dtype=np.int64)), 2, 0).shape == (2, 0)
+
+
+def test_a_block_travels_to_a_fixed_number_of_places(spark):
+    from skein.llm import near_vectors
+
+    for n in (12, 40):
+        blocks = blocks_of(spark, ["seq", "nodes", "counts", "rows"], n)
+        pairs = spark.createDataFrame([(a, b) for a in range(n) for b in range(a, n) if (a + b) % 3], "a long, b long")
+        met = near_vectors._met(pairs, blocks)
+        assert {(min(r.a, r.b), max(r.a, r.b)) for r in met.select("a", "b").collect()} == {(r.a, r.b) for r in pairs.collect()}
+        assert met.count() == pairs.count()
+        left, right = near_vectors._dealt(pairs, blocks)
+        assert left.count() + right.count() == (near_vectors.GROUPS + 1) * n
