@@ -61,11 +61,12 @@ class TermIndex:
         gone = self._of_segments("gone", f"key {self.key_type}", segments[1:]).groupBy("key").agg(F.max("segment").alias("upto"))
         return rows.join(gone, "key", "left").where("upto is null or upto <= segment").drop("upto")
 
-    def _write(self, number: int, base: int, terms: DataFrame, lengths: DataFrame, gone: DataFrame | None, documents: int, tokens: int) -> None:
+    def _write(self, number: int, base: int, terms: DataFrame, lengths: DataFrame | None, gone: DataFrame | None, documents: int, tokens: int) -> None:
         bucket = F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")
         placed = terms.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket", "term", "key")
         placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/{number}")
-        lengths.write.mode("overwrite").parquet(f"{self.path}/lengths/{number}")
+        if lengths is not None:
+            lengths.write.mode("overwrite").parquet(f"{self.path}/lengths/{number}")
         if gone is not None:
             gone.write.mode("overwrite").parquet(f"{self.path}/gone/{number}")
         self.spark.createDataFrame([(number, base, documents, tokens)], COMMIT).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/{number}")
@@ -87,13 +88,16 @@ class TermIndex:
         if deleted is not None:
             touched = touched.unionByName(deleted.select(F.col("key").cast(self.key_type).alias("key")))
         lengths = docs.select(F.col("key").cast(self.key_type).alias("key"), F.size(code_tokens(F.coalesce(F.col(content), F.lit("")))).cast("long").alias("dl")).where("dl > 0")
+        # Written first and read again, so that texts are cut into tokens twice in all.
+        lengths.write.mode("overwrite").parquet(f"{self.path}/lengths/{number}")
+        lengths = self.spark.read.schema(f"key {self.key_type}, dl bigint").parquet(f"{self.path}/lengths/{number}")
         total = lambda df: df.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("t")).first()
         new, documents, tokens = total(lengths), 0, 0
         if before:
             live = self._live(self._of_segments("lengths", f"key {self.key_type}, dl bigint", self._segments(before)), self._segments(before))
             lost = total(live.join(touched.distinct(), "key", "left_semi"))
             documents, tokens = before["documents"] - lost["n"], before["tokens"] - lost["t"]
-        self._write(number, before["base"] if before else number, terms, lengths, touched.distinct() if before else None, documents + new["n"], tokens + new["t"])
+        self._write(number, before["base"] if before else number, terms, None, touched.distinct() if before else None, documents + new["n"], tokens + new["t"])
 
     def postings(self, terms: list[str] | None = None) -> DataFrame:
         """term, key, dl, tf of the live documents; of some terms, from their buckets alone."""
@@ -115,8 +119,15 @@ class TermIndex:
         return hits.join(F.broadcast(df), "term").groupBy("key").agg(F.sum(part).alias("score"))
 
     def stats(self) -> DataFrame:
-        """documents, terms, postings of the live index: one row."""
-        return self.postings().agg(F.count_distinct("key").alias("documents"), F.count_distinct("term").alias("terms"), F.count("*").alias("postings"))
+        """documents, terms, postings of the live index: one row.
+
+        Documents are counted in the table of lengths, and postings by term, so that no posting travels.
+        """
+        segments = self._segments(self.state())
+        live = self._live(self._of_segments("lengths", f"key {self.key_type}, dl bigint", segments), segments)
+        documents = live.agg(F.count_distinct("key").alias("documents"))
+        by_term = self.postings().groupBy("term").agg(F.count("*").alias("n"))
+        return documents.crossJoin(by_term.agg(F.count("*").alias("terms"), F.coalesce(F.sum("n"), F.lit(0)).alias("postings")))
 
     def merge(self, number: int) -> None:
         """Write the live postings as one segment, from which on later commits count; the old ones can be vacuumed."""

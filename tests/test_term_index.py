@@ -77,3 +77,11 @@ def test_a_query_reads_only_the_buckets_of_its_terms(spark, tmp_path):
     assert len(hits.inputFiles()) <= len(everything.inputFiles())
     read = {r.b for r in hits.select(F.input_file_name().alias("f")).select(F.regexp_extract("f", "bucket=([0-9]+)", 1).alias("b")).collect()}
     assert len(read) <= 1
+
+
+def test_stats_move_no_posting(spark, tmp_path):
+    index = TermIndex(spark, str(tmp_path / "i"), buckets=4)
+    index.commit(spark.createDataFrame([(1, "alpha beta alpha"), (2, "beta"), (3, "")], "key long, content string"), 1)
+    stats = index.stats()
+    assert "Expand" not in stats._jdf.queryExecution().optimizedPlan().toString()
+    assert tuple(stats.first()) == (2, 2, 3)
