@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.vectors import cosine_guarded
-from skein.operators.stored import written
+from skein.operators.stored import small_batches, written
 
 
 def classify(items: DataFrame, taxonomy: DataFrame, most: int = 3, least: float = 0.1) -> DataFrame:
@@ -174,7 +174,13 @@ def greedy_distinct(items: DataFrame, group: str, threshold: float = 0.85, size:
     and only the few that are left are compared among themselves, in rounds in which every item without an undecided
     earlier neighbour stays. No group is gathered, and pairs within a crowd of like items are never listed, since its
     first one takes the others away. Equal vectors are one item; null vectors and those without length resemble nothing.
+    A Python worker holds a few pairs of blocks at a time, however many its task has.
     """
+    with small_batches(items.sparkSession):
+        return _greedy(items, group, threshold, size)
+
+
+def _greedy(items: DataFrame, group: str, threshold: float, size: int) -> DataFrame:
     length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     unit = F.transform("vector", lambda x: x.cast("double") / (length + 1e-9))
     all_items = items.where("vector is not null").select(group, "ord", "key", unit.alias("unit"), (length > 0).alias("long"))

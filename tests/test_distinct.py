@@ -69,3 +69,15 @@ def test_large_categories_are_cut_in_halves(spark):
     refined, _ = refine(items.where("vector is not null"), taxonomy, 3, split_above=20)
     assert {"wide-1", "wide-2"} <= {r.category for r in refined.collect()}
     assert halves(items.where("false"), frame, taxonomy).count() == 0
+
+
+def test_a_worker_gets_few_pairs_of_blocks_at_a_time(spark, monkeypatch):
+    from skein.operators import taxonomy
+
+    key, seen, write = "spark.sql.execution.arrow.maxRecordsPerBatch", [], taxonomy.written
+    before = spark.conf.get(key)
+    monkeypatch.setattr(taxonomy, "written", lambda df: (seen.append(int(spark.conf.get(key))), write(df))[1])
+    items = spark.createDataFrame([("g", i, i, [1.0, i / 10]) for i in range(20)], "grp string, ord int, key int, vector array<double>")
+    assert taxonomy.greedy_distinct(items, "grp", 0.99, size=4).count() > 1
+    assert seen and max(seen) <= 8
+    assert spark.conf.get(key) == before
