@@ -110,11 +110,12 @@ def refine(items: DataFrame, taxonomy: DataFrame, rounds: int = 5, split_above:
     """The taxonomy after up to `rounds` rounds of classifying, discovering, splitting and merging, and the measures of each.
 
     Categories with more than split_above items are split in halves, where that is given. A taxonomy is a few rows; it comes to the driver each round, so that the plan does not grow. Ends early where a round
-    changes nothing.
+    changes nothing. The items and each round's classes are written once and read by every step that uses them.
     """
+    items = written(items)
     spark, schema, total, seen = items.sparkSession, "category string, centre array<double>", items.count(), []
     for _ in range(rounds):
-        classes = classify(items, taxonomy)
+        classes = written(classify(items, taxonomy))
         seen.append(metrics(classes, total).first().asDict())
         grown = taxonomy.select("category", F.col("centre").cast("array<double>").alias("centre")).unionByName(discovered(items, classes, taxonomy))
         if split_above is not None:

@@ -81,3 +81,14 @@ def test_a_worker_gets_few_pairs_of_blocks_at_a_time(spark, monkeypatch):
     assert taxonomy.greedy_distinct(items, "grp", 0.99, size=4).count() > 1
     assert seen and max(seen) <= 8
     assert spark.conf.get(key) == before
+
+
+def test_refining_classifies_once_a_round(spark, monkeypatch):
+    from skein.operators import taxonomy
+
+    plans, metrics = [], taxonomy.metrics
+    monkeypatch.setattr(taxonomy, "metrics", lambda classes, total: (plans.append(classes._jdf.queryExecution().optimizedPlan().toString()), metrics(classes, total))[1])
+    items = spark.createDataFrame([(i, f"word{'ab'[i % 2] * 3} thing", [float(i % 2), 1.0]) for i in range(12)], "key long, name string, vector array<double>")
+    start = spark.createDataFrame([("first", [1.0, 0.0])], "category string, centre array<double>")
+    taxonomy.refine(items, start, 2, split_above=4)
+    assert plans and all("Generate" not in p for p in plans)
